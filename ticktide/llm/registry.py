@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, packing, quality_rules, sharding, simhash, token_file
+from . import chat_format, exact_dedup, html_text, line_dedup, packing, quality_rules, sharding, simhash, token_file
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_simhash": simhash.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_html_text": html_text.query,
     "op8_token_file": token_file.query,
     "op9_sharding": sharding.query,
     "op10_chat_format": chat_format.query,
