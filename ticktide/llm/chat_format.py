@@ -48,42 +48,37 @@ def steps_up(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     (tree, node, up) for the nodes that have so distant an ancestor. A node that
     is its own ancestor is an error.
     """
-    state = common.written(
-        nodes.select(
-            "tree", "node", F.col("parent").alias("up"), F.col("node").alias("root"),
-            F.lit(0).cast("long").alias("depth"), F.col("score").cast("double").alias("total"),
-        ),
-        "steps",
+    node = F.col("node")
+    state = nodes.select(
+        "tree", "node", F.col("parent").alias("up"), node.alias("root"), F.lit(0).cast("long").alias("depth"),
+        F.col("score").cast("double").alias("total"),
     )
+    real = nodes.select(F.col("tree").alias("t"), node.alias("n"))
+    on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))
+    state = state.join(real, on, "left")  # a parent that is not there makes a root
+    state = common.written(state.select("tree", "node", F.col("n").alias("up"), "root", "depth", "total"), "steps")
     n_nodes, jumps, width = state.count(), [], 1
-    real = state.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    state = common.written(  # a parent that is not there makes a root
-        state.join(real, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        .select("tree", "node", F.col("n").alias("up"), "root", "depth", "total"),
-        "steps",
-    )
-    while not (live := state.where("up IS NOT NULL")).isEmpty():
+    # a row covers the messages from its node up to, but without, ``up``; rows that
+    # cover all up to their root are done, only the others are joined again
+    done, live = state.where("up IS NULL"), state.where("up IS NOT NULL")
+    while not live.isEmpty():
         if width > n_nodes:
             raise ValueError("a message is its own ancestor")
         jumps.append(live.select("tree", "node", "up"))
-        above = state.select(
+        above = done.unionByName(live).select(
             F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"),
             F.col("root").alias("root2"), F.col("depth").alias("d2"), F.col("total").alias("s2"),
         )
-        met = state.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        found = F.col("n").isNotNull()
-        # a row covers the messages from its node up to, but without, ``up``; two such stretches are joined
         state = common.written(
-            met.select(
-                "tree", "node", F.col("up2").alias("up"),
-                F.when(found, F.col("root2")).otherwise(F.col("root")).alias("root"),
-                F.when(found, F.col("depth") + 1 + F.col("d2")).otherwise(F.col("depth")).alias("depth"),
-                F.when(found, F.col("total") + F.col("s2")).otherwise(F.col("total")).alias("total"),
+            live.join(above, on).select(
+                "tree", "node", F.col("up2").alias("up"), F.col("root2").alias("root"),
+                (F.col("depth") + 1 + F.col("d2")).alias("depth"), (F.col("total") + F.col("s2")).alias("total"),
             ),
             "steps",
         )
+        done, live = done.unionByName(state.where("up IS NULL")), state.where("up IS NOT NULL")
         width *= 2
-    return state.select("tree", "node", "root", "depth", "total"), jumps
+    return done.select("tree", "node", "root", "depth", "total"), jumps
 
 
 def best_paths(nodes: DataFrame, paths_per_tree: int = 1) -> DataFrame:
