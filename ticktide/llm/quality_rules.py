@@ -166,6 +166,15 @@ def quality_rules(
     )
 
 
+def keep_good(
+    docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep; rows that share an id go together."""
+    verdicts = quality_rules(docs, limits, id_col, text_col, host_col)
+    gone = verdicts.where("NOT kept").select(F.col("id").alias(id_col)).distinct()
+    return common.without(docs, common.written(gone, "rejected"), [id_col])
+
+
 def without_common_lines(
     docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:

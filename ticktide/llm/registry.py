@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_text, line_dedup, packing, quality_rules, sharding, simhash, token_file
+from . import (
+    chat_format,
+    exact_dedup,
+    html_text,
+    line_dedup,
+    packing,
+    quality_rules,
+    sentencepiece_sampling,
+    sharding,
+    simhash,
+    token_file,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_sentencepiece_sampling": sentencepiece_sampling.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_simhash": simhash.query,
     "op5_line_dedup": line_dedup.query,
