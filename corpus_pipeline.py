@@ -1,25 +1,41 @@
-"""Corpus pipeline: quality rules and exact dedup."""
+"""Corpus pipeline over ``documents``: quality rules, exact dedup, SimHash near-dedup, packing.
+
+A stage takes the documents that its predecessor kept, whole, and returns documents
+with the same columns; the last returns their pieces packed into sequences. In the
+first stage the rules decide which documents go; the texts of those that stay are
+not touched (``quality_rules.without_common_lines`` gives the stripped texts).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticktide.llm import common, exact_dedup, quality_rules
+from ticktide.llm import common, exact_dedup, packing, quality_rules, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = common.written(quality_rules.quality_rules(docs).where("NOT kept"), "rejected")
-    return common.without(docs, verdicts.withColumnRenamed("id", "doc_id"), ["doc_id"])
+    return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document, the largest id, of each group of equal texts."""
     index = exact_dedup.DigestIndex(spark, common.new_path(spark, "digest_index"))
     return exact_dedup.keep_one(docs, index)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each component of linked fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("best-fit packing", pack)]
+#: Fingerprints and tokenization have no SQL; tests/llm hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
