@@ -9,8 +9,9 @@ fail the base rules. All of it is DataFrame code.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null
 host is a host of its own; documents on one line, however long, are one line;
-a repeated row counts once as a document and gets a result row each; an empty
-table gives an empty result; other columns are not touched.
+a repeated row counts once as a document and gets a result row each; a row without
+an id loses no lines; an empty table gives an empty result; other columns are not
+touched.
 """
 
 from __future__ import annotations
@@ -124,23 +125,21 @@ def common_lines(rows: DataFrame, limits: Limits) -> DataFrame:
 
 
 def line_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(id, removed_words, removed_lines) of the documents that lose lines. ``docs``: (id, host, text)."""
+    """(id, text_key, removed_words, removed_lines) of the documents that lose lines. ``docs``: (id, host, text)."""
     lines = F.filter(F.split("text", "\n"), has_word)
     keyed = docs.select(
         "id", "host", "text", F.transform(lines, lambda x: F.xxhash64(normal_line(x))).alias("line_keys")
     )
     above = common.written(common_lines(keyed, limits), "common_lines")
-    each = docs.select("id", "host", F.explode(lines).alias("line")).select(
-        "id", "host", F.xxhash64(normal_line(F.col("line"))).alias("key"), "line"
-    )
+    each = docs.select("id", "host", F.xxhash64("text").alias("text_key"), F.posexplode(lines).alias("at", "line"))
     found = above.select(F.col("host").alias("h"), F.col("line").alias("k"), "first")
     if above.count() <= common.BROADCAST_ROWS:  # else a join by a shuffle, whose skewed keys are split
         found = F.broadcast(found)
-    hit = each.join(found, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")))
-    hit = hit.where(F.col("id") != F.col("first"))
-    return hit.groupBy("id").agg(
-        F.sum(F.size(words_of(F.col("line")))).alias("removed_words"), F.count("*").alias("removed_lines")
-    )
+    key = F.xxhash64(normal_line(F.col("line")))
+    hit = each.join(found, F.col("host").eqNullSafe(F.col("h")) & (key == F.col("k"))).where("id <> first")
+    # a row that repeats counts its lines once
+    hit = hit.select("id", "text_key", "at", F.size(words_of(F.col("line"))).alias("n")).distinct()
+    return hit.groupBy("id", "text_key").agg(F.sum("n").alias("removed_words"), F.count("*").alias("removed_lines"))
 
 
 def quality_rules(
@@ -150,9 +149,11 @@ def quality_rules(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    lost = line_rules(rows, limits).withColumnRenamed("id", "lost_id")
-    base = counted(rows).drop("text", "lines")
-    out = base.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left")
+    lost = line_rules(rows, limits).select(
+        F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key"), "removed_words", "removed_lines"
+    )
+    base = counted(rows).withColumn("text_key", F.xxhash64("text")).drop("text", "lines")
+    out = base.join(lost, (F.col("id") == F.col("lost_id")) & (F.col("text_key") == F.col("lost_key")), "left")
     failed = (F.col("n_words") < limits.min_words) | (
         100 * F.col("n_repeat_words") > limits.max_repeat_pct * F.col("n_words")
     )
@@ -169,10 +170,10 @@ def quality_rules(
 def keep_good(
     docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """The rows of ``docs`` that the rules keep; rows that share an id go together."""
+    """The rows of ``docs`` that the rules keep; an id goes if none of its rows is kept."""
     verdicts = quality_rules(docs, limits, id_col, text_col, host_col)
-    gone = verdicts.where("NOT kept").select(F.col("id").alias(id_col)).distinct()
-    return common.without(docs, common.written(gone, "rejected"), [id_col])
+    gone = verdicts.groupBy(F.col("id").alias(id_col)).agg(F.max("kept").alias("kept")).where("NOT kept")
+    return common.without(docs, common.written(gone.select(id_col), "rejected"), [id_col])
 
 
 def without_common_lines(

@@ -233,7 +233,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, the smallest id, of each component."""
+    """``docs`` with one document, the smallest id, of each component.
+
+    An id goes if none of its rows stays; rows without an id cannot be named, and stay.
+    """
     marked = common.written(fingerprints(docs, id_col, text_col), "fingerprints")
-    gone = near_groups(marked).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(id_col))
-    return common.without(docs, common.written(gone, "near_copies"), [id_col])
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = near_groups(marked).groupBy(F.col("doc_id").alias(id_col)).agg(stays.alias("stays")).where("NOT stays")
+    return common.without(docs, common.written(gone.select(id_col).dropna(), "near_copies"), [id_col])
