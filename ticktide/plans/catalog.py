@@ -362,10 +362,10 @@ _EPOCH_LEVELS = f"""seg AS (SELECT *, sum(CASE WHEN record_type = 2 THEN 1 ELSE
 ev AS (SELECT {K}, seg, side_flags AS side, price, size, false AS snap FROM seg WHERE record_type = 0
   UNION ALL SELECT {K}, seg, 0, l.price, l.size, true FROM (SELECT *, unnest(bids) AS l FROM seg WHERE record_type = 2)
   UNION ALL SELECT {K}, seg, 1, l.price, l.size, true FROM (SELECT *, unnest(asks) AS l FROM seg WHERE record_type = 2)),
-asof AS (SELECT b.epoch, e.*, max(seg) OVER (PARTITION BY b.epoch, e.venue_id, e.instrument_id) AS last_seg,
+pit AS (SELECT b.epoch, e.*, max(seg) OVER (PARTITION BY b.epoch, e.venue_id, e.instrument_id) AS last_seg,
     row_number() OVER (PARTITION BY b.epoch, e.venue_id, e.instrument_id, seg, side, price ORDER BY e.exchange_ts DESC, e.sequence_number DESC) AS rn
   FROM bounds b JOIN ev e ON e.venue_id = b.venue_id AND e.exchange_ts <= b.exchange_ts),
-lv AS (SELECT * FROM asof WHERE rn = 1 AND seg = last_seg AND (snap OR size <> 0))"""
+lv AS (SELECT * FROM pit WHERE rn = 1 AND seg = last_seg AND (snap OR size <> 0))"""
 
 
 @query("epoch_rows", f"""WITH RECURSIVE {SNAPS}, {BOUNDS}, {_EPOCH_SEEN}, {_EPOCH_LEVELS},
