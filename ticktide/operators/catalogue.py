@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import errors
@@ -46,7 +46,7 @@ def parse_manifests(texts: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """Manifests ``*.json`` of a folder; a run is named by its file."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    texts = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     run = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     return parse_manifests(texts.select(run.alias("run_id"), "value"))
 
@@ -89,8 +89,6 @@ def parse_benchmarks(lines: DataFrame) -> DataFrame:
     fault = F.when(ns.isNull() | size.isNull() | allocs.isNull(), "MissingMetric").when(
         ~ns.rlike(_NUMBER) | ~size.rlike(r"^\d+$") | ~allocs.rlike(r"^\d+$"), "BadValue"
     )
-    from pyspark.sql import Window
-
     name = F.regexp_replace(F.get("w", F.lit(0)), r"-\d+$", "")
     order = Window.partitionBy("name").orderBy("line")
     return parts.select(
@@ -102,7 +100,7 @@ def parse_benchmarks(lines: DataFrame) -> DataFrame:
 
 def ingest_benchmarks(spark: SparkSession, path: str, git_commit: str) -> int:
     """All measurements of a benchmark text, recorded at the file's time."""
-    text = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_modification_time")
+    text = spark.read.text(path, wholetext=True).select("value", "_metadata.file_modification_time")
     nanos = F.unix_micros("file_modification_time") * 1000
     lines = text.select(nanos.alias("recorded"), F.posexplode(F.split("value", "\n")).alias("at", "value"))
     parsed = parse_benchmarks(lines.select((F.col("at") + 1).alias("line"), "value"))
@@ -116,7 +114,7 @@ def ingest_benchmarks(spark: SparkSession, path: str, git_commit: str) -> int:
 def dataset_identity(spark: SparkSession, folder: str, pattern: str = "*.bin") -> DataFrame:
     """(path, hash) of the artifacts of a folder, by path; the hash is empty where its sidecar is missing."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
-    side = spark.read.option("wholetext", True).option("pathGlobFilter", pattern + ".hash").text(folder)
+    side = spark.read.option("pathGlobFilter", pattern + ".hash").text(folder, wholetext=True)
     own = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.hash$", 1)
     side = side.select(own.alias("name"), F.trim(F.regexp_replace("value", r"\s+$", "")).alias("hash"))
     name = F.element_at(F.split("path", "/"), -1)
