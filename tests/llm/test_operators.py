@@ -273,6 +273,14 @@ def test_line_dedup_blocks(spark):
     assert all(out[i].text == f"own {i - 10}\nown {i - 10} too" for i in range(11, 60))
 
 
+def test_runs_of_short_frequent_lines(spark):
+    notice = "one two three\nfour five six\nseven eight nine\nten eleven twelve\na b c\nd e f\ng h i"
+    rows = [(i, f"own {i}\n{notice}\nown {i} too") for i in range(30)] + [(90, "a b c\nx\nd e f"), (91, "four five six")]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=3).collect()}
+    assert out[0] == rows[0][1] and out[90] == rows[30][1] and out[91] == rows[31][1]
+    assert all(out[i] == f"own {i}\nown {i} too" for i in range(1, 30))
+
+
 def test_html_layout():
     page = """<html><head><title>T</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b>
  three<p>Next<br>line &amp; more<ul><li>a<li>b<ol><li>x<li>y</ol><li>c</ul><div hidden>no</div><div style="display: none">no<p>no</div>

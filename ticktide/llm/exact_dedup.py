@@ -24,9 +24,14 @@ from . import common
 
 
 class DigestIndex:
-    """Digests seen so far, as a bucketed table at ``path``."""
+    """Digests seen so far, as a bucketed table at ``path``.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, id_type: str = "bigint"):
+    The number of buckets is fixed when the index is made (the session's shuffle
+    partitions if not given) and kept beside it, so that any session reads it right.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
+        buckets = self._fixed(spark, f"{path}.buckets", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "digest_index_" + hashlib.sha1(path.encode()).hexdigest()[:16]
         spark.sql(
@@ -34,6 +39,13 @@ class DigestIndex:
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    @staticmethod
+    def _fixed(spark: SparkSession, path: str, buckets: int) -> int:
+        stored = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not stored.getFileSystem(spark._jsc.hadoopConfiguration()).exists(stored):
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(path)
+        return spark.read.schema("buckets int").parquet(path).first()[0]
+
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 

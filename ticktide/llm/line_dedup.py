@@ -2,9 +2,10 @@
 
 Lines that have words are hashed. A line that several documents hold links each of
 them to the first (smallest id) document that holds it, so a line in n documents
-makes n - 1 pairs, never all pairs. Pairs come from rare lines: those in at most
-``rare`` documents, and those of ``min_words`` words or more, which chance does not
-repeat however often they occur. The common lines of a pair are aligned by patience
+makes n - 1 pairs, never all pairs. Pairs come from rare lines, those in at most
+``rare`` documents, and, however frequent, from lines and from runs of lines that
+reach ``min_words`` words: each block that is long enough to go begins with one.
+The common lines of a pair are aligned by patience
 diff (lines unique on both sides first, the longest increasing run of them, then
 the gaps between), and aligned blocks of at least ``min_words`` words are deleted
 from the later document.
@@ -22,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -148,6 +149,37 @@ def _aligned(min_words: int):
     return run
 
 
+def run_pairs(shared: DataFrame, min_words: int) -> DataFrame:
+    """(late, early) of documents and the first that holds the same run of short lines.
+
+    A run starts at a line and takes lines until it has ``min_words`` words, which
+    are at most as many lines.
+    """
+    ahead = Window.partitionBy("id").orderBy("rank").rowsBetween(0, min_words - 1)
+    lines = F.collect_list(F.struct("rank", "h1", "h2", "words")).over(ahead)
+    start = F.struct(
+        F.lit(0).alias("words"), F.col("rank").alias("next"), F.lit(0).cast("long").alias("h"), F.lit(False).alias("broken")
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        broken = acc["broken"] | (x["rank"] != acc["next"])
+        more = (acc["words"] < min_words) & ~broken
+        return F.struct(
+            F.when(more, acc["words"] + x["words"]).otherwise(acc["words"]).alias("words"),
+            (acc["next"] + 1).alias("next"),
+            F.when(more, F.xxhash64(acc["h"], x["h1"], x["h2"])).otherwise(acc["h"]).alias("h"),
+            broken.alias("broken"),
+        )
+
+    runs = shared.withColumn("run", F.aggregate(lines, start, step)).where(
+        (F.col("words") < min_words) & (F.col("run.words") >= min_words)
+    )
+    runs = common.written(runs.select("id", F.col("run.h").alias("h")).distinct(), "runs")
+    first = runs.groupBy("h").agg(F.min("id").alias("early"))
+    met = runs.join(first.hint("merge"), "h").where("id <> early")
+    return met.select(F.col("id").alias("late"), "early")
+
+
 def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, at, words) of the lines of (id, text) to delete; id is a long."""
     lines = common.written(lines_of(docs.where("id IS NOT NULL AND text IS NOT NULL")), "lines")
@@ -158,7 +190,8 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     # skewed lines are split by Spark: both sides of these joins are shuffled
     shared = common.written(lines.join(stats.hint("merge"), ["h1", "h2"]), "shared")
     pairs = shared.where(f"id <> first AND (n <= {rare} OR words >= {min_words})")
-    pairs = common.written(pairs.select(F.col("id").alias("late"), F.col("first").alias("early")).distinct(), "pairs")
+    pairs = pairs.select(F.col("id").alias("late"), F.col("first").alias("early"))
+    pairs = common.written(pairs.unionByName(run_pairs(shared, min_words)).distinct(), "pairs")
     late = pairs.join(shared.withColumnRenamed("id", "late").hint("merge"), "late").select(
         "late", "early", "h1", "h2", "rank", "at", "words"
     )
