@@ -45,6 +45,15 @@ def test_large_sequence_numbers_and_empty(spark):
     assert order.with_emit_index(frame(spark, [])).count() == 0
 
 
+def test_crowded_time_is_parted(spark):
+    far = frame(spark, [rec(0, 1, 1), *(rec(BASE + i // 4, i, 1) for i in range(400)), rec(2**62, 1, 1)])
+    _, table = order._time_slices(far, 0, 2**62, 64)
+    assert table is not None
+    got = order.with_emit_index(far, 64).orderBy("emit_index").collect()
+    assert [r.emit_index for r in got] == list(range(402))
+    assert [r.exchange_ts for r in got] == sorted(r.exchange_ts for r in got)
+
+
 def test_ordered_stream(spark):
     records = synth.build(spark)
     rows = [tuple(r[k] for k in schema.KEY) for r in order.ordered(records, 5).toLocalIterator()]

@@ -12,7 +12,7 @@ from ..functions.columns import key
 from ..schema import KEY, SNAPSHOT
 
 #: Slices of time whose records are counted and ranked apart.
-SLICES = 4096
+SLICES = 2048
 
 
 def merge(venues: list[DataFrame]) -> DataFrame:
@@ -46,24 +46,54 @@ def ordered(records: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.sortWithinPartitions(*KEY)
 
 
+def _time_slices(records: DataFrame, low: int, high: int, slices: int) -> tuple[Column, DataFrame | None]:
+    """An expression that numbers slices of time in ascending order, and the table it needs joined.
+
+    Slices are of equal length at first. Where records crowd into few of them, as
+    around a stray timestamp or in trading hours, a slice with more than twice its
+    share is cut into as many parts as it has shares; the table, of at most
+    ``slices`` rows, says how.
+    """
+    width = (high - low) // slices + 1
+    ts = F.col("exchange_ts")
+    coarse = F.call_function("div", ts - F.lit(low), F.lit(width).cast("long"))
+    counts = dict(map(tuple, records.groupBy(coarse.alias("s")).agg(F.count("*")).collect()))  # at most ``slices`` rows
+    share = sum(counts.values()) // slices + 1
+    if max(counts.values()) <= 2 * share:
+        return coarse, None
+    rows, first = [], 0
+    for s, n in sorted(counts.items()):
+        step = max(1, width * share // n)
+        rows.append((s, low + s * width, step, first))
+        first += -(-width // step)
+    table = records.sparkSession.createDataFrame(rows, "__coarse long, __low long, __step long, __first long")
+    return F.col("__first") + F.call_function("div", ts - F.col("__low"), F.col("__step")), table
+
+
 def with_emit_index(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """Records with their place in the total order, from 0 without gaps, as a long.
 
-    Time is cut into slices of equal length. Counts per slice, of which there are at
-    most ``slices``, are summed up; a record's index is its rank in its slice and
-    the count before it. No task sees more than some slices.
+    Time is cut into slices that hold about as many records each. Counts per slice,
+    of which there are a few times ``slices`` at most, are summed up; a record's
+    index is its rank in its slice and the count before it. Only records of one
+    instant cannot be parted.
     """
     low, high = records.agg(F.min("exchange_ts"), F.max("exchange_ts")).first()
     if low is None:
         return records.withColumn("emit_index", F.lit(None).cast("long"))
-    width = (high - low) // slices + 1
-    dealt = records.withColumn("__slice", F.call_function("div", F.col("exchange_ts") - F.lit(low), F.lit(width)))
+    number, table = _time_slices(records, low, high, slices)
+    dealt = records
+    if table is not None:
+        width = (high - low) // slices + 1
+        on = F.call_function("div", F.col("exchange_ts") - F.lit(low), F.lit(width).cast("long")) == F.col("__coarse")
+        dealt = records.join(F.broadcast(table), on)
+    dealt = dealt.select(*records.columns, number.alias("__slice"))
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("__slice").agg(F.count("*").alias("n"))
     begins = counts.select("__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begin"))
     in_slice = Window.partitionBy("__slice").orderBy(*KEY)
     ranked = dealt.withColumn("__rank", F.row_number().over(in_slice).cast("long") - 1)
-    # at most ``slices`` rows
+    # a row per slice
     out = ranked.join(F.broadcast(begins), "__slice")
     return out.select(*records.columns, (F.col("__begin") + F.col("__rank")).alias("emit_index"))
 
