@@ -445,6 +445,9 @@ def test_binary_round_trip_and_corruption(spark, tmp_path):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     back = spark.read.format("hotfile").option("blocks", 1).load(str(tmp_path))
     assert canonical.digest(back) == canonical.digest(records)
+    two = json.dumps([str(tmp_path / n) for n, _ in names[:2]])
+    some = spark.read.format("hotfile").option("paths", two).load()
+    assert some.count() == sum(len(hotfile.HotFile((tmp_path / n).read_bytes())) for n, _ in names[:2])
     assert back.where("exchange_ts >= 900").count() == records.where("exchange_ts >= 900").count()
     assert sorted(r.path.split("/")[-1] for r in catalogue.dataset_identity(spark, str(tmp_path)).collect()) == [n for n, _ in names]
     assert {r.hash for r in catalogue.artifact_hashes(spark, str(tmp_path)).collect()} == {h for _, h in names}

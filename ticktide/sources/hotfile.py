@@ -8,6 +8,7 @@ writes artifacts from records. Everything is little-endian.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -247,8 +248,12 @@ def parse_payload(body: bytes, level_count: int | None = None) -> tuple[list[dic
 
 
 def _files(path: str) -> tuple[object, list]:
+    """The store and the artifacts of a file, a folder, or a JSON list of them."""
     from pyarrow import fs
 
+    if path.startswith("["):
+        parts = [_files(p) for p in json.loads(path)]
+        return parts[0][0], [f for _, files in parts for f in files]
     store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     info = store.get_file_info(root)
     found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root))
@@ -265,7 +270,7 @@ class BlockRange(InputPartition):
 
 class HotFileReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.per_task = options["path"], int(options.get("blocks", 256))
+        self.path, self.per_task = options.get("paths") or options["path"], int(options.get("blocks", 256))
         self.from_ts: int | None = None
 
     def pushFilters(self, filters):
@@ -329,7 +334,10 @@ class HotFileReader(DataSourceReader):
 
 
 class HotFileSource(DataSource):
-    """``spark.read.format("hotfile").load(folder)``, after ``spark.dataSource.register(HotFileSource)``."""
+    """``spark.read.format("hotfile").load(folder)``, after ``spark.dataSource.register(HotFileSource)``.
+
+    Option ``paths``: a JSON list of files or folders instead; ``blocks``: blocks per task.
+    """
 
     @classmethod
     def name(cls) -> str:
