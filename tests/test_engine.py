@@ -45,13 +45,15 @@ def test_large_sequence_numbers_and_empty(spark):
     assert order.with_emit_index(frame(spark, [])).count() == 0
 
 
-def test_crowded_time_is_parted(spark):
-    far = frame(spark, [rec(0, 1, 1), *(rec(BASE + i // 4, i, 1) for i in range(400)), rec(2**62, 1, 1)])
-    _, table = order._time_slices(far, 0, 2**62, 64)
-    assert table is not None
-    got = order.with_emit_index(far, 64).orderBy("emit_index").collect()
-    assert [r.emit_index for r in got] == list(range(402))
-    assert [r.exchange_ts for r in got] == sorted(r.exchange_ts for r in got)
+@pytest.mark.parametrize("slices", [1, 16, 64, 4096])
+def test_crowded_and_extreme_times(spark, slices):
+    times = [-(2**63), -1, 0, 1, *(BASE + i // 4 * 10**9 for i in range(400)), 2**62, 2**63 - 1]
+    times += [s * order.SLOT + d for s in (-2, -1, 1, 2) for d in (-1, 0, 1)]
+    random.Random(2).shuffle(times)
+    rows = frame(spark, [rec(t, i, 1) for i, t in enumerate(times)])
+    got = order.with_emit_index(rows, slices).orderBy("emit_index").collect()
+    assert [r.emit_index for r in got] == list(range(len(times)))
+    assert [r.exchange_ts for r in got] == sorted(times)
 
 
 def test_ordered_stream(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from .. import errors
 from ..functions.columns import key
 from ..schema import KEY, SNAPSHOT
 
-#: Slices of time whose records are counted and ranked apart.
-SLICES = 2048
+#: Nanoseconds of a slot of time, and into how many shares records are cut.
+SLOT, SLICES = 1 << 42, 2048
 
 
 def merge(venues: list[DataFrame]) -> DataFrame:
@@ -46,55 +47,49 @@ def ordered(records: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.sortWithinPartitions(*KEY)
 
 
-def _time_slices(records: DataFrame, low: int, high: int, slices: int) -> tuple[Column, DataFrame | None]:
-    """An expression that numbers slices of time in ascending order, and the table it needs joined.
+def _slot() -> Column:
+    return F.call_function("div", F.col("exchange_ts"), F.lit(SLOT).cast("long"))
 
-    Slices are of equal length at first. Where records crowd into few of them, as
-    around a stray timestamp or in trading hours, a slice with more than twice its
-    share is cut into as many parts as it has shares; the table, of at most
-    ``slices`` rows, says how.
-    """
-    width = (high - low) // slices + 1
-    ts = F.col("exchange_ts")
-    coarse = F.call_function("div", ts - F.lit(low), F.lit(width).cast("long"))
-    counts = dict(map(tuple, records.groupBy(coarse.alias("s")).agg(F.count("*")).collect()))  # at most ``slices`` rows
-    share = sum(counts.values()) // slices + 1
-    if max(counts.values()) <= 2 * share:
-        return coarse, None
-    rows, first = [], 0
-    for s, n in sorted(counts.items()):
-        step = max(1, width * share // n)
-        rows.append((s, low + s * width, step, first))
-        first += -(-width // step)
-    table = records.sparkSession.createDataFrame(rows, "__coarse long, __low long, __step long, __first long")
-    return F.col("__first") + F.call_function("div", ts - F.col("__low"), F.col("__step")), table
+
+def _prefix(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(slice, records before it) of sorted (slice, records)."""
+    sums = accumulate((n for _, n in rows), initial=0)
+    return [(s, before) for (s, _), before in zip(rows, sums)]
 
 
 def with_emit_index(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """Records with their place in the total order, from 0 without gaps, as a long.
 
-    Time is cut into slices that hold about as many records each. Counts per slice,
-    of which there are a few times ``slices`` at most, are summed up; a record's
-    index is its rank in its slice and the count before it. Only records of one
-    instant cannot be parted.
+    One pass counts records per slot of time (73 minutes); the counts, whose number
+    follows the span of time and not the data, are summed up on the driver and
+    broadcast, and a record's index is its rank in its slot and the count before it.
+    Slots that hold more than twice a fair share, as in trading hours, are cut into
+    parts of equal length and counted again, so that no task sorts much more than
+    others; only records of one instant cannot be parted.
     """
-    low, high = records.agg(F.min("exchange_ts"), F.max("exchange_ts")).first()
-    if low is None:
+    spark = records.sparkSession
+    counts = sorted(map(tuple, records.groupBy(_slot()).agg(F.count("*")).collect()))
+    if not counts:
         return records.withColumn("emit_index", F.lit(None).cast("long"))
-    number, table = _time_slices(records, low, high, slices)
-    dealt = records
-    if table is not None:
-        width = (high - low) // slices + 1
-        on = F.call_function("div", F.col("exchange_ts") - F.lit(low), F.lit(width).cast("long")) == F.col("__coarse")
-        dealt = records.join(F.broadcast(table), on)
-    dealt = dealt.select(*records.columns, number.alias("__slice"))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("__slice").agg(F.count("*").alias("n"))
-    begins = counts.select("__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__begin"))
+    share = sum(n for _, n in counts) // slices + 1
+    dealt = records.withColumn("__slice", _slot())
+    if max(n for _, n in counts) > 2 * share:
+        parts, first = [], 0
+        for s, n in counts:
+            k = -(-n // share) if n > 2 * share else 1
+            # slot 0 lies on both sides of time 0 and is twice as long
+            low, length = (s * SLOT, SLOT) if s > 0 else (s * SLOT - SLOT + 1, SLOT if s else 2 * SLOT - 1)
+            step = -(-length // k)
+            parts.append((s, max(low, -(2**63)), step, first))
+            first += -(-length // step)
+        table = F.broadcast(spark.createDataFrame(parts, "__slice long, __low long, __step long, __first long"))
+        part = F.call_function("div", F.col("exchange_ts") - F.col("__low"), F.col("__step"))
+        dealt = dealt.join(table, "__slice").select(*records.columns, (F.col("__first") + part).alias("__slice"))
+        counts = sorted(map(tuple, dealt.groupBy("__slice").agg(F.count("*")).collect()))
+    begins = F.broadcast(spark.createDataFrame(_prefix(counts), "__slice long, __begin long"))
     in_slice = Window.partitionBy("__slice").orderBy(*KEY)
     ranked = dealt.withColumn("__rank", F.row_number().over(in_slice).cast("long") - 1)
-    # a row per slice
-    out = ranked.join(F.broadcast(begins), "__slice")
+    out = ranked.join(begins, "__slice")
     return out.select(*records.columns, (F.col("__begin") + F.col("__rank")).alias("emit_index"))
 
 

@@ -40,8 +40,8 @@ class BookProcessor(StatefulProcessor):
                 raise errors.named("DuplicateKey" if at == now else "OutOfOrder")(f"venue {venue}: {at}")
             now = at
             if r.record_type == SNAPSHOT:
-                for (level,) in [(k,) for k in self.levels.keys()]:
-                    changed[(int(level[0]), int(level[1]))] = 0
+                for side, price in list(self.levels.keys()):
+                    changed[int(side), int(price)] = 0
                 self.levels.clear()
                 for side, levels in enumerate((r.bids, r.asks)):
                     for x in levels if levels is not None else []:
