@@ -40,7 +40,7 @@ from . import tokens
 
 SPACE = "▁"
 #: Units whose nodes a worker keeps, and characters of text that are drawn together.
-MOST_UNITS, CHUNK = 250_000, 1 << 20
+MOST_UNITS, CHUNK = 200_000, 1 << 20
 #: Stands after a unit's last character; no code point.
 STOP = 0x10FFFF + 1
 #: Places that no piece crosses; checked against the model when it is read.
@@ -77,8 +77,21 @@ class Grown:
         self.n += len(values)
 
 
+class Numbers(dict):
+    """Numbers units in the order they come; the new ones are listed in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class Lattice:
-    """Nodes and edges of units. An edge is a piece; edges of a node stand by falling probability."""
+    """Nodes and edges of units. An edge is a piece; a node's edges stand together, the longest first."""
 
     def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
@@ -128,44 +141,61 @@ class Lattice:
                 self.root[c] = b
 
     def _clear(self) -> None:
-        self.units: dict[str, int] = {}
-        self.first, self.degree = Grown(np.int64), Grown(np.int32)
-        self.piece, self.next, self.start = Grown(np.int32), Grown(np.int32), Grown(np.int32)
-        self.lp, self.rest, self.cum, self.p = (Grown(np.float64) for _ in range(4))
+        self.units = Numbers()
+        if not hasattr(self, "begin"):
+            self.begin, self.first, self.degree = Grown(np.int64), Grown(np.int64), Grown(np.int32)
+            self.piece, self.next, self.start = Grown(np.int32), Grown(np.int32), Grown(np.int32)
+            self.lp, self.rest, self.cum, self.p = (Grown(np.float64) for _ in range(4))
+        for grown in vars(self).values():
+            if isinstance(grown, Grown):
+                grown.n = 0
 
     def nodes(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The first nodes of the units of each text."""
-        missing = {u for t in texts for u in t if u not in self.units}
-        if len(self.units) + len(missing) > MOST_UNITS and self.units:
+        if len(self.units) > MOST_UNITS:
             self._clear()
-            missing = {u for t in texts for u in t}
-        if missing:
-            self._add(list(missing))
-        find = self.units.__getitem__
-        return [np.fromiter(map(find, t), np.int64, len(t)) for t in texts]
-
-    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, piece) of all pieces in the text, and byte edges for characters without one."""
+        number = self.units.__getitem__
+        found = [np.fromiter(map(number, t), np.int64, len(t)) for t in texts]
+        if self.units.new:
+            self._add(self.units.new)
+            self.units.new = []
+        return [self.begin.data[x] for x in found]
+
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, end, piece, degree, first): all pieces in the text, a node's together, longest first.
+
+        Characters without a piece of their own get an edge for their bytes.
+        """
         at = np.flatnonzero(codes != STOP)
         state = self.root[codes[at]].astype(np.int64)
         alive = state >= 0
         found = []
         where, state, length = at[alive], state[alive], 1
+        degree = np.zeros(len(codes), np.int64)
         single = np.zeros(len(codes), bool)
         while len(where):
             own = self.own[state]
             hit = own >= 0
+            begin = where[hit]
             if length == 1:
-                single[where[hit]] = True
-            found.append((where[hit], where[hit] + length, own[hit]))
+                single[begin] = True
+            found.append((begin, length, own[hit], degree[begin]))
+            degree[begin] += 1
             key = (state << 21) | codes[where + length]
             k = np.searchsorted(self.keys, key)
             k[k == len(self.keys)] = 0
             good = self.keys[k] == key
             where, state, length = where[good], self.to[k[good]], length + 1
         bare = at[~single[at]]
-        found.append((bare, bare + 1, -1 - codes[bare]))  # the character's byte pieces
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((bare, 1, -1 - codes[bare], degree[bare]))
+        degree[bare] += 1
+        first = np.cumsum(degree) - degree
+        n = int(degree.sum())
+        start, end, piece = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64)
+        for begin, length, own, rank in found:
+            slot = first[begin] + degree[begin] - 1 - rank
+            start[slot], end[slot], piece[slot] = begin, begin + length, own
+        return start, end, piece, degree, first
 
     def _add(self, units: list[str]) -> None:
         size = np.fromiter(map(len, units), np.int64, len(units))
@@ -174,34 +204,36 @@ class Lattice:
         inside = np.ones(len(codes), bool)
         inside[stops] = False
         codes[inside] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
-        start, end, piece = self._edges(codes)
-        distance = stops[np.searchsorted(stops, start)] - start
-        byte_lp = self.weight[self.byte_id[0]]
-        lp = np.where(piece >= 0, self.weight[np.maximum(piece, 0)], byte_lp * _utf8_length(-1 - piece))
-        order = np.lexsort((start, distance))
-        start, end, piece, lp, distance = (x[order] for x in (start, end, piece, lp, distance))
+        start, end, piece, degree, first = self._edges(codes)
+        lp = self.weight[np.maximum(piece, 0)]
+        odd = np.flatnonzero(piece < 0)
+        lp[odd] = self.weight[self.byte_id[0]] * _utf8_length(-1 - piece[odd])
+        # sums from each node to its unit's end, by the distance from there
+        distance = np.repeat(stops, size + 1) - np.arange(len(codes))
+        order = np.argsort(distance.astype(np.uint16) if distance.max() < 1 << 16 else distance, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(distance))])
         total = np.zeros(len(codes))
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(distance)) + 1, [len(distance)]])
-        for a, b in pairwise(cuts.tolist()):
-            if a == b:
-                continue
-            value = lp[a:b] + total[end[a:b]]
-            seg = np.concatenate([[0], np.flatnonzero(np.diff(start[a:b])) + 1])
-            total[start[a:b][seg]] = np.logaddexp.reduceat(value, seg)
-        lp = lp + total[end] - total[start]
-        order = np.lexsort((-lp, start))
-        start, end, piece, lp = (x[order] for x in (start, end, piece, lp))
-        degree = np.bincount(start, minlength=len(codes))
-        first = np.concatenate([[0], np.cumsum(degree)[:-1]])
-        lp = np.where(degree[start] == 1, 0.0, np.minimum(lp, 0.0))
+        for a, b in pairwise(cuts[1:].tolist()):
+            if a < b:
+                nodes = order[a:b]
+                many = degree[nodes]
+                edges = _ragged(first[nodes], many)
+                value = lp[edges] + total[end[edges]]
+                begin = np.cumsum(many) - many
+                high = np.maximum.reduceat(value, begin)
+                total[nodes] = high + np.log(np.add.reduceat(np.exp(value - np.repeat(high, many)), begin))
+        lp = np.minimum(lp + total[end] - total[start], 0.0)
+        alone = degree[start] == 1
+        lp[alone] = 0.0
         p = np.exp(lp)
         run = np.cumsum(p)
-        cum = run - (run - p)[first[start]]
-        last = np.arange(len(start)) == first[start] + degree[start] - 1
-        cum[last] = 2.0
-        others = np.maximum(1.0 - p, 1e-300)
-        rest = np.where(degree[start] == 1, -np.inf, np.log(others))
+        own = np.flatnonzero(degree)
+        cum = run - np.repeat((run - p)[first[own]], degree[own])
+        cum[first[own] + degree[own] - 1] = 2.0
+        rest = np.log(np.maximum(1.0 - p, 1e-300))
+        rest[alone] = -np.inf
         base_node, base_edge = self.first.n, self.piece.n
+        self.begin.extend(stops - size + base_node)
         self.first.extend(first + base_edge)
         self.degree.extend(degree)
         for grown, values in (
@@ -209,8 +241,6 @@ class Lattice:
             (self.rest, rest), (self.cum, cum), (self.p, p),
         ):
             grown.extend(values)
-        begins = np.concatenate([[0], stops[:-1] + 1]) + base_node
-        self.units.update(zip(units, begins.tolist(), strict=True))
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges; an edge of bytes gives several."""
