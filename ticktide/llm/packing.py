@@ -174,8 +174,8 @@ def token_pieces(
         encode = tokens.encoder(path, False).encode
 
         def pieces(batch):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = encode(text or "") + end
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = encode(text.as_py() or "") + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, cap)):
                     yield 4 * length, (doc_id, k, start, length, ids[4 * start : 4 * (start + length)])
 
@@ -184,6 +184,7 @@ def token_pieces(
             yield from tokens.batched(
                 pieces(batch), pa.schema(list(zip(["doc_id", "piece", "start", "length", "ids"], kinds)))
             )
+        tokens.trim()
 
     return rows.mapInArrow(run, schema)
 

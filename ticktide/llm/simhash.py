@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .components import components
 
 SHINGLE, MAX_BITS, SHARED_BYTES = 4, 4, 4
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], names=["doc_id", "fp"])
+        tokens.trim()
 
     return rows.mapInArrow(run, f"doc_id {kind}, fp long")
 

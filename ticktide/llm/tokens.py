@@ -8,6 +8,8 @@ library's on the whole text (``tests/llm`` compare them).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import re
 import struct
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Pieces that a worker keeps; the table starts anew beyond that.
-MOST_PIECES = 400_000
+MOST_PIECES = 200_000
 #: Bytes of ids in an Arrow batch that goes back to Spark.
 BATCH_BYTES = 8 << 20
 #: A place between words that one white-space character separates.
@@ -155,6 +157,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def trim() -> None:
+    """Give free memory back: a worker that waits for its next task keeps what it once used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batched(rows: Iterator[tuple[int, tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Record batches of (bytes, row) pairs, each of about BATCH_BYTES."""
     held, size = [], 0
