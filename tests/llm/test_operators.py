@@ -281,6 +281,33 @@ def test_runs_of_short_frequent_lines(spark):
     assert all(out[i] == f"own {i}\nown {i} too" for i in range(1, 30))
 
 
+def all_pairs(rows, low=line_dedup.MIN_WORDS):
+    """Places that go from each document when every pair is aligned."""
+    docs = {i: {k: line for k, line in enumerate(x for x in text.split("\n") if x.strip())} for i, text in rows}
+    names = {line: k for k, line in enumerate(dict.fromkeys(x for d in docs.values() for x in d.values()))}
+    ids, out = sorted(docs), {i: set() for i in docs}
+    for k, late in enumerate(ids):
+        for early in ids[:k]:
+            both = set(docs[early].values()) & set(docs[late].values())
+            e, x = ({k: names[line] for k, line in docs[i].items() if line in both} for i in (early, late))
+            out[late] |= line_dedup.doomed(e, x, {k: len(docs[late][k].split()) for k in x}, low)
+    return {i: sorted(ranks) for i, ranks in out.items()}
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    a, b, c = (f"{w} " * 20 for w in "abc")
+    crossed = [(1, f"{b}\n{a}"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}")]
+    others = [(11, f"{c}\nown"), (12, "short\nother"), (13, f"{c}\nshort"), (14, f"{c}\nshort")]
+    rnd = random.Random(7)
+    pool = [f"{w}{k} " * n for k, n in enumerate((3, 6, 9, 12, 20, 25)) for w in "xyz"]
+    mixed = [(100 + i, "\n".join(rnd.choices(pool, k=rnd.randint(2, 9)))) for i in range(60)]
+    for rows, rare in ((crossed, 1000), (others, 1), (mixed, 1), (mixed, 1000)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        out = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(docs, rare=rare).collect()}
+        assert out == all_pairs(rows)
+    assert all_pairs(crossed)[3] == [0, 1] and all_pairs(others)[14] == [0, 1]
+
+
 def test_html_layout():
     page = """<html><head><title>T</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b>
  three<p>Next<br>line &amp; more<ul><li>a<li>b<ol><li>x<li>y</ol><li>c</ul><div hidden>no</div><div style="display: none">no<p>no</div>

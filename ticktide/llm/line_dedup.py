@@ -2,13 +2,15 @@
 
 Lines that have words are hashed. A line that several documents hold links each of
 them to the first (smallest id) document that holds it, so a line in n documents
-makes n - 1 pairs, never all pairs. Pairs come from rare lines, those in at most
+makes n - 1 pairs. Pairs come from rare lines, those in at most
 ``rare`` documents, and, however frequent, from lines and from runs of lines that
-reach ``min_words`` words: each block that is long enough to go begins with one.
+reach ``min_words`` words: each block that is long enough to go is made of them.
 The common lines of a pair are aligned by patience
 diff (lines unique on both sides first, the longest increasing run of them, then
 the gaps between), and aligned blocks of at least ``min_words`` words are deleted
-from the later document.
+from the later document. A run of which a line is still there, since its first
+holder has it in another order, is tried with the next holders (1, 2, 4, ... of
+them) until it is gone or all are tried: the result is that of aligning all pairs.
 
 Defined cases: a null or empty text has no lines and stays; white space within and
 around lines does not matter, blank lines stay where they are and do not part a
@@ -149,49 +151,45 @@ def _aligned(min_words: int):
     return run
 
 
-def run_pairs(shared: DataFrame, min_words: int) -> DataFrame:
-    """(late, early) of documents and the first that holds the same run of short lines.
+def runs(shared: DataFrame, min_words: int) -> DataFrame:
+    """(id, h, lo, hi, n): the shortest runs of consecutive lines with ``min_words`` words.
 
-    A run starts at a line and takes lines until it has ``min_words`` words, which
-    are at most as many lines.
+    A run goes from a line onwards, or from a line back, until it has the words, which
+    are at most as many lines; ``lo`` and ``hi`` are its places, ``n`` its lines. Each line
+    of a block that is long enough to go is in such a run within the block.
     """
-    ahead = Window.partitionBy("id").orderBy("rank").rowsBetween(0, min_words - 1)
-    lines = F.collect_list(F.struct("rank", "h1", "h2", "words")).over(ahead)
-    start = F.struct(
-        F.lit(0).alias("words"), F.col("rank").alias("next"), F.lit(0).cast("long").alias("h"), F.lit(False).alias("broken")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        broken = acc["broken"] | (x["rank"] != acc["next"])
-        more = (acc["words"] < min_words) & ~broken
-        return F.struct(
-            F.when(more, acc["words"] + x["words"]).otherwise(acc["words"]).alias("words"),
-            (acc["next"] + 1).alias("next"),
-            F.when(more, F.xxhash64(acc["h"], x["h1"], x["h2"])).otherwise(acc["h"]).alias("h"),
-            broken.alias("broken"),
+    out = []
+    for sign in (1, -1):
+        ends = (0, min_words - 1) if sign > 0 else (1 - min_words, 0)
+        ahead = Window.partitionBy("id").orderBy("rank").rangeBetween(*ends)
+        lines = F.collect_list(F.struct("rank", "h1", "h2", "words", "at")).over(ahead)
+        start = F.struct(
+            F.lit(0).alias("words"), F.col("rank").alias("next"), F.col("at").alias("end"), F.lit(sign).cast("long").alias("h")
         )
 
-    runs = shared.withColumn("run", F.aggregate(lines, start, step)).where(
-        (F.col("words") < min_words) & (F.col("run.words") >= min_words)
-    )
-    runs = common.written(runs.select("id", F.col("run.h").alias("h")).distinct(), "runs")
-    first = runs.groupBy("h").agg(F.min("id").alias("early"))
-    met = runs.join(first.hint("merge"), "h").where("id <> early")
-    return met.select(F.col("id").alias("late"), "early")
-
-
-def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, at, words) of the lines of (id, text) to delete; id is a long."""
-    lines = common.written(lines_of(docs.where("id IS NOT NULL AND text IS NOT NULL")), "lines")
-    stats = (
-        lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
-        .agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    )
-    # skewed lines are split by Spark: both sides of these joins are shuffled
-    shared = common.written(lines.join(stats.hint("merge"), ["h1", "h2"]), "shared")
-    pairs = shared.where(f"id <> first AND (n <= {rare} OR words >= {min_words})")
-    pairs = pairs.select(F.col("id").alias("late"), F.col("first").alias("early"))
-    pairs = common.written(pairs.unionByName(run_pairs(shared, min_words)).distinct(), "pairs")
+        def step(acc: Column, x: Column) -> Column:
+            more = (acc["words"] < min_words) & (x["rank"] == acc["next"])
+            return F.struct(
+                F.when(more, acc["words"] + x["words"]).otherwise(acc["words"]).alias("words"),
+                F.when(more, acc["next"] + sign).otherwise(acc["next"]).alias("next"),
+                F.when(more, x["at"]).otherwise(acc["end"]).alias("end"),
+                F.when(more, F.xxhash64(acc["h"], x["h1"], x["h2"])).otherwise(acc["h"]).alias("h"),
+            )
+
+        each = shared.withColumn("run", F.aggregate(lines if sign > 0 else F.reverse(lines), start, step))
+        # a line that has the words alone is the same run in both directions
+        each = each.where(f"run.words >= {min_words}" + ("" if sign > 0 else f" AND words < {min_words}"))
+        out.append(
+            each.select(
+                "id", F.col("run.h").alias("h"), F.least("at", "run.end").alias("lo"),
+                F.greatest("at", "run.end").alias("hi"), F.abs(F.col("run.next") - F.col("rank")).alias("n"),
+            )
+        )
+    return out[0].unionByName(out[1]).distinct()
+
+
+def aligned(pairs: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
+    """(id, at, words) of the lines that go from the later documents of ``pairs``."""
     late = pairs.join(shared.withColumnRenamed("id", "late").hint("merge"), "late").select(
         "late", "early", "h1", "h2", "rank", "at", "words"
     )
@@ -211,6 +209,52 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     return dealt.mapInArrow(_aligned(min_words), "id long, at int, words int").distinct()
 
 
+def still_there(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``held`` (id, lo, hi, n, ...) of which a line is not in ``gone``."""
+    at = gone.groupBy("id").agg(F.collect_set("at").alias("ats"))
+    rest = held.join(at.hint("merge"), "id", "left")
+    met = F.size(F.filter("ats", lambda a: (a >= F.col("lo")) & (a <= F.col("hi"))))
+    return rest.where(F.col("ats").isNull() | (met < F.col("n"))).select(*held.columns)
+
+
+def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, at, words) of the lines of (id, text) to delete; id is a long."""
+    lines = common.written(lines_of(docs.where("id IS NOT NULL AND text IS NOT NULL")), "lines")
+    stats = (
+        lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
+        .agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    )
+    # skewed lines are split by Spark: both sides of these joins are shuffled
+    shared = common.written(lines.join(stats.hint("merge"), ["h1", "h2"]), "shared")
+    every = common.written(runs(shared, min_words), "runs")
+    first = every.groupBy("h").agg(F.min("id").alias("early"))
+    held = common.written(every.join(first.hint("merge"), "h").where("id <> early"), "held")
+    pairs = shared.where(f"id <> first AND (n <= {rare} OR words >= {min_words})")
+    pairs = pairs.select(F.col("id").alias("late"), F.col("first").alias("early"))
+    pairs = common.written(pairs.unionByName(held.select(F.col("id").alias("late"), "early")).distinct(), "pairs")
+    gone = common.written(aligned(pairs, shared, min_words), "gone_lines")
+
+    # runs that their first holder did not take are tried with the next ones, twice as many each time
+    left = common.written(still_there(held, gone), "left")
+    if left.isEmpty():
+        return gone
+    holders = every.join(left.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "id").distinct()
+    place = F.row_number().over(Window.partitionBy("h").orderBy("id"))
+    holders = common.written(holders.withColumn("place", place), "holders")
+    left, low = left.join(holders.hint("merge"), ["h", "id"]), 2
+    while not (left := common.written(left.where(f"place > {low}"), "left")).isEmpty():
+        some = holders.where(f"place >= {low} AND place < {2 * low}").select("h", F.col("id").alias("early"))
+        met = left.select("h", F.col("id").alias("late")).join(some.hint("merge"), "h").where("early < late")
+        more = met.select("late", "early").distinct().join(pairs.hint("merge"), ["late", "early"], "left_anti")
+        more = common.written(more, "pairs")
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            gone = common.written(gone.unionByName(aligned(more, shared, min_words)).distinct(), "gone_lines")
+            left = still_there(left, gone)
+        low *= 2
+    return gone
+
+
 def dedup_lines(
     docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
