@@ -24,6 +24,12 @@ def test_query(spark, duck, name):
         assert got.num_rows
 
 
+def test_gaps_of_all_cursors(spark, duck):
+    n = duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    got = catalog.QUERIES["drop_gap_all_cursors"](spark, SF)
+    assert sorted(r.cursor for r in got.select("cursor").collect()) == list(range(n))
+
+
 def test_partitioning_does_not_matter(spark):
     was = spark.conf.get("spark.sql.shuffle.partitions")
     got = set()

@@ -432,6 +432,12 @@ def _stream(spark, sf):
     return order.with_emit_index(every), every.count()
 
 
+def _gaps(stream, n):
+    cursors = stream.select(F.col("emit_index").alias("cursor"), F.lit(n).cast("long").alias("written"))
+    held = cursors.withColumn("held", delivery.held_index(F.col("cursor"), F.col("written"), CAPACITY))
+    return held.select("cursor", "written", "held", delivery.gap(F.col("cursor"), F.col("held")).alias("g")).select("cursor", "written", "held", "g.*")
+
+
 @query("ring_retained", f"WITH {RECORDS}, {_STREAM} SELECT {K}, emit_index FROM s CROSS JOIN w WHERE emit_index >= n - {CAPACITY}")
 def _(spark, sf):
     """D-04."""
@@ -444,9 +450,14 @@ SELECT cursor, written, held, CASE WHEN held > cursor THEN cursor END AS first_m
 def _(spark, sf):
     """D-07."""
     stream, n = _stream(spark, sf)
-    cursors = stream.where("emit_index % 37 = 0").select(F.col("emit_index").alias("cursor"), F.lit(n).cast("long").alias("written"))
-    held = cursors.withColumn("held", delivery.held_index(F.col("cursor"), F.col("written"), CAPACITY))
-    return held.select("cursor", "written", "held", delivery.gap(F.col("cursor"), F.col("held")).alias("g")).select("cursor", "written", "held", "g.*")
+    return _gaps(stream.where("emit_index % 37 = 0"), n)
+
+
+@query("drop_gap_all_cursors", f"""WITH {RECORDS}, {_STREAM}, c AS (SELECT emit_index AS cursor, n AS written, emit_index + {CAPACITY} * ((n - 1 - emit_index) // {CAPACITY}) AS held FROM s CROSS JOIN w)
+SELECT cursor, written, held, CASE WHEN held > cursor THEN cursor END AS first_missed, CASE WHEN held > cursor THEN held - 1 END AS last_missed, CASE WHEN held > cursor THEN held - cursor END AS missed_count FROM c""")
+def _(spark, sf):
+    """D-07: every cursor; drop_gap_closed_form takes one in 37."""
+    return _gaps(*_stream(spark, sf))
 
 
 @query("delivery_accounting", f"""WITH {RECORDS}, w AS (SELECT count(*) AS n FROM records), h AS (SELECT n, 5 + {CAPACITY} * ((n - 1 - 5) // {CAPACITY}) AS held FROM w)
