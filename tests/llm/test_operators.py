@@ -323,6 +323,22 @@ def test_html_layout():
     assert html_text.page_text('<p title="a>b">q</p><svg><text>s</text></svg>') == "q\n\ns"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=x>\n<script>s</script> Hello <b>you</b>", "Hello you"),
+        ("<head><template><p>no</template><style>s</style>&#32;</head><body>Hello", "Hello"),
+        ("<head><link rel=x><body><p>Hello", "Hello"),
+        ("<p title=it's>I don't know<br>", "I don't know"),
+        ("<p it's title = 'a > b' class=\"c > d\" x=>one</p don't><p data-a=\"1\"hidden>no</p>two it's", "one\n\ntwo it's"),
+        ("<p it'hidden =\"x\">shown", "shown"),
+    ],
+)
+def test_html_left_out_heads_and_loose_quotes(page, want):
+    assert html_text.page_text(page) == want
+
+
 def test_html_keeps_every_word(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect():
         import re

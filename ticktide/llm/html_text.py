@@ -1,7 +1,7 @@
 """Text of web pages as a reader sees it: a tree builder and a layout-aware renderer.
 
 The builder reads tags, comments and raw-text elements, closes what the HTML
-rules imply (paragraphs, list items, table rows and cells, options) and leaves out
+rules imply (the head, paragraphs, list items, table rows and cells, options) and leaves out
 what is not shown: scripts, styles, templates, the head, elements that are hidden
 by attribute or inline style, closed ``details`` but for their summary. The
 renderer emits all visible text with a blank line around paragraphs, headings,
@@ -48,10 +48,17 @@ IMPLIED = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: Any other start tag ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: A quote opens a value only right after ``=``; elsewhere it is part of a name or of an unquoted value.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>|\Z))"""
+_NAME = r"""(?:[^ \t\n\f\r/>=]|=(?![ \t\n\f\r]*+(?:"[^"]*+\Z|'[^']*+\Z)))[^ \t\n\f\r/>=]*+"""
+_EQUALS = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+"
 _TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S
+    rf"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[ \t\n\f\r/]++|{_NAME}(?:{_EQUALS}{_VALUE})?+)*+)>|<[!?/][^>]*(?:>|\Z)",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}({_VALUE}))?+")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -94,7 +101,13 @@ def build(page: str) -> Node:
         if shut and len(stack) <= shut:
             shut = 0
 
+    def leave_head() -> None:
+        if stack[-1].tag == "head":
+            pop_to(len(stack) - 1)
+
     def add_text(text: str) -> None:
+        if text and stack[-1].tag == "head" and html.unescape(text).strip(" \t\n\f\r"):
+            leave_head()
         if text and not shut:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
@@ -115,6 +128,7 @@ def build(page: str) -> Node:
                 stack[-1].children.append(Node("p", {}))
                 continue
             if tag == "br":
+                leave_head()
                 add_text("")
                 if not shut:
                     stack[-1].children.append(Node("br", {}))
@@ -127,6 +141,8 @@ def build(page: str) -> Node:
                 if stack[depth].tag == border and tag not in IMPLIED:
                     break
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in CLOSES_P and open_p:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
