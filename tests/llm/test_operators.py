@@ -400,6 +400,17 @@ def test_draws_do_not_depend_on_batches(texts):
     assert sorted(whole) == sorted(alone)
 
 
+def test_sampling_query_returns_ids_and_texts(spark, texts):
+    rows = sps.query(spark, SF).collect()
+    lattice, text = sps.lattice_of(tokens.public_path("piece_bpe_32k.model"), 1.0), dict(texts)
+    assert {r.doc_id for r in rows} == set(text)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.n_pieces and zlib.crc32(r.ids) == r.ids_crc32
+        assert r.text == sps.decode_ids(lattice, ids) and zlib.crc32(r.text.encode()) == r.text_crc32
+        assert r.text == (text[r.doc_id] or "").replace("\u2581", " ")
+
+
 def test_reply_trees(spark):
     rows = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 5.0, "assistant", "good"), (1, 3, 1, 1.0, "assistant", "bad"),
             (1, 4, 3, 9.0, "user", "deep"), (1, 9, 77, 1.0, "user", "orphan"), (2, 1, None, 0.0, "user", "solo")]

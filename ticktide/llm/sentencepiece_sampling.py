@@ -485,23 +485,27 @@ SAMPLE = "sample int, n_pieces long, log_prob double, perturbed double, inclusio
 
 
 def encode_samples(
-    docs: DataFrame, path: str, k: int, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+    docs: DataFrame, path: str, k: int, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digests: bool = False,
+    texts: bool = False,
 ) -> DataFrame:
     """k sampled segmentations of each row, best perturbed first.
 
     (id, sample, n_pieces, log_prob, perturbed, inclusion, ids); with ``digests``,
-    instead of the ids their CRC-32 and that of the text decoded from them.
+    instead of the ids their CRC-32 and that of the text decoded from them; with
+    ``texts``, the ids and that text as the last columns in either case.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("key"), F.col(text_col).alias("text")
     )
-    last = "ids_crc32 long, text_crc32 long" if digests else "ids binary"
+    last = [("ids_crc32", "long", pa.int64()), ("text_crc32", "long", pa.int64())] if digests else []
+    last += [("ids", "binary", pa.binary())] if texts or not digests else []
+    last += [("text", "string", pa.string())] if texts else []
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path, alpha)
-        own = [pa.int64(), pa.int64()] if digests else [pa.binary()]
-        names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", *(["ids_crc32", "text_crc32"] if digests else ["ids"])]
+        own = [t for _, _, t in last]
+        names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", *(c for c, _, _ in last)]
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             keys = batch["key"].to_numpy(zero_copy_only=False).view(np.uint64)
@@ -511,12 +515,16 @@ def encode_samples(
                 for d, rank, edges, lp, value, inclusion in samples(lattice, batch["text"].to_pylist(), keys, k):
                     pieces = lattice.ids(edges)
                     raw = pieces.tobytes()
-                    end = (zlib.crc32(raw), zlib.crc32(decode_ids(lattice, pieces).encode())) if digests else (raw,)
-                    yield (64 if digests else len(raw)), (ids[d], rank, len(pieces), lp, value, inclusion, *end)
+                    text = decode_ids(lattice, pieces) if digests or texts else ""
+                    end = (zlib.crc32(raw), zlib.crc32(text.encode())) if digests else ()
+                    end += (raw,) if texts or not digests else ()
+                    end += (text,) if texts else ()
+                    size = 64 + (len(raw) if texts or not digests else 0) + (4 * len(text) if texts else 0)
+                    yield size, (ids[d], rank, len(pieces), lp, value, inclusion, *end)
 
             yield from tokens.batched(rows(), pa.schema(list(zip(names, kinds))))
 
-    return rows.mapInArrow(run, f"doc_id {kind}, {SAMPLE}, {last}")
+    return rows.mapInArrow(run, f"doc_id {kind}, {SAMPLE}, {', '.join(f'{c} {t}' for c, t, _ in last)}")
 
 
 def encode_best(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -552,6 +560,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2: two distinct segmentations of every whole text, and what they decode to."""
+    """op2: two distinct segmentations of every whole text: their ids, and the text they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_samples(docs, tokens.public_path("piece_bpe_32k.model"), k=2, digests=True)
+    return encode_samples(docs, tokens.public_path("piece_bpe_32k.model"), k=2, digests=True, texts=True)
