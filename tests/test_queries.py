@@ -30,6 +30,13 @@ def test_gaps_of_all_cursors(spark, duck):
     assert sorted(r.cursor for r in got.select("cursor").collect()) == list(range(n))
 
 
+def test_subsequences_of_all_venues(spark):
+    at = {}
+    for r in catalog.QUERIES["venue_subsequences"](spark, SF).collect():
+        at.setdefault(r.venue_id, []).append(r.position)
+    assert sorted(at) == [1, 2, 3, 4] and all(sorted(p) == list(range(len(p))) for p in at.values())
+
+
 def test_partitioning_does_not_matter(spark):
     was = spark.conf.get("spark.sql.shuffle.partitions")
     got = set()

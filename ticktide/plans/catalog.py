@@ -128,6 +128,12 @@ def _(spark, sf):
     return order.with_position(tables.records(spark, sf).where("venue_id = 2")).select(*KEY, "position")
 
 
+@query("venue_subsequences", f"WITH {RECORDS} SELECT {K}, row_number() OVER (PARTITION BY venue_id ORDER BY {K}) - 1 AS position FROM records")
+def _(spark, sf):
+    """M-11: every venue's stream; venue_subsequence takes one of them."""
+    return order.with_position(tables.records(spark, sf)).select(*KEY, "position")
+
+
 @query("venue_record_counts", f"WITH {RECORDS} SELECT venue_id, count(*) AS n_records, count(*) FILTER (record_type = 1) AS n_trades FROM records GROUP BY venue_id")
 def _(spark, sf):
     """A-08, S-15."""
