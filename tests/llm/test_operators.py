@@ -39,15 +39,18 @@ def texts(spark):
 
 
 ODD = ["", " ", "\n", " a", "a ", "a  b", "a\n\nb", "a \n b", "\na", "a\n", "  a\n\n\n b\t c", "x\x1cy z", "it's we'll 12 3a",
-       "a <|endoftext|> c", "ẞ ÀÉ Σας İx", "a ́b", "\n b", " \nb", "日本 語　x", "a\x85 b", "#$ %% b's 's", "a .", "ªº ĲǅΣ", "ﬁ ①a"]
+       "a <|endoftext|> c", "<|endoftext|><|endoftext|>", "x<|startoftext|>y\n <|endoftext|>\n\n z", "<|ENDOFTEXT|> <|endoftext|", "a <|endoftext|>", "ẞ ÀÉ Σας İx", "a ́b", "\n b", " \nb", "日本 語　x", "a\x85 b", "#$ %% b's 's", "a .", "ªº ĲǅΣ", "ﬁ ①a"]
 
 
+@pytest.mark.parametrize("specials_are_text", [False, True])
 @pytest.mark.parametrize(("name", "drops"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_tokens_equal_the_library(texts, name, drops):
-    own, library = tokens.Encoder(tokens.public_path(name), drops), Tokenizer.from_file(tokens.public_path(name))
-    library.encode_special_tokens = True
+def test_tokens_equal_the_library(texts, name, drops, specials_are_text):
+    own, library = tokens.Encoder(tokens.public_path(name), drops, specials_are_text), Tokenizer.from_file(tokens.public_path(name))
+    if specials_are_text:  # else the library is as its file makes it
+        library.encode_special_tokens = True
     rnd = random.Random(3)
-    odd = ["".join(rnd.choice(" \n\ta1'é.　\x1c<|s,Ω") for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    parts = [*" \n\ta1'é.　\x1c<|s,Ω", "<|endoftext|>", "<|startoftext|>"]
+    odd = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
     for text in [*ODD, *odd, *(t for _, t in texts)]:
         assert unpack(own.encode(text)) == library.encode(text, add_special_tokens=False).ids, repr(text)
 

@@ -80,16 +80,21 @@ class Encoder:
     ``drops_space``: the tokenizer lower-cases, discards white space and marks
     word ends, so that words stand alone. Otherwise a word goes with the one
     white-space character before it, as in byte-level BPE; longer runs of white
-    space stay inside a piece. Strings of special tokens in a text are ordinary
-    text. Words of letters, with one mark at their end or none, go to the merges
-    directly; all other pieces to the ``tokenizers`` library.
+    space stay inside a piece. Words of letters, with one mark at their end or none,
+    go to the merges directly; all other pieces to the ``tokenizers`` library.
+
+    The file's special tokens in a text get their own ids, as the library does
+    unless told otherwise, and part the text; with ``specials_are_text`` their
+    strings are ordinary text.
     """
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, specials_are_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_are_text
+        self.added = {} if specials_are_text else self._added()
+        self.parts = re.compile(f"({'|'.join(sorted(map(re.escape, self.added), reverse=True))})") if self.added else None
         self.drops_space, self.merge = drops_space, merger(path)
         self.marks = {c: self._by_library(c) for c in ".,;:!?"}
         self._new()
@@ -98,6 +103,14 @@ class Encoder:
         self.words = _Pieces(self._bare if self.drops_space else self._spaced)
         self.whole = _Pieces(self._by_library)
 
+    def _added(self) -> dict[str, bytes]:
+        out = {}
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            if token.normalized or token.single_word or token.lstrip or token.rstrip:
+                raise ValueError(f"special token {token.content!r} does not stand for its string alone")
+            out[token.content] = struct.pack("<I", i)
+        return out
+
     def _by_library(self, piece: str) -> bytes:
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -129,6 +142,12 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if len(self.words) + len(self.whole) > MOST_PIECES:
             self._new()
+        if self.parts is None or not self.parts.search(text):
+            return self._part(text)
+        # every second part is a special token
+        return b"".join(self.added[x] if k % 2 else self._part(x) if x else b"" for k, x in enumerate(self.parts.split(text)))
+
+    def _part(self, text: str) -> bytes:
         if self.drops_space:
             return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
         first, *rest = text.replace("\n", " \n").split(" ")
