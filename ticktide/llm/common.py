@@ -18,18 +18,39 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that ``spark.checkpoint.dir`` names. Where that is unset, as
-    in tests on one machine, a temporary folder is made and set for the session.
+    It is the one that ``spark.checkpoint.dir`` names. Where that is unset and the
+    session runs on this machine alone, a temporary folder is made and set for the
+    session; on a cluster its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ticktide-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/ticktide/{spark.conf.get('spark.app.id', 'session')}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/ticktide/{label}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in a store that Spark knows. Where the session gives no access to it, it stays."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that are not saved yet need them."""
+    delete(spark, work_dir(spark))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -59,20 +80,24 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
-    """``rows`` with the columns of their group, for keys as uneven as they come.
+def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, n_rows: int) -> DataFrame:
+    """``rows`` with the columns of their group, for keys as uneven as they come; rows without one go.
 
-    ``groups`` has one row per ``key`` with its number of rows in ``size``. Groups
-    above ``n_rows / BROADCAST_ROWS`` rows (at most BROADCAST_ROWS of them can
+    ``groups`` has one row per ``key`` with (at least) its number of rows in
+    ``size``, which together are no more than ``n_rows``. Groups above
+    ``n_rows / BROADCAST_ROWS`` rows (at most BROADCAST_ROWS of them can
     exist) are broadcast, so that their rows stay where they are; all others are
     joined by a shuffle, where no key holds more than that many rows. ``key``
     has no nulls. Both frames are read twice: pass written tables.
     """
+    keys = [key] if isinstance(key, str) else key
     floor = max(100, n_rows // BROADCAST_ROWS + 1)
-    hot = F.broadcast(groups.where(F.col(size) > floor))
+    big = groups.where(F.col(size) > floor)
     cold = groups.where(F.col(size) <= floor)
-    rest = rows.join(F.broadcast(groups.where(F.col(size) > floor).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key))
+    if big.isEmpty():
+        return rows.join(cold.hint("merge"), keys)
+    rest = rows.join(F.broadcast(big.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(big), keys).unionByName(rest.join(cold.hint("merge"), keys))
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
@@ -90,6 +115,11 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 50
     return docs.join(dropped, on, "left_anti")
 
 
+def fresh_names(df: DataFrame, *stems: str) -> list[str]:
+    """Distinct column names that ``df`` does not have."""
+    return [fresh_name(df, stem) for stem in stems]
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -4,13 +4,16 @@ Only the lengths of pieces matter, and there are at most ``cap`` of them. Their
 histogram, whose size does not grow with the data, goes to the driver, which
 plans patterns of lengths with multiplicities: first the sets that provably
 dominate every alternative (dominance reduction, Martello and Toth 1990), then
-best-fit decreasing for what is left. Pieces are ranked within their length in a
-distributed way, and a rank picks the place that the plan has for it.
+best-fit decreasing for what is left. Pieces are numbered within their length where
+they are read, and the number picks the place that the plan has for it; pieces of
+full length are sequences of their own and need no number among all.
 
 Defined cases: a null text is empty; an empty document is the end id alone; a
 document longer than ``cap`` is cut into pieces of ``cap`` ids, of which the first
 may be shorter; null ids and repeated rows are documents of their own; an empty
-table gives no sequence; other columns are not read.
+table gives no sequence; other columns are not read. ``pack`` carries all columns
+of its pieces, whatever their names; where they have ``sequence_id`` or ``offset``,
+its own get a leading underscore.
 """
 
 from __future__ import annotations
@@ -21,14 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, ranks, tokens
 
 CAP = 2048
-#: Parts into which the pieces of one length are dealt for ranking.
-PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -189,35 +190,39 @@ def token_pieces(
     return rows.mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, cap: int = CAP, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` (a written table with ``length``) with ``sequence_id`` and ``offset``.
+def pack(pieces: DataFrame, cap: int = CAP) -> DataFrame:
+    """``pieces`` (with ``length``, from 1 to ``cap``) with ``sequence_id`` and ``offset``.
 
     All other columns are carried. A sequence holds at most ``cap``.
     """
     spark = pieces.sparkSession
-    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
-    counts = common.written(dealt.groupBy("length", "__part").agg(F.count("*").alias("__n")), "lengths")
-    total = {int(s): int(n) for s, n in counts.groupBy("length").agg(F.sum("__n")).collect()}  # at most cap rows
-    rows = places(plan(total, cap))
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("length", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begin"))
-    order = [*key, *sorted(c for c in pieces.columns if c not in (*key, "length"))]
-    in_part = Window.partitionBy("length", "__part").orderBy(*order)
-    ranked = dealt.withColumn("__rank", F.row_number().over(in_part) - 1).join(begins.hint("merge"), ["length", "__part"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__begin"))
-    kinds = "__length long, __first long, __end long, __sequence long, __k long, __at long"
+    part, rank, begin, n = common.fresh_names(pieces, "part", "rank", "begin", "n")
+    sequence, offset = common.fresh_names(pieces, "sequence_id", "offset")
+    dealt = common.written(ranks.locally_ranked(pieces, "length", cap, part, rank), "pieces")
+    some = dealt.where(F.col("length") < cap)
+    counts = common.written(some.groupBy("length", part).agg(F.count("*").alias(n)), "lengths")
+    total = {int(s): int(n) for s, n in counts.groupBy("length").agg(F.sum(n)).collect()}  # less than cap rows
+    patterns = plan(total, cap)
     # the plan's rows depend on the lengths that occur, not on the number of documents
-    table = F.broadcast(spark.createDataFrame(rows, kinds))
-    at = F.col("__rank") - F.col("__first")
+    size, first, end, start, k, at = common.fresh_names(pieces, "size", "first", "end", "start", "k", "at")
+    kinds = ", ".join(f"`{c}` long" for c in (size, first, end, start, k, at))
+    table = F.broadcast(spark.createDataFrame(places(patterns), kinds))
+    ranked = some.join(ranks.begins(counts, "length", part, n, begin).hint("merge"), ["length", part])
+    ranked = ranked.withColumn(rank, F.col(rank) + F.col(begin))
     placed = ranked.join(
-        table,
-        (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end")),
+        table, (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end))
     )
-    return placed.select(
-        *pieces.columns,
-        (F.col("__sequence") + F.floor(at / F.col("__k")).cast("long")).alias("sequence_id"),
-        (F.col("__at") + at % F.col("__k") * F.col("length")).alias("offset"),
+    nth = F.col(rank) - F.col(first)
+    own = [F.col(f"`{c}`") for c in pieces.columns]
+    placed = placed.select(
+        *own,
+        (F.col(start) + F.floor(nth / F.col(k)).cast("long")).alias(sequence),
+        (F.col(at) + nth % F.col(k) * F.col("length")).cast("long").alias(offset),
     )
+    n_planned = sum(p.times for p in patterns)
+    alone = F.lit(n_planned).cast("long") + F.shiftleft(F.col(part).cast("long"), 36) + F.col(rank)
+    full = dealt.where(F.col("length") == cap).select(*own, alone.alias(sequence), F.lit(0).cast("long").alias(offset))
+    return placed.unionByName(full)
 
 
 def assemble(placed: DataFrame) -> DataFrame:
@@ -237,4 +242,4 @@ def packed(docs: DataFrame) -> DataFrame:
     pieces = token_pieces(docs, tokens.public_path("byte_bpe_50k.json")).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
-    return pack(common.written(pieces, "pieces"))
+    return pack(pieces)
