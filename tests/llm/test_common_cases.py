@@ -97,6 +97,36 @@ def test_sharding(spark, docs, nothing):
     assert slots.read(0).count() == slots.read(1).count() == sharding.SLOTS
     empty = sharding.shard_records(sized(nothing), sharding.SlotMap(spark, common.new_path(spark, "slot_map")), 3)
     assert empty.count() == 0
+    extra = sized(docs).withColumns({c: F.lit(7) for c in ("shard", "SLOT", "rank", "begin", "n", "at", "part")})
+    out = sharding.shard_records(extra, sharding.SlotMap(spark, common.new_path(spark, "slot_map")), 3)
+    assert out.columns == [*extra.columns, "_shard", "_slot"]
+    assert all((r.shard, r.SLOT, r["rank"], r.begin, r.n, r["at"], r.part) == (7,) * 7 for r in out.collect())
+
+
+def test_slot_map_is_edited(spark):
+    """Three batches in a row: each edits the newest version, few slots move, all batches stay even."""
+    import numpy as np
+
+    slots = sharding.SlotMap(spark, common.new_path(spark, "slot_map"))
+    assert slots.newest() is None
+    kinds, rng, held = "doc_id long, size long, virtual_slot int", np.random.default_rng(2), np.zeros(512, np.int64)
+    for batch in range(3):
+        rows = [(batch * 10_000 + i, int(n), int(rng.integers(512))) for i, n in enumerate(rng.gamma(2, 500, 6000) + 1)]
+        for _, n, slot in rows:
+            held[slot] += n
+        df = spark.createDataFrame(rows, kinds)
+        out = sharding.shard_records(df, slots, 5 if batch == 2 else 4, 512, tolerance=0.02).collect()
+        assert slots.newest() == batch + 1
+        shard_of, weight = slots.load(batch + 1)
+        assert (weight == held).all() and all(shard_of[r.virtual_slot] == r.shard for r in out)
+        load = np.bincount(shard_of, weights=held)
+        assert load.max() - load.min() <= 0.02 * load.mean()
+        moved = (shard_of != slots.load(batch)[0]).mean()
+        assert moved <= (0.3 if batch == 2 else 0.08)  # a fifth of all goes to a new shard
+        for shard in set(shard_of.tolist()):
+            assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    fewer = sharding.rebalanced(shard_of, held, 3)
+    assert set(fewer.tolist()) == {0, 1, 2}
 
 
 def test_simhash(spark, docs, nothing):
@@ -121,6 +151,26 @@ def test_packing(spark, docs, nothing):
     assert packing.packed(nothing).count() == 0
 
 
+def test_packing_carries_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ("part", "__part", "rank", "begin", "n", "size", "first", "end", "k", "at", "OFFSET", "sequence_id")
+    rows = [(i % 7, 5 if i % 3 else packing.CAP - 1 + i % 2) for i in range(60)]
+    pieces = spark.createDataFrame(rows, "doc_id long, length long").withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    out = packing.pack(pieces)
+    assert out.columns == [*pieces.columns, "_sequence_id", "_offset"] and out.count() == 60
+    places = {}
+    for r in out.collect():
+        assert [r[c] for c in names] == list(range(len(names)))
+        places.setdefault(r["_sequence_id"], []).append((r["_offset"], r.length))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAP
+
+
 def check_places(out):
     sequences = {}
     for r in out:
