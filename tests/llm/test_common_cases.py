@@ -40,9 +40,9 @@ def index(spark):
 
 
 def test_exact_dedup(spark, docs, nothing):
-    out = {(r.id, r.digest): r for r in exact_dedup.exact_dedup(docs, index(spark)).collect()}
-    assert len(out) == 8
-    by_id = {k[0]: r for k, r in out.items()}
+    rows = exact_dedup.exact_dedup(docs, index(spark)).collect()
+    assert len(rows) == len(ROWS)
+    by_id = {r.id: r for r in rows}
     assert by_id[3].group_size == 3 and by_id[3].keep_id == 4 and not by_id[3].kept and by_id[4].kept
     assert by_id[1].keep_id == 2 and by_id[2].kept and not by_id[1].kept
     assert by_id[None].kept
@@ -54,8 +54,11 @@ def test_exact_dedup(spark, docs, nothing):
 
 
 def test_repeated_row_stays_once(spark):
-    docs = spark.createDataFrame([(3, "a"), (3, "a"), (2, "A")], "doc_id long, text string")
-    assert [(r.doc_id, r.text) for r in exact_dedup.keep_one(docs, index(spark)).collect()] == [(3, "a")]
+    docs = spark.createDataFrame([(3, "a"), (3, "a"), (2, "A"), (None, "b"), (None, "b")], "doc_id long, text string")
+    out = [tuple(r) for r in exact_dedup.exact_dedup(docs, index(spark)).drop("digest").collect()]
+    assert sorted(out, key=str) == [(2, 3, 3, False), (3, 3, 3, False), (3, 3, 3, True), (None, None, 2, False), (None, None, 2, True)]
+    kept = [(r.doc_id, r.text) for r in exact_dedup.keep_one(docs, index(spark)).collect()]
+    assert sorted(kept, key=str) == [(3, "a"), (None, "b")]
 
 
 def test_index_lasts(spark):
@@ -63,12 +66,35 @@ def test_index_lasts(spark):
     old = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
     new = spark.createDataFrame([(7, "TWO"), (8, "three")], "doc_id long, text string")
     exact_dedup.exact_dedup(old, exact_dedup.DigestIndex(spark, path, 4)).count()
-    out = {r.id: r for r in exact_dedup.exact_dedup(new, exact_dedup.DigestIndex(spark, path, 4)).collect()}
+    out = {r.id: r for r in exact_dedup.exact_dedup(new, exact_dedup.DigestIndex(spark, path, 7)).collect()}
     assert not out[7].kept and out[7].keep_id == 2 and out[8].kept
     again = exact_dedup.DigestIndex(spark, path, 4)
     assert again.read().count() == 3
     exact_dedup.exact_dedup(new, again).count()
     assert again.read().count() == 3
+    kept = exact_dedup.keep_one(new.unionByName(spark.createDataFrame([(9, "four")], old.schema)), again)
+    assert [r.doc_id for r in kept.collect()] == [9]
+
+
+def test_index_is_read_in_stored_order(spark, monkeypatch):
+    """No exchange and no sort of the index, generations are merged, a second writer is noticed."""
+    monkeypatch.setattr(exact_dedup, "MOST", 3)
+    one = index(spark)
+    for batch in range(5):
+        docs = spark.createDataFrame([(10 * batch + i, f"text {batch + i}") for i in range(3)], "doc_id long, text string")
+        rows = exact_dedup.exact_dedup(docs, one).collect()
+        assert sum(r.kept for r in rows) == (3 if batch == 0 else 1) and len(one.names) <= 3
+    assert one.read().count() == 7
+    probed = spark.createDataFrame([("x",)], "digest string").groupBy("digest").count()
+    with exact_dedup._stored_order(spark):
+        plan = one.probe(probed)._jdf.queryExecution().executedPlan().toString()
+    tables = plan.count("Scan parquet spark_catalog.default.digest_index")
+    assert tables == len(one.names) and plan.count("SortMergeJoin") == tables
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # of the batch, not of the index
+    other = exact_dedup.DigestIndex(spark, one.path)
+    other.append(spark.createDataFrame([("y", 1, 1)], "digest string, keep_id long, n_rows long"))
+    with pytest.raises(RuntimeError, match="another writer"):
+        one.append(spark.createDataFrame([("z", 1, 1)], "digest string, keep_id long, n_rows long"))
 
 
 def test_quality(spark, docs, nothing):
