@@ -136,8 +136,8 @@ def brute_components(fps):
     return {i: root(i) for i in range(len(fps))}
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_simhash_groups(spark, block, monkeypatch):
+@pytest.mark.parametrize(("block", "large"), [(4096, 65536), (7, 65536), (7, 7), (1, 1)])
+def test_simhash_groups(spark, block, large, monkeypatch):
     rng = np.random.default_rng(5)
     fps = []
     for base in rng.integers(0, 2**64, 30, dtype=np.uint64):
@@ -148,12 +148,35 @@ def test_simhash_groups(spark, block, monkeypatch):
             fps.append(x)
     fps = np.array(fps, dtype=np.uint64)
     rows = list(enumerate(fps.view(np.int64).tolist()))
-    monkeypatch.setattr(simhash.links, "__defaults__", (block,))
+    monkeypatch.setattr(simhash.links, "__defaults__", (block, large))
     marked = common.written(spark.createDataFrame(rows, "doc_id long, fp long"), "marked")
     got = {r.doc_id: r.component_id for r in simhash.near_groups(marked).collect()}
     assert got == brute_components(fps)
 
 
+def test_simhash_counts_shared_bytes():
+    """The lists give the pairs with 4 equal positional bytes or more, no others; a large posting costs about its size."""
+    import time
+
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 3, (300, 8)).astype(np.uint8).view(np.uint64).reshape(-1)
+    index = simhash.Lists(fps)
+    for k in range(len(fps)):
+        equal = (fps.view(np.uint8).reshape(-1, 8) == fps[k : k + 1].view(np.uint8)).sum(axis=1)
+        assert index.shared(k).tolist() == np.flatnonzero(equal >= 4).tolist()
+    near = np.unique(np.uint64(2**63 + 12345) ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (70_000, 3), dtype=np.uint64), axis=1))
+    began = time.time()
+    found = list(simhash.links_within(near, np.arange(len(near))))
+    assert len(found) == len(near) - 1 and time.time() - began < 60
+
+
+def test_a_hub_is_joined_where_its_links_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    rows = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(40)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {501 + i: 500 for i in range(40)}
+
+
 def test_simhash_query(spark, texts):
     import xxhash
 

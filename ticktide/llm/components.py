@@ -14,24 +14,26 @@ from . import common
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """(node, low) links after a large star or a small star of (a, b) with a <> b.
+    """(node, low) links after a large star or a small star of (a, b) with a <> b, a written table.
 
-    The minimum of a node's neighbourhood is a partial aggregate joined back by a
-    shuffled join, whose skewed keys Spark splits.
+    The minimum of a node's neighbourhood is a partial aggregate; it comes back to
+    the links by a join that broadcasts the hubs, so that the links of a node in a
+    large component stay where they are.
     """
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    met = both.join(low, "a")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
+    low = common.written(low, "lowest")
+    met = common.with_group(both, low, "a", "n", low.agg(F.sum("n")).first()[0] or 0)
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b"))
         )
-    return out.where("a <> b").distinct()
+    return common.written(out.where("a <> b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
 
     before = mark(state)
     while before[0]:
-        state = common.written(_star(_star(state, True), False), "links")
+        state = _star(_star(state, True), False)
         if (now := mark(state)) == before:
             break
         before = now

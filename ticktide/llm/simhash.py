@@ -1,18 +1,23 @@
 """SimHash near-dedup by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most 4 bits differ in at most 4 of their
-8 bytes: at least 4 positional bytes are shared. The index posts a distinct
-fingerprint under its values at 20 triples of byte positions, chosen so that every
-4 positions hold one of the triples (Turan's construction): each pair that can
-reach the guaranteed count meets in a posting, and postings of 24 bits stay short
-as the corpus grows, unlike those of single bytes. Where fingerprints meet, their
-shared positional bytes are tallied over all 8 positions; pairs below 4 are
-dropped, the rest is verified by their differing bits.
+8 bytes: at least 4 positional bytes are shared. The index has two levels. A distinct
+fingerprint is posted under its values at 20 triples of byte positions, chosen so
+that every 4 positions hold one of the triples (Turan's construction): each pair
+that can reach the guaranteed count meets in a posting, and postings of 24 bits
+stay short as the corpus grows, unlike those of single bytes. In a posting, its
+members are posted again by each single position and byte. The lists tally how
+many positional bytes a fingerprint shares with each other member; pairs at the
+guaranteed minimum are verified by their differing bits, all others are never
+looked at.
 
 A posting is searched from one fingerprint to the next, and what is linked leaves
 the posting, so a group of near copies costs about its size and gives a link for
-each member, not all pairs. A posting above ``BLOCK`` fingerprints is put off,
-dealt into blocks, and searched for each pair of blocks in a task of its own.
+each member, not all pairs. A posting above ``BLOCK`` fingerprints is put off and
+posted under a fourth position (5 rows for each member, 32 bits); one that is still
+above ``LARGE`` links through midpoints: fingerprints within 4 bits are those that
+have a number within 2 bits of both, so each is posted under the 2081 numbers around
+it, where at most 2081 can meet. All of it grows in proportion to the members.
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked
 like any other; fewer words than a shingle are one shingle; A-Z are lower-cased;
@@ -35,8 +40,8 @@ from . import common, tokens
 from .components import components
 
 SHINGLE, MAX_BITS, SHARED_BYTES = 4, 4, 4
-#: Most fingerprints of a posting that one task compares.
-BLOCK = 4096
+#: Most fingerprints of a posting of three, and of one of four positions, that a task searches.
+BLOCK, LARGE = 4096, 65536
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -104,57 +109,84 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
 
 
-def close(one: np.uint64, others: np.ndarray) -> np.ndarray:
-    """Which fingerprints link to ``one``: counted by shared bytes, then verified by bits."""
-    odd = one ^ others
-    tally = (odd.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    out = tally >= SHARED_BYTES
-    out[out] = np.bitwise_count(odd[out]) <= MAX_BITS
-    return out
-
+class Lists:
+    """The byte-position inverted index of a posting's fingerprints."""
 
-def links_within(fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that connect what is connected in a posting: a forest of real links."""
-    left_fp, left_node = fp, node
-    while len(left_fp) > 1:
-        front = [(left_fp[0], left_node[0])]
-        left_fp, left_node = left_fp[1:], left_node[1:]
-        while front and len(left_fp):
-            one, name = front.pop()
-            near = close(one, left_fp)
-            if near.any():
-                for f, x in zip(left_fp[near], left_node[near].tolist()):
-                    yield int(name), x
-                    front.append((f, x))
-                left_fp, left_node = left_fp[~near], left_node[~near]
+    def __init__(self, fp: np.ndarray):
+        self.bytes = fp.view(np.uint8).reshape(-1, 8)
+        order = [np.argsort(self.bytes[:, p], kind="stable") for p in range(8)]
+        ends = [np.cumsum(np.bincount(self.bytes[:, p], minlength=256)) for p in range(8)]
+        self.order, self.ends = order, [np.append(0, e) for e in ends]
 
+    def shared(self, one: int) -> np.ndarray:
+        """Members that share the guaranteed number of positional bytes with member ``one``."""
+        lists = [
+            self.order[p][self.ends[p][b] : self.ends[p][b + 1]] for p, b in enumerate(self.bytes[one].tolist())
+        ]
+        tally = np.bincount(np.concatenate(lists), minlength=len(self.bytes))
+        return np.flatnonzero(tally >= SHARED_BYTES)
 
-FOUND = "key long, block long, a long, b long, fp long"
 
-
-def _search(block: int, put_off: bool):
-    """mapInArrow over (group, fp, node) rows sorted by group: links (a, b).
-
-    With ``put_off``, a group above ``block`` rows comes back as rows (key, block,
-    node in a, fp) instead, in blocks in the order they were read, so that no more
-    than a block and a batch are held.
+def links_within(fp: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that connect what is connected in a posting: a forest of real links."""
+    while len(fp) > 1:
+        index, here = Lists(fp), np.ones(len(fp), bool)
+        left = len(fp)
+        # the index is made anew for what is left once half of it has gone
+        while 2 * left > len(fp) or left == len(fp):
+            first = int(here.argmax())
+            here[first], left, front = False, left - 1, [first]
+            while front:
+                one = front.pop()
+                met = index.shared(one)
+                met = met[here[met]]
+                near = met[np.bitwise_count(fp[met] ^ fp[one]) <= MAX_BITS]
+                here[near], left = False, left - len(near)
+                name = int(node[one])
+                for x in near.tolist():
+                    yield name, int(node[x])
+                front += near.tolist()
+                if not left:
+                    return
+        fp, node = fp[here], node[here]
+
+
+def links_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs that are alone in their posting link: by shared bytes, then by bits."""
+    odd = a ^ b
+    out = np.flatnonzero((odd.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= SHARED_BYTES)
+    return out[np.bitwise_count(odd[out]) <= MAX_BITS]
+
+
+FOUND = "key long, a long, b long, fp long"
+
+
+def _search(most: int):
+    """mapInArrow over (key, fp, node) rows sorted by key: links (a, b).
+
+    A group above ``most`` rows comes back as rows (key, node in a, fp) instead, in
+    the order they were read, so that no more than it and a batch are held.
     """
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["key", "block", "a", "b", "fp"]
-        )
-
-    def late(key: int, first: int, fp: np.ndarray, node: np.ndarray) -> list[tuple]:
-        rows = zip(fp.view(np.int64).tolist(), node.tolist())
-        return [(key, (first + k) // block, x, None, f) for k, (f, x) in enumerate(rows)]
+    def table(late: list[tuple[int, np.ndarray, np.ndarray]], a: list[int], b: list[int]) -> pa.RecordBatch:
+        n = sum(len(fp) for _, fp, _ in late)
+        key = np.concatenate([np.full(len(fp), k) for k, fp, _ in late]) if late else np.empty(0, np.int64)
+        fps = np.concatenate([fp.view(np.int64) for _, fp, _ in late]) if late else np.empty(0, np.int64)
+        ids = np.concatenate([node for _, _, node in late]) if late else np.empty(0, np.int64)
+        none = pa.nulls(len(a), pa.int64())
+        columns = [
+            pa.concat_arrays([pa.array(key, pa.int64()), none]), pa.array([*ids.tolist(), *a], pa.int64()),
+            pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(b, pa.int64())]), pa.concat_arrays([pa.array(fps, pa.int64()), none]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "a", "b", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, t) for t in (np.int64, np.uint64, np.int64)]
-        flowing, gone = None, 0  # the group that is put off just now, and its rows so far
+        flowing = None  # the group that is put off just now
         for batch in chain(batches, [None]):
-            rows: list[tuple] = []
+            late: list[tuple[int, np.ndarray, np.ndarray]] = []
+            a: list[int] = []
+            b: list[int] = []
             key, fp, node = held
             if batch is not None:
                 new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
@@ -163,50 +195,78 @@ def _search(block: int, put_off: bool):
                 )
             if flowing is not None:
                 n = int(np.searchsorted(key, flowing, "right")) if len(key) else 0
-                rows += late(flowing, gone, fp[:n], node[:n])
-                gone += n
+                late.append((flowing, fp[:n], node[:n]))
                 key, fp, node = key[n:], fp[n:], node[n:]
                 if len(key):
                     flowing = None
             bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             whole = len(bounds) - 1 if batch is None else max(len(bounds) - 2, 0)
-            for k in np.flatnonzero(np.diff(bounds[: whole + 1]) > 1).tolist():
+            many = np.diff(bounds[: whole + 1])
+            two = bounds[np.flatnonzero(many == 2)]
+            two = two[links_of_pairs(fp[two], fp[two + 1])]
+            a += node[two].tolist()
+            b += node[two + 1].tolist()
+            for k in np.flatnonzero(many > 2).tolist():
                 x, y = int(bounds[k]), int(bounds[k + 1])
-                if put_off and y - x > block:
-                    rows += late(int(key[x]), 0, fp[x:y], node[x:y])
-                else:
-                    rows += [(None, None, a, b, None) for a, b in links_within(fp[x:y], node[x:y])]
+                if y - x > most:
+                    late.append((int(key[x]), fp[x:y], node[x:y]))
+                    continue
+                for one, other in links_within(fp[x:y], node[x:y]):
+                    a.append(one)
+                    b.append(other)
             x = int(bounds[whole])
             held = [key[x:], fp[x:], node[x:]]
-            if put_off and len(held[0]) > block:
-                flowing, gone = int(held[0][0]), len(held[0])
-                rows += late(flowing, 0, held[1], held[2])
+            if len(held[0]) > most:
+                flowing = int(held[0][0])
+                late.append((flowing, held[1], held[2]))
                 held = [h[:0] for h in held]
-            yield table(rows)
+            yield table(late, a, b)
 
     return run
 
 
-def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(point, node): each fingerprint under all numbers within 2 bits of it."""
+    ones = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    i, j = np.triu_indices(64, 1)
+    masks = np.concatenate([np.zeros(1, np.uint64), ones, ones[i] ^ ones[j]])
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        node = batch.column(1).to_numpy(zero_copy_only=False)
+        for at in range(0, len(fp), 256):  # half a million rows at once
+            points = (fp[at : at + 256, None] ^ masks).reshape(-1).view(np.int64)
+            nodes = np.repeat(node[at : at + 256], len(masks))
+            yield pa.RecordBatch.from_arrays([pa.array(points), pa.array(nodes)], names=["point", "node"])
+
+
+def links(nodes: DataFrame, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """(a, b) links between nodes, connecting all that MAX_BITS connects.
 
     ``nodes``: (fp, node), distinct by fp, node a long.
     """
-    dealt = postings(nodes).repartition("key").sortWithinPartitions("key", "fp")
-    found = common.written(dealt.mapInArrow(_search(block, True), FOUND), "found")
-    out = found.where("key IS NULL").select("a", "b")
-    late = found.where("key IS NOT NULL").select("key", "block", F.col("a").alias("node"), "fp")
-    blocks = common.written(late.groupBy("key").agg((F.max("block") + 1).alias("n")), "blocks")
-    n_late = blocks.count()
-    if n_late:
-        blocks = F.broadcast(blocks) if n_late <= common.BROADCAST_ROWS else blocks
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-        pairs = late.join(blocks, "key").withColumn("other", other)
-        task = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-        pairs = pairs.select(task.alias("task"), "fp", "node")
-        again = pairs.repartition("task").sortWithinPartitions("task", "fp").mapInArrow(_search(block, False), FOUND)
-        out = out.unionByName(again.select("a", "b"))
-    return out
+
+    def searched(posted: DataFrame, most: int, label: str) -> tuple[DataFrame, DataFrame]:
+        dealt = posted.repartition("key").sortWithinPartitions("key", "fp")
+        found = common.written(dealt.mapInArrow(_search(most), FOUND), label)
+        return found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select("key", "fp", F.col("a").alias("node"))
+
+    out, late = searched(postings(nodes), block, "found")
+    if late.isEmpty():
+        return out
+    # a pair that links shares a fourth position besides the three of the posting
+    fourth = [
+        F.shiftleft(F.col("key"), 11) + F.lit(p << 8) + F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)
+    ]
+    own = F.array(*(F.array(*(F.lit(p) for p in range(8) if p not in t)) for t in triples()))
+    keys = F.transform(F.get(own, F.shiftright("key", 24).cast("int")), lambda p: F.get(F.array(*fourth), p))
+    more, late = searched(late.select(F.explode(keys).alias("key"), "fp", "node"), large, "found_of_large")
+    out = out.unionByName(more)
+    if late.isEmpty():
+        return out
+    points = common.written(late.select("fp", "node").distinct().mapInArrow(_midpoints, "point long, node long"), "midpoints")
+    lowest = points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    near = points.join(lowest.hint("merge"), "point").where("node <> b")  # at most 2081 rows for a point
+    return out.unionByName(near.select(F.col("node").alias("a"), "b").distinct())
 
 
 def near_groups(marked: DataFrame) -> DataFrame:
