@@ -229,6 +229,27 @@ def test_line_dedup(spark, docs, nothing):
     assert out.count() == len(ROWS)
     assert {r.doc_id: r.text for r in out.collect()}[5] == LONG
     assert line_dedup.dedup_lines(nothing).count() == 0
+    block = "\n".join("abcdefghijklmnopqrstuvwxyz"[k] + " word" * 9 for k in range(4))
+    extra = spark.createDataFrame(
+        [(1, block, "keep1", "s", 1), (1, block, "keep1", "s", 1), (2, "x\n" + block, "keep2", "t", 2), (None, block, "keep3", "u", 3)],
+        "doc_id long, text string, __lines string, SPLIT string, key long",
+    )
+    rows = sorted(map(tuple, line_dedup.dedup_lines(extra).collect()), key=str)
+    assert rows == [
+        (1, block, "keep1", "s", 1, [], 0), (1, block, "keep1", "s", 1, [], 0), (2, "x", "keep2", "t", 2, [1, 2, 3, 4], 40),
+        (None, block, "keep3", "u", 3, [], 0),
+    ]
+    with pytest.raises(TypeError, match="no integer"):
+        line_dedup.dedup_lines(docs.selectExpr("cast(doc_id as string) AS doc_id", "text"))
+
+
+def test_repeated_lines_align_fast():
+    import time
+
+    lines = {k: k % 7 * (k % 3) for k in range(20_000)}
+    began = time.time()
+    met = line_dedup.align(lines, {k + 3: v for k, v in lines.items()})
+    assert time.time() - began < 5 and all(lines[e] == lines[x - 3] for x, e in met.items())
 
 
 def test_html(spark, docs, nothing):

@@ -334,6 +334,16 @@ def test_line_dedup_equals_all_pairs(spark):
     assert all_pairs(crossed)[3] == [0, 1] and all_pairs(others)[14] == [0, 1]
 
 
+def test_line_dedup_with_hot_lines(spark, monkeypatch):
+    """A line, a run and an early document that most others share are broadcast, with the same result."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    notice, rnd = "\n".join(f"{w} " * 7 for w in ("one", "two", "three", "four")), random.Random(9)
+    pool = [f"{w}{k} " * n for k, n in enumerate((3, 12, 25)) for w in "xyz"]
+    rows = [(i, "\n".join([*rnd.choices(pool, k=3), notice][:: rnd.choice((1, -1))])) for i in range(150)]
+    out = {r.doc_id: r.removed_lines for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == all_pairs(rows)
+
+
 def test_html_layout():
     page = """<html><head><title>T</title><style>p{}</style></head><body><h1>Head</h1><p>One <b>two</b>
  three<p>Next<br>line &amp; more<ul><li>a<li>b<ol><li>x<li>y</ol><li>c</ul><div hidden>no</div><div style="display: none">no<p>no</div>

@@ -15,7 +15,10 @@ them) until it is gone or all are tried: the result is that of aligning all pair
 Defined cases: a null or empty text has no lines and stays; white space within and
 around lines does not matter, blank lines stay where they are and do not part a
 block; repeated rows with the same id are one document; null ids stay as they are;
-an empty table gives an empty result; other columns are not touched.
+an empty table gives an empty result; other columns, whatever their names, are not
+touched, and where they are called removed_lines or removed_words, the added ones
+get a leading underscore. Ids are integers, as "earlier" is their order; any other
+type is an error.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, ranks
 
 RARE, MIN_WORDS = 1000, 20
+#: Removed lines that are broadcast at most, 4 bytes each.
+MOST_LINES = 1 << 20
 
 
 def _normal(line: Column) -> Column:
@@ -91,12 +96,18 @@ def align(early: dict[int, int], late: dict[int, int]) -> dict[int, int]:
         where = {early[e]: e for e in es if e_count[early[e]] == 1}
         unique = [(where[late[x]], x) for x in ls if l_count[late[x]] == 1 and late[x] in where]
         if not unique:
-            shared = e_count.keys() & l_count.keys()
-            if not shared:
-                continue
-            # only repeated lines are left: the first that both have parts the range
-            x = next(x for x in ls if late[x] in shared)
-            unique = [(next(e for e in es if early[e] == late[x]), x)]
+            # only repeated lines are left: each takes the next of its kind
+            places: dict[int, list[int]] = {}
+            for e in reversed(es):
+                places.setdefault(early[e], []).append(e)
+            for x in ls:
+                own = places.get(late[x], [])
+                while own and own[-1] < e0:
+                    own.pop()
+                if own:
+                    out[x] = own.pop()
+                    e0 = out[x] + 1
+            continue
         done_e, done_l = e0, l0
         for e, x in _longest_increasing(unique):
             out[x] = e
@@ -120,7 +131,7 @@ def doomed(early: dict[int, int], late: dict[int, int], words: dict[int, int], m
 
 
 def _aligned(min_words: int):
-    """mapInArrow over (late, early, h1, h2, side, rank, at, words) sorted by the pair."""
+    """mapInArrow over (late, early, h1, h2, side, rank, at, words) sorted by the pair and the side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[tuple[int, int], int] = {}
@@ -189,20 +200,27 @@ def runs(shared: DataFrame, min_words: int) -> DataFrame:
 
 
 def aligned(pairs: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
-    """(id, at, words) of the lines that go from the later documents of ``pairs``."""
+    """(id, at, words) of the lines that go from the later documents of ``pairs``.
+
+    A line of an early document that very many later ones have comes to them by a
+    broadcast, all others by a shuffle.
+    """
     late = pairs.join(shared.withColumnRenamed("id", "late").hint("merge"), "late").select(
         "late", "early", "h1", "h2", "rank", "at", "words"
     )
-    early = shared.select(F.col("id").alias("early"), "h1", "h2", F.col("rank").alias("e_rank"))
     late = common.written(late, "late_lines")
-    met = late.select("late", "early", "h1", "h2").distinct().join(early.hint("merge"), ["early", "h1", "h2"])
-    empty = F.lit(0)
-    both = late.join(
-        met.select("late", "early", "h1", "h2").distinct(), ["late", "early", "h1", "h2"], "left_semi"
-    ).select("late", "early", "h1", "h2", F.lit(True).alias("side"), "rank", "at", "words").unionByName(
+    keys = ["early", "h1", "h2"]
+    asked = common.written(late.select("late", *keys).distinct(), "asked")
+    places = shared.select(F.col("id").alias("early"), "h1", "h2", "rank").groupBy(*keys).agg(F.collect_list("rank").alias("e_ranks"))
+    groups = asked.groupBy(*keys).agg(F.count("*").alias("n_late")).join(places.hint("merge"), keys)
+    met = common.with_group(asked, common.written(groups, "asked_lines"), keys, "n_late", asked.count())
+    met = common.written(met.select("late", *keys, "e_ranks"), "met")
+    both = late.join(met.select("late", *keys).hint("merge"), ["late", *keys], "left_semi").select(
+        "late", *keys, F.lit(True).alias("side"), "rank", "at", "words"
+    ).unionByName(
         met.select(
-            "late", "early", "h1", "h2", F.lit(False).alias("side"), F.col("e_rank").alias("rank"),
-            empty.alias("at"), empty.alias("words"),
+            "late", *keys, F.lit(False).alias("side"), F.explode("e_ranks").alias("rank"),
+            F.lit(0).alias("at"), F.lit(0).alias("words"),
         )
     )
     dealt = both.repartition("late").sortWithinPartitions("late", "early", "side", "rank")
@@ -219,16 +237,21 @@ def still_there(held: DataFrame, gone: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, at, words) of the lines of (id, text) to delete; id is a long."""
-    lines = common.written(lines_of(docs.where("id IS NOT NULL AND text IS NOT NULL")), "lines")
+    docs = docs.where("id IS NOT NULL AND text IS NOT NULL")
+    lines = lines_of(docs)
+    if not docs.groupBy("id").count().where("count > 1").isEmpty():
+        lines = lines.distinct()  # rows that repeat are one document
+    lines = common.written(lines, "lines")
     stats = (
-        lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
-        .agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("own")).groupBy("h1", "h2")
+        .agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("own").alias("n_lines")).where("n > 1")
     )
-    # skewed lines are split by Spark: both sides of these joins are shuffled
-    shared = common.written(lines.join(stats.hint("merge"), ["h1", "h2"]), "shared")
+    stats = common.written(stats, "line_counts")
+    shared = common.written(common.with_group(lines, stats, ["h1", "h2"], "n_lines", lines.count()).drop("n_lines"), "shared")
     every = common.written(runs(shared, min_words), "runs")
-    first = every.groupBy("h").agg(F.min("id").alias("early"))
-    held = common.written(every.join(first.hint("merge"), "h").where("id <> early"), "held")
+    first = common.written(every.groupBy("h").agg(F.min("id").alias("early"), F.count("*").alias("n_runs")), "first_holders")
+    held = common.with_group(every, first.where("n_runs > 1"), "h", "n_runs", every.count())
+    held = common.written(held.where("id <> early").drop("n_runs"), "held")
     pairs = shared.where(f"id <> first AND (n <= {rare} OR words >= {min_words})")
     pairs = pairs.select(F.col("id").alias("late"), F.col("first").alias("early"))
     pairs = common.written(pairs.unionByName(held.select(F.col("id").alias("late"), "early")).distinct(), "pairs")
@@ -239,8 +262,7 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     if left.isEmpty():
         return gone
     holders = every.join(left.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "id").distinct()
-    place = F.row_number().over(Window.partitionBy("h").orderBy("id"))
-    holders = common.written(holders.withColumn("place", place), "holders")
+    holders = common.written(ranks.ranked_within(holders, "h", "id", "place"), "holders")
     left, low = left.join(holders.hint("merge"), ["h", "id"]), 2
     while not (left := common.written(left.where(f"place > {low}"), "left")).isEmpty():
         some = holders.where(f"place >= {low} AND place < {2 * low}").select("h", F.col("id").alias("early"))
@@ -259,19 +281,23 @@ def dedup_lines(
     docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with cleaned texts, removed_lines (places among all lines) and removed_words."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} is no integer column")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     gone = repeated_lines(rows, rare, min_words).groupBy("id").agg(
         F.sort_array(F.collect_list("at")).alias("at"), F.sum("words").alias("n")
     )
-    a, b, key = (common.fresh_name(docs, x) for x in ("removed_lines", "removed_words", "__id"))
+    a, b, key, split = common.fresh_names(docs, "removed_lines", "removed_words", "key", "split")
     gone = common.written(gone.select(F.col("id").alias(key), F.col("at").alias(a), F.col("n").alias(b)), "gone")
-    if gone.count() <= common.BROADCAST_ROWS:
+    n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(a)), F.lit(0))).first()
+    if n_docs <= common.BROADCAST_ROWS and n_lines <= MOST_LINES:
         gone = F.broadcast(gone)
     out = docs.join(gone, docs[id_col] == gone[key], "left")
     # a document loses few of its lines or most: both arrays are short next to its text
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(a)), lambda i: F.get(F.col("__lines"), i)), "\n")
-    out = out.withColumn("__lines", F.when(F.col(a).isNotNull(), lines))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(a))
+    left = F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n")
+    out = out.withColumn(split, F.when(F.col(a).isNotNull(), lines))
     return out.select(
         *[
             (F.when(F.col(a).isNotNull(), left).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c))

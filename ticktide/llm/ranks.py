@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from . import common
+
 
 def locally_ranked(rows: DataFrame, key: str, bound: int, part: str, rank: str) -> DataFrame:
     """``rows`` with the number of their task in ``part`` and their rank there among rows of the same ``key``.
@@ -47,3 +49,17 @@ def begins(counts: DataFrame, key: str, part: str, n: str, begin: str) -> DataFr
     """``counts`` (key, part, n) as (key, part, begin): rows of ``key`` in the parts before. A key has a row per part."""
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(key, part, F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias(begin))
+
+
+def ranked_within(rows: DataFrame, key: str, order: str, rank: str) -> DataFrame:
+    """``rows`` with their place, from 1, among those of the same ``key`` in ``order``, for keys as uneven as they come.
+
+    Ranges of (key, order) are ranked each for itself; a key that fills many of them
+    gets its counts summed up over the ranges. (key, order) does not repeat.
+    """
+    part, begin, n = common.fresh_names(rows, "part", "begin", "n")
+    dealt = common.written(rows.repartitionByRange(key, order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(key, part).agg(F.count("*").alias(n))
+    own = F.row_number().over(Window.partitionBy(key, part).orderBy(order)).cast("long")
+    ranked = dealt.withColumn(rank, own).join(begins(counts, key, part, n, begin).hint("merge"), [key, part])
+    return ranked.select(*rows.columns, (F.col(rank) + F.col(begin)).alias(rank))
