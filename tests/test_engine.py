@@ -98,6 +98,66 @@ def test_seek(spark, ts, at):
     assert [placed[k].snapshot_before for k in (0, 1, 2, 5, 9, 12)] == [None, None, 2, 2, 9, 9]
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 18])
+def test_slices_carry_what_came_before(spark, step, monkeypatch):
+    """Every operator that looks back in a venue gives the same, however its stream is cut."""
+    monkeypatch.setattr(order, "STEP", step)
+    rnd, rows = random.Random(11), []
+    for venue in (3, 4, 9):
+        for q in range(60 if venue < 9 else 1):
+            ts = BASE + q // 2 * 10 + (rnd.choice([0, -30]) if q % 9 == 8 else 0)
+            rows.append(snap(ts, q, 1, venue=venue) if q % 11 in (4, 5, 6) else rec(ts, q, q % 3, venue, size=1))
+    rows += [rows[5], rows[40]]
+    rnd.shuffle(rows)
+    placed = frame(spark, rows).coalesce(1).withColumn("at", F.monotonically_increasing_id())
+    own = [r.asDict(recursive=True) for r in placed.orderBy("at").collect()]
+
+    def k(r):
+        return tuple(r[c] for c in schema.KEY)
+
+    wrong, decreased, seen = set(), set(), {}
+    for r in own:
+        before, top = seen.get(r["venue_id"], (None, None))
+        if before is not None and k(r) <= before:
+            wrong.add((r["at"], "DuplicateKey" if k(r) == before else "OutOfOrder"))
+        if top is not None and r["exchange_ts"] < top:
+            decreased.add((r["at"], top))
+        seen[r["venue_id"]] = (k(r), max(top or r["exchange_ts"], r["exchange_ts"]))
+    assert {(r["at"], r["kind"]) for r in order.order_violations(placed, "at").collect()} == wrong and wrong
+    assert {(r["at"], r["earlier_max"]) for r in order.ts_decreases(placed, "at").collect()} == decreased and decreased
+    streams = {}
+    for r in sorted(own, key=k):
+        streams.setdefault(r["venue_id"], []).append(r)
+    want, runs = set(), set()
+    for v, stream in streams.items():
+        last, run = None, None
+        for p, r in enumerate(stream):
+            if r["record_type"] == 2:
+                run = (run[0] if run and last == p - 1 else p, p)
+                if p + 1 == len(stream) or stream[p + 1]["record_type"] != 2:
+                    runs.add((v, *run, run[1] - run[0] + 1))
+                last = p
+            else:
+                run = None
+            want.add((v, p, last))
+    in_place = order.with_position(placed.drop("at").withColumn("slice", F.lit(1)))
+    assert sorted(r.position for r in in_place.where("venue_id = 3").collect()) == list(range(len(streams[3])))
+    assert {tuple(r) for r in order.snapshot_before(in_place).select("venue_id", "position", "snapshot_before").collect()} == want
+    assert {tuple(r) for r in order.epoch_runs(in_place).collect()} == runs
+    tail = [tuple(r) for r in order.last_records(placed.drop("at"), 5).select("emit_index", *schema.KEY).orderBy("emit_index").collect()]
+    assert [t[1:] for t in tail] == sorted(map(k, own))[-5:] and tail[0][0] == len(own) - 5
+    stream = spark.range(40).select(F.col("id").alias("emit_index"))
+    got = spark.createDataFrame([(3, None), (20, (4, 19, 16)), (31, (25, 30, 6))], "emit_index long, gap struct<first_missed: long, last_missed: long, missed_count: long>")
+    left = {r[0] for r in delivery.unaccounted(stream, got).collect()}
+    assert left == {0, 1, 2, *range(21, 25), *range(32, 40)}
+
+
+def test_a_long_gap_costs_two_rows(spark):
+    stream = spark.createDataFrame([(1,), (2**40 + 5,)], "emit_index long")
+    got = spark.createDataFrame([(2**40, (2, 2**40 - 1, 2**40 - 2))], "emit_index long, gap struct<first_missed: long, last_missed: long, missed_count: long>")
+    assert {r[0] for r in delivery.unaccounted(stream, got).collect()} == {1, 2**40 + 5}
+
+
 # expressions
 
 
@@ -312,6 +372,24 @@ def test_digest_of_events(spark):
     assert got == {("5f354a96", 10_000)}
 
 
+def test_digest_tree(spark):
+    import hashlib
+
+    records = synth.build(spark, {1: (500,), 2: (300, 41)})
+    rows = records.orderBy(*schema.KEY).toArrow().combine_chunks().to_batches()
+    whole = rows[0]
+    for leaf, node in ((100, 4), (7, 3), (10_000, 2)):
+        leaves = []
+        for at in range(0, whole.num_rows, leaf):
+            data = canonical.frames(whole.slice(at, leaf))
+            leaves.append(hashlib.sha256(data if isinstance(data, bytes) else data.tobytes()).digest())
+        h = hashlib.sha256()
+        for at in range(0, len(leaves), node):
+            h.update(hashlib.sha256(b"".join(leaves[at : at + node])).digest())
+        h.update(struct.pack("<Q", 841) + canonical.TERMINATOR)
+        assert canonical.tree_digest(records.repartition(3), leaf, node) == (h.hexdigest(), 841)
+
+
 def test_crc_parts():
     data = np.random.default_rng(1).integers(0, 256, 100_003, dtype=np.uint8).tobytes()
 
@@ -474,6 +552,24 @@ def test_binary_round_trip_and_corruption(spark, tmp_path):
             hotfile.HotFile(broken(at)).verify_all()
 
 
+def test_binary_files_in_a_default_session(spark, tmp_path):
+    """Filters are pushed only where the session allows it; a time given as an option works everywhere."""
+    records = synth.build(spark)
+    hotfile.export(records, str(tmp_path), block=16)
+    spark.dataSource.register(hotfile.HotFileSource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    want = records.where("exchange_ts >= 900").count()
+    try:
+        for allowed in ("false", "true"):
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", allowed)
+            assert spark.read.format("hotfile").load(str(tmp_path)).where("exchange_ts >= 900").count() == want
+            assert hotfile.read(spark, str(tmp_path)).where("exchange_ts >= 900").count() == want
+            some = hotfile.read(spark, f"file://{tmp_path}", from_ts=900)
+            assert some.where("exchange_ts >= 900").count() == want and some.count() < records.count()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
 def test_binary_writer_rules():
     one = dict(exchange_ts=5, sequence_number=1, instrument_id=1, venue_id=7, record_type=0, side_flags=0, price=1, size=1)
     for records, name in (

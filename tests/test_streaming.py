@@ -2,7 +2,7 @@ import pytest
 
 from tests.helpers import BASE, WARM, frame, rec
 from ticktide import clock, errors
-from ticktide.operators import book
+from ticktide.operators import book, delivery
 from ticktide.streaming import books, fanout
 
 
@@ -68,3 +68,119 @@ def test_streamed_books_equal_batch_books(spark, tmp_path):
     query.awaitTermination()
     want = {(r.venue_id, r.instrument_id, r.side, r.price): r["size"] for r in book.book_at(frame(spark, WARM)).collect()}
     assert {k: n for k, n in seen.items() if n} == want
+
+
+def numbered(spark, a, b):
+    return frame(spark, [rec(BASE + i, i, 1, price=i, size=1) for i in range(a, b)])
+
+
+def test_forced_lap(spark):
+    """A drop subscriber that reads now and then gets the gaps of the closed form, live."""
+    import random
+
+    rnd, ring = random.Random(6), delivery.Ring(8)
+    fan = fanout.FanOut(clock.SimClock(), ring=ring)
+    slow = fanout.Subscriber("slow", "drop", None, 3)
+    fan.subscribe(slow)
+    got, written, schedule, cursor = [], 0, [], 3
+    for _ in range(6):
+        n = rnd.randint(1, 20)
+        fan.on_batch(numbered(spark, written, written + n), 0)
+        written += n
+        schedule.append(written)
+        found = fan.read(slow)
+        if found is None:
+            assert cursor >= written
+            continue
+        rows, missed = found
+        own = sorted((r.emit_index, r.gap) for r in rows.select("emit_index", "gap").collect())
+        held = ring.held(cursor, written) if cursor < ring.oldest(written) else cursor
+        assert [i for i, _ in own] == list(range(held, written)) and all(g is None for _, g in own[1:])
+        want = (cursor, held - 1, held - cursor) if held > cursor else None
+        assert missed == want and (own[0][1] and tuple(own[0][1])) == want
+        got.append((held, want))
+        cursor = written
+    assert any(g for _, g in got) and slow.gaps == [g for _, g in got if g]
+    assert slow.received + sum(n for *_, n in slow.gaps) == written - 3
+    assert delivery.simulate(ring, [schedule[0]], 3)[0] == got[0]
+
+
+def test_block_barrier_and_watchdog(spark):
+    """The writer waits for block subscribers only; one that is stuck in its sink is evicted, and the run goes on."""
+    import threading
+
+    stuck, seen, lossy = threading.Event(), [], []
+    fan = fanout.FanOut(clock.RealClock(), watchdog_nanos=3_000_000_000, ring=delivery.Ring(4))
+    good = fanout.Subscriber("good", "block", lambda df: seen.extend(r.emit_index for r in df.orderBy("emit_index").collect()), 0)
+    hung = fanout.Subscriber("hung", "block", lambda df: stuck.wait(120), 0)
+    drop = fanout.Subscriber("drop", "drop", lambda df: (lossy.append(1), stuck.wait(120)), 0)
+    for s in (good, hung, drop):
+        fan.subscribe(s)
+    fan.on_batch(numbered(spark, 0, 30), 0)
+    assert fan.written == 30 and hung.state == "evicted" and fan.slip >= 3_000_000_000
+    assert lossy == [1] and drop.state == "running"
+    stuck.set()
+    fan.end()
+    assert seen == list(range(30)) and good.state == "ended" and drop.received + sum(n for *_, n in drop.gaps) == 30
+    with pytest.raises(errors.named("Evicted")):
+        fan.read(hung)
+
+
+def test_starts_in_the_retained_window(spark):
+    fan = fanout.FanOut(clock.SimClock(), ring=delivery.Ring(8))
+    fan.on_batch(numbered(spark, 0, 20), 0)
+    subs = {
+        name: fanout.Subscriber(name, mode, None, start)
+        for name, mode, start in (
+            ("oldest", "block", 12), ("too old", "block", 11), ("time", "block", delivery.exchange_ts(BASE + 15)), ("past", "block", delivery.exchange_ts(BASE + 99)),
+            ("live", "drop", None), ("future", "drop", 23), ("old drop", "drop", 0),
+        )
+    }
+    for s in subs.values():
+        fan.subscribe(s)
+    fan.on_batch(numbered(spark, 20, 20), 1)
+    assert {n: s.cursor for n, s in subs.items() if n != "too old"} == {"oldest": 12, "time": 15, "past": 20, "live": 20, "future": 23, "old drop": 0}
+    assert subs["too old"].state == "lapped"
+    assert [r.emit_index for r in fan.read(subs["time"])[0].orderBy("emit_index").collect()] == [15, 16, 17, 18, 19]
+    assert fan.read(subs["live"]) is None and fan.read(subs["future"]) is None
+    assert fan.read(subs["old drop"])[1] == (0, 15, 16)
+    for name, start in (("oldest", 12), ("time", 15)):
+        fan.taken(subs[name], 20)
+        assert subs[name].received == 20 - start
+    fan.on_batch(numbered(spark, 20, 25), 2)
+    assert [r.emit_index for r in fan.read(subs["future"])[0].collect()] == [23, 24]
+
+
+def test_streamed_books_fold_a_batch(spark, tmp_path):
+    """Many events of a level in a batch, snapshots within it, and a removal of what is not there."""
+    import random
+
+    rnd, rows, live = random.Random(1), [], {}
+    for q in range(240):
+        if q % 37 == 5:
+            live = {(0, 5): 2, (1, 9): 3}
+            rows.append((BASE + q, q, 1, 7, 2, 0, 0, 0, [{"price": 5, "size": 2}], [{"price": 9, "size": 3}]))
+            continue
+        side, price = rnd.randint(0, 1), rnd.randint(1, 10)
+        size = rnd.randint(0, 3) if (side, price) in live else rnd.randint(1, 3)
+        live[side, price] = size
+        if not size:
+            del live[side, price]
+        rows.append(rec(BASE + q, q, 1, side=side, price=price, size=size))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    files(spark, rows, tmp_path / "in", [range(0, 100), range(100, 170), range(170, 240)])
+    seen = {}
+
+    def take(df, _):
+        seen.update({(r.side, r.price): r["size"] for r in df.collect()})
+
+    def run():
+        changes = books.book_changes(books.read_records(spark, str(tmp_path / "in")))
+        changes.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    assert {k: n for k, n in seen.items() if n} == live
+    missing = next((s, p) for s in (0, 1) for p in range(1, 11) if (s, p) not in live)
+    frame(spark, [rec(BASE + 999, 999, 1, side=missing[0], price=missing[1], size=0)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="LevelNotFound"):
+        run()

@@ -7,6 +7,9 @@ last event of each price since the instrument's last snapshot, without removals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,10 @@ from ..schema import ASK, BID, DELTA, KEY, SNAPSHOT, TRADE
 PLACE = ("venue_id", "instrument_id")
 
 
-def level_events(records: DataFrame) -> DataFrame:
-    """One row per set level: (venue_id, instrument_id, at, side, price, size, snap); ``at`` is the key."""
+def level_events(records: DataFrame, *extra: str) -> DataFrame:
+    """One row per set level: (venue_id, instrument_id, extra, at, side, price, size, snap); ``at`` is the key."""
     deltas = records.where(F.col("record_type") == DELTA).select(
-        *PLACE, key().alias("at"), F.col("side_flags").alias("side"), "price", "size", F.lit(False).alias("snap")
+        *PLACE, *extra, key().alias("at"), F.col("side_flags").alias("side"), "price", "size", F.lit(False).alias("snap")
     )
     snaps = records.where(F.col("record_type") == SNAPSHOT)
 
@@ -30,7 +33,7 @@ def level_events(records: DataFrame) -> DataFrame:
         )
 
     both = F.concat(sided("bids", BID), sided("asks", ASK))
-    levels = snaps.select(*PLACE, key().alias("at"), F.inline(both), F.lit(True).alias("snap"))
+    levels = snaps.select(*PLACE, *extra, key().alias("at"), F.inline(both), F.lit(True).alias("snap"))
     return deltas.unionByName(levels)
 
 
@@ -100,9 +103,7 @@ def with_segment(records: DataFrame) -> DataFrame:
 def divergence(records: DataFrame) -> DataFrame:
     """Deltas that remove a level that is not there."""
     marked = with_segment(records.where(F.col("record_type") != TRADE))
-    flat = level_events(marked).join(
-        marked.select(*PLACE, key().alias("at"), "segment"), [*PLACE, "at"]
-    )
+    flat = level_events(marked, "segment")
     before = Window.partitionBy(*PLACE, "segment", "side", "price").orderBy("at", F.col("snap").desc())
     prior = flat.withColumn("there", F.lag(F.col("snap") | (F.col("size") != 0)).over(before))
     gone = prior.where(~F.col("snap") & (F.col("size") == 0) & ~F.coalesce(F.col("there"), F.lit(False)))
@@ -164,6 +165,51 @@ class Book:
         return next(iter(self.asks()), None)
 
 
+def folded(records: DataFrame, strict: bool = True) -> DataFrame:
+    """(venue_id, instrument_id, side, price, size): all books by applying one record after the other.
+
+    A task holds the books' levels, not their records. ``strict``: the removal of a
+    level that is not there is an error, else it changes nothing. ``book_at`` gives
+    the same without an order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, book = None, None
+
+        def levels() -> list[tuple]:
+            if book is None:
+                return []
+            return [(*place, side, *x) for side, own in enumerate((book.bids(), book.asks())) for x in own]
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            columns = zip(*rows) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*PLACE, "side", "price", "size"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                now = (r["venue_id"], r["instrument_id"])
+                if now != place:
+                    out += levels()
+                    place, book = now, Book(now[1])
+                if r["record_type"] == SNAPSHOT:
+                    bids, asks = ([(x["price"], x["size"]) for x in r[c] or []] for c in ("bids", "asks"))
+                    book.snapshot(bids + asks, len(bids))
+                elif r["record_type"] == DELTA:
+                    try:
+                        book.apply(DELTA, r["instrument_id"], r["side_flags"], r["price"], r["size"])
+                    except errors.named("LevelNotFound"):
+                        if strict:
+                            raise
+            yield table(out)
+        yield table(levels())
+
+    rows = records.select(*KEY, "record_type", "side_flags", "price", "size", "bids", "asks")
+    dealt = rows.repartition(*PLACE).sortWithinPartitions(*PLACE, *KEY)
+    return dealt.mapInArrow(run, "venue_id int, instrument_id long, side int, price long, size long")
+
+
 def is_best_first(side: str, ascending: bool) -> Column:
     """Whether an array of levels is in the order of its side."""
     prices = F.transform(side, lambda x: x["price"])

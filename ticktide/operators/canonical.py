@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crc32c import combine, crc32c, crc_rows, fold
 from ..schema import SNAPSHOT
-from .order import ordered
+from .order import ordered, with_emit_index
 
 #: Fixed values of the digest's format.
 TERMINATOR = b"CANONv1\x00"
@@ -120,3 +120,51 @@ def sha256_digest(records: DataFrame) -> tuple[str, int]:
         n += row["n"]
     h.update(struct.pack("<Q", n) + TERMINATOR)
     return h.hexdigest(), n
+
+
+#: Records of a leaf, and leaves of a node, of the digest tree.
+LEAF, NODE = 1 << 16, 1 << 12
+
+
+def tree_digest(records: DataFrame, leaf: int = LEAF, node: int = NODE) -> tuple[str, int]:
+    """(hex digest, number of records) by a tree of SHA-256, for streams that one reader cannot take in.
+
+    A leaf is the digest of ``leaf`` records in total order, a node that of the digests
+    of ``node`` leaves; the root is the digest of the nodes and the end mark. Leaves
+    follow the emit index, so the root is the same for any partitioning; a row per
+    node goes to the driver.
+    """
+    stream = with_emit_index(projection(records))
+    leaf_of = F.call_function("div", F.col("emit_index"), F.lit(leaf)).alias("leaf")
+    dealt = stream.select(leaf_of, "emit_index", *[c for c in stream.columns if c != "emit_index"])
+    dealt = dealt.repartitionByRange("leaf").sortWithinPartitions("leaf", "emit_index")
+    schema = pa.schema([("leaf", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, n = None, hashlib.sha256(), 0
+        for batch in batches:
+            done: list[tuple[int, bytes, int]] = []
+            own = batch["leaf"].to_numpy()
+            bounds = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else []
+            for a, b in zip(bounds, bounds[1:]):
+                if own[a] != now:
+                    if now is not None:
+                        done.append((now, h.digest(), n))
+                    now, h, n = int(own[a]), hashlib.sha256(), 0
+                data = frames(batch.slice(a, b - a))
+                h.update(data if isinstance(data, bytes) else data.tobytes())
+                n += b - a
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done) if done else [()] * 3, schema.types)], schema=schema)
+        last = [(now, h.digest(), n)] if now is not None else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*last) if last else [()] * 3, schema.types)], schema=schema)
+
+    leaves = dealt.mapInArrow(run, "leaf long, digest binary, n long")
+    joined = F.aggregate(F.sort_array(F.collect_list(F.struct("leaf", "digest"))), F.lit(b""), lambda a, x: F.concat(a, x["digest"]))
+    nodes = leaves.groupBy(F.call_function("div", F.col("leaf"), F.lit(node)).alias("node"))
+    nodes = nodes.agg(F.unhex(F.sha2(joined, 256)).alias("digest"), F.sum("n").alias("n"))
+    h, n = hashlib.sha256(), 0
+    for row in nodes.orderBy("node").collect():  # a row per node
+        h.update(bytes(row["digest"]))
+        n += row["n"]
+    h.update(struct.pack("<Q", n) + TERMINATOR)
+    return h.hexdigest(), n

@@ -24,9 +24,9 @@ MANIFEST = (
 )
 
 
-def create_tables(spark: SparkSession) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS runs ({RUNS}) USING parquet")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS benchmarks ({BENCHMARKS}) USING parquet")
+def create_tables(spark: SparkSession, runs: str = "runs", benchmarks: str = "benchmarks") -> None:
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {runs} ({RUNS}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {benchmarks} ({BENCHMARKS}) USING parquet")
 
 
 def dataset_hash(files: Column) -> Column:
@@ -64,8 +64,8 @@ def append(rows: DataFrame, table: str, key: list[str], kind: str) -> int:
     return n
 
 
-def ingest_manifests(spark: SparkSession, folder: str) -> int:
-    return append(read_manifests(spark, folder), "runs", ["run_id"], "DuplicateRun")
+def ingest_manifests(spark: SparkSession, folder: str, table: str = "runs") -> int:
+    return append(read_manifests(spark, folder), table, ["run_id"], "DuplicateRun")
 
 
 _NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
@@ -98,7 +98,7 @@ def parse_benchmarks(lines: DataFrame) -> DataFrame:
     ).withColumn("sample", F.row_number().over(order) - 1)
 
 
-def ingest_benchmarks(spark: SparkSession, path: str, git_commit: str) -> int:
+def ingest_benchmarks(spark: SparkSession, path: str, git_commit: str, table: str = "benchmarks") -> int:
     """All measurements of a benchmark text, recorded at the file's time."""
     text = spark.read.text(path, wholetext=True).select("value", "_metadata.file_modification_time")
     nanos = F.unix_micros("file_modification_time") * 1000
@@ -108,7 +108,7 @@ def ingest_benchmarks(spark: SparkSession, path: str, git_commit: str) -> int:
         raise errors.LineError(bad[0]["line"], bad[0]["fault"])
     when = text.select(nanos).first()[0]
     rows = parsed.withColumns({"git_commit": F.lit(git_commit), "recorded_unix_nano": F.lit(when).cast("long")})
-    return append(rows, "benchmarks", ["name", "git_commit", "recorded_unix_nano", "sample"], "DuplicateBenchmark")
+    return append(rows, table, ["name", "git_commit", "recorded_unix_nano", "sample"], "DuplicateBenchmark")
 
 
 def dataset_identity(spark: SparkSession, folder: str, pattern: str = "*.bin") -> DataFrame:

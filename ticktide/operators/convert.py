@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors, schema
@@ -20,17 +20,13 @@ DEFAULT_EPOCH, DEFAULT_SCALE = 1000, 100_000_000
 
 def check_order(rows: DataFrame, position: str = "row_index") -> None:
     """Raise RowError for the first row that goes back in time, or repeats or lowers a key, in its venue."""
-    own = Window.partitionBy("venue_id").orderBy(position)
-    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
-    key = F.struct(*schema.KEY)
-    kind = (
-        F.when(F.col("exchange_ts") < F.max("exchange_ts").over(earlier), "ExchangeTsDecreased")
-        .when(key == F.lag(key).over(own), "DuplicateKey")
-        .when(key < F.lag(key).over(own), "OutOfOrder")
-    )
-    bad = rows.select(position, kind.alias("kind")).where("kind IS NOT NULL").orderBy(position).limit(1).collect()
+    bad = []
+    decreased = order.ts_decreases(rows, position).select(position, F.lit("ExchangeTsDecreased").alias("kind"))
+    for found in (decreased, order.order_violations(rows, position).select(position, "kind")):
+        bad += found.orderBy(position).limit(1).collect()
     if bad:
-        raise errors.RowError(bad[0][position], bad[0]["kind"])
+        first = min(bad, key=lambda r: r[position])  # of one row, going back in time is named first
+        raise errors.RowError(first[position], first["kind"])
 
 
 def check_books(records: DataFrame) -> None:
@@ -89,7 +85,7 @@ def write(records: DataFrame, folder: str, price_scale: int = DEFAULT_SCALE) ->
 
 def convert(spark: SparkSession, source: str, folder: str, epoch_every: int = DEFAULT_EPOCH, price_scale: int = DEFAULT_SCALE) -> list[str]:
     """Convert a source Parquet file; returns the names of the artifacts."""
-    schema.check_source_file(source.removeprefix("file://"))
+    schema.check_source_file(source)
     records = converted(schema.read_source(spark, source), epoch_every)
     write(records, folder, price_scale)
     made = spark.read.parquet(folder).select("artifact").distinct().orderBy("artifact")

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..schema import SNAPSHOT
+from . import order
 
 BLOCK, DROP = "block", "drop"
 RECORD_BYTES = 64
@@ -137,12 +138,18 @@ def accounting(delivered: DataFrame) -> DataFrame:
 
 
 def unaccounted(stream: DataFrame, delivered: DataFrame) -> DataFrame:
-    """Indexes that were neither delivered nor reported missed."""
-    missed = delivered.where("gap IS NOT NULL").select(
-        F.explode(F.sequence("gap.first_missed", "gap.last_missed")).alias("emit_index")
+    """Indexes that were neither delivered nor reported missed. A gap counts by its two ends, however long."""
+    rest = stream.select("emit_index").join(delivered.select("emit_index"), "emit_index", "left_anti")
+    gaps = delivered.where("gap IS NOT NULL").select("gap.*")
+    ends = gaps.select(F.col("first_missed").alias("emit_index"), F.lit(1).alias("step")).unionByName(
+        gaps.select((F.col("last_missed") + 1).alias("emit_index"), F.lit(-1).alias("step"))
     )
-    known = delivered.select("emit_index").unionByName(missed)
-    return stream.select("emit_index").join(known, "emit_index", "left_anti")
+    rows = rest.withColumn("step", F.lit(0)).unionByName(ends).withColumn("one", F.lit(1))
+    rows = order.carried(order.sliced(rows, "emit_index", "slice", dense=True), ["one"], "slice", F.sum("step"), F.sum, "open")
+    # at one index the ends of gaps come before the record itself
+    so_far = Window.partitionBy("one", "slice").orderBy("emit_index", F.col("step") == 0).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.coalesce("open", F.lit(0)) + F.sum("step").over(so_far)
+    return rows.withColumn("inside", inside).where("step = 0 AND inside = 0").select("emit_index")
 
 
 def min_block_cursor(subscribers: DataFrame) -> DataFrame:

@@ -2,99 +2,93 @@
 
 An epoch is due once N source records have come since the last one, and stands at
 the end of the timestamp where that happened, if a later record follows. Where the
-epochs fall depends on all epochs before, so the boundaries of a venue are found in
-one streaming pass over its counts per timestamp; all else is joins and aggregates.
+epochs fall depends on all epochs before, so one streaming pass over a venue's
+counts per timestamp gives each timestamp its epoch, by jumps from epoch to epoch;
+all else is joins on that and aggregates, folded to a row per level and epoch first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import DELTA, SNAPSHOT, TRADE
+from .. import shared
+from ..functions.columns import key
+from ..schema import DELTA, SNAPSHOT
 from .book import PLACE, level_events
 
-BOUNDARY = "venue_id int, epoch long, exchange_ts long, last_sequence decimal(20,0)"
+TIMES = "venue_id int, exchange_ts long, epoch long, due boolean, last_sequence decimal(20,0)"
 
 
-def boundaries(records: DataFrame, every: int) -> DataFrame:
-    """(venue_id, epoch, exchange_ts, last_sequence); epochs of a venue count from 0."""
+def times(records: DataFrame, every: int) -> DataFrame:
+    """(venue_id, exchange_ts, epoch, due, last_sequence) of each timestamp; epochs of a venue count from 0.
+
+    ``due``: the epoch stands at the end of this timestamp, if a later one follows.
+    """
     groups = records.groupBy("venue_id", "exchange_ts").agg(
         F.count("*").alias("n"), F.max("sequence_number").cast("decimal(20,0)").alias("last")
     )
     streams = groups.repartition("venue_id").sortWithinPartitions("venue_id", "exchange_ts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        venue, since, epoch, due = None, 0, 0, None
-        names = ["venue_id", "epoch", "exchange_ts", "last_sequence"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.decimal128(20, 0)]
+        venue, since, epoch = None, 0, 0  # records and epochs of the venue up to the batch
         for batch in batches:
-            rows = []
-            for v, ts, n, last in zip(*(batch.column(c).to_pylist() for c in ("venue_id", "exchange_ts", "n", "last"))):
-                if v != venue:
-                    venue, since, epoch, due = v, 0, 0, None
-                if due:
-                    rows.append((v, epoch, *due))
-                    epoch, since, due = epoch + 1, 0, None
-                since += n
-                if since >= every:
-                    due = (ts, last)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names=names
-            )
-
-    return streams.mapInArrow(run, BOUNDARY)
-
-
-def with_epoch(events: DataFrame, bounds: DataFrame, ts: str) -> DataFrame:
-    """Events with the first epoch of their venue that covers them (its time is at or after theirs)."""
-    marks = bounds.select("venue_id", F.col("exchange_ts").alias("__ts"), "epoch", F.lit(1).alias("__mark"))
-    own = events.withColumn("__ts", F.col(ts)).withColumn("__mark", F.lit(0))
-    both = own.unionByName(marks, allowMissingColumns=True)
-    # descending order and the last seen mark: a running frame, not a growing one
-    back = Window.partitionBy("venue_id").orderBy(F.col("__ts").desc(), F.col("__mark").desc())
-    running = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("epoch", F.last("epoch", ignorenulls=True).over(running))
-    return out.where("__mark = 0").drop("__ts", "__mark")
-
-
-def epoch_levels(records: DataFrame, bounds: DataFrame) -> DataFrame:
+            own = batch["venue_id"].to_numpy()
+            n = batch["n"].to_numpy()
+            epochs, due = np.empty(len(own), np.int64), np.zeros(len(own), bool)
+            bounds = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else []
+            for a, b in zip(bounds, bounds[1:]):
+                if own[a] != venue:
+                    venue, since, epoch = own[a], 0, 0
+                total = np.cumsum(n[a:b])
+                at, gone = 0, -since  # the next timestamp, and the records before it that are in closed epochs
+                while (end := int(np.searchsorted(total, gone + every))) < b - a:
+                    epochs[a + at : a + end + 1], due[a + end] = epoch, True
+                    at, gone, epoch = end + 1, int(total[end]), epoch + 1
+                epochs[a + at : b] = epoch
+                since = int(total[-1]) - gone
+            columns = [batch["venue_id"], batch["exchange_ts"], pa.array(epochs), pa.array(due), batch["last"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["venue_id", "exchange_ts", "epoch", "due", "last_sequence"])
+
+    return streams.mapInArrow(run, TIMES)
+
+
+def _bounds(marked: DataFrame) -> DataFrame:
+    """(venue_id, epoch, exchange_ts, last_sequence) of written ``times``; a venue's last time closes no epoch."""
+    last = marked.groupBy("venue_id").agg(F.max("exchange_ts").alias("last_ts"))
+    due = marked.where("due").join(F.broadcast(last), "venue_id")  # a row per venue
+    return due.where("exchange_ts < last_ts").select("venue_id", "epoch", "exchange_ts", "last_sequence")
+
+
+def boundaries(records: DataFrame, every: int) -> DataFrame:
+    """(venue_id, epoch, exchange_ts, last_sequence); epochs of a venue count from 0."""
+    return _bounds(shared.written(times(records, every), "times"))
+
+
+def epoch_levels(dated: DataFrame, n_epochs: DataFrame) -> DataFrame:
     """(venue_id, instrument_id, epoch, side, price, size): all books at all epochs.
 
-    The last event of a price within an epoch holds until the epoch of its next
-    event, or of the instrument's next snapshot.
+    ``dated``: deltas and snapshots with their epoch. The last event of a price in an
+    epoch, after the epoch's last snapshot, holds until the epoch of its next event
+    or of the instrument's next snapshot.
     """
-    live = records.where(F.col("record_type") != TRADE)
-    events = level_events(live).withColumn("ts", F.col("at.exchange_ts"))
-    marks = live.where(F.col("record_type") == SNAPSHOT).select(
-        *PLACE, F.struct(*(F.col(k) for k in ("exchange_ts", "venue_id", "sequence_number", "instrument_id"))).alias("at"),
-        F.lit(-1).alias("side"), F.lit(None).cast("long").alias("price"), F.lit(None).cast("long").alias("size"),
-        F.lit(True).alias("snap"), F.col("exchange_ts").alias("ts"),
-    )
-    dated = with_epoch(events.unionByName(marks), bounds, "ts").where("epoch IS NOT NULL")
-    last_snap = Window.partitionBy(*PLACE).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    segment = F.max(F.when(F.col("side") == -1, F.col("at"))).over(last_snap)
-    in_segment = dated.withColumn("segment", segment)
-    starts = dated.where("side = -1").select(*PLACE, F.col("at").alias("segment"), F.col("epoch").alias("from_epoch"))
-    starts = starts.withColumn("until", F.lead("from_epoch").over(Window.partitionBy(*PLACE).orderBy("segment")))
-    first = dated.where("side = -1").groupBy(*PLACE).agg(F.min("epoch").alias("first_snapshot"))
-    settled = in_segment.where("side >= 0").groupBy(*PLACE, "segment", "side", "price", "epoch").agg(
-        F.max_by(F.struct("size", "snap"), "at").alias("l")
-    )
-    following = F.lead("epoch").over(Window.partitionBy(*PLACE, "segment", "side", "price").orderBy("epoch"))
-    held = (
-        settled.withColumn("following", following)
-        .join(starts.drop("from_epoch"), [*PLACE, "segment"], "left")
-        .join(first, list(PLACE), "left")
-    )
-    until = F.least(
-        F.col("following"), F.when(F.col("segment").isNull(), F.col("first_snapshot")).otherwise(F.col("until"))
-    )
-    n = bounds.groupBy("venue_id").agg(F.count("*").alias("n_epochs"))
-    held = held.join(n, "venue_id").withColumn("end", F.coalesce(until, F.col("n_epochs")) - 1)
+    place = [*PLACE, "epoch"]
+    since = F.max(F.when(F.col("record_type") == SNAPSHOT, key()))
+    each = dated.groupBy(*place).agg(since.alias("since"))
+    later = Window.partitionBy(*PLACE).orderBy(F.col("epoch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reset = F.last(F.when(F.col("since").isNotNull(), F.col("epoch")), ignorenulls=True).over(later)
+    each = shared.written(each.withColumn("reset", reset), "instrument_epochs")
+    events = level_events(dated, "epoch").join(each.where("since IS NOT NULL").drop("reset"), place, "left")
+    events = events.where(F.col("since").isNull() | (F.col("at") >= F.col("since")))
+    settled = events.groupBy(*place, "side", "price").agg(F.max_by(F.struct("size", "snap"), "at").alias("l"))
+    following = F.lead("epoch").over(Window.partitionBy(*PLACE, "side", "price").orderBy("epoch"))
+    held = settled.withColumn("following", following).join(each.select(*place, "reset"), place)
+    held = held.join(F.broadcast(n_epochs), "venue_id")  # a row per venue
+    held = held.withColumn("end", F.coalesce(F.least("following", "reset"), "n_epochs") - 1)
     held = held.where((F.col("l.snap") | (F.col("l.size") != 0)) & (F.col("end") >= F.col("epoch")))
     return held.select(
         *PLACE, F.explode(F.sequence("epoch", "end")).alias("epoch"), "side", "price", F.col("l.size").alias("size")
@@ -106,16 +100,19 @@ def epoch_rows(records: DataFrame, every: int) -> DataFrame:
 
     Sequence numbers run on from the last record of the epoch's timestamp.
     """
-    bounds = boundaries(records, every)
-    seen = with_epoch(
-        records.where(F.col("record_type").isin(DELTA, SNAPSHOT)).groupBy(*PLACE).agg(F.min("exchange_ts").alias("first_ts")),
-        bounds, "first_ts",
-    ).where("epoch IS NOT NULL").select(*PLACE, F.col("epoch").alias("from_epoch"))
+    marked = shared.written(times(records, every), "times")
+    bounds = _bounds(marked)
+    n = bounds.groupBy("venue_id").agg(F.count("*").alias("n_epochs"))
+    live = records.where(F.col("record_type").isin(DELTA, SNAPSHOT))
+    dated = live.join(marked.select("venue_id", "exchange_ts", "epoch"), ["venue_id", "exchange_ts"])
+    dated = dated.join(F.broadcast(n), "venue_id").where("epoch < n_epochs").drop("n_epochs")
+    dated = shared.written(dated, "dated")
+    seen = dated.groupBy(*PLACE).agg(F.min("epoch").alias("from_epoch"))
     heads = bounds.join(seen, "venue_id").where("epoch >= from_epoch").drop("from_epoch")
     rank = F.row_number().over(Window.partitionBy("venue_id", "epoch").orderBy("instrument_id"))
     heads = heads.withColumn("sequence_number", (F.col("last_sequence") + rank).cast("decimal(20,0)"))
     level = F.struct("price", "size")
-    books = epoch_levels(records, bounds).groupBy(*PLACE, "epoch").agg(
+    books = epoch_levels(dated, n).groupBy(*PLACE, "epoch").agg(
         F.sort_array(F.collect_list(F.when(F.col("side") == 0, level)), False).alias("bids"),
         F.sort_array(F.collect_list(F.when(F.col("side") == 1, level))).alias("asks"),
     )

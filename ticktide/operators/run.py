@@ -6,9 +6,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, Row
 
-from .. import errors
+from .. import errors, shared
 from . import canonical, catalogue, delivery, order, pacing
 
 START_KINDS = ("beginning", "exchange_ts", "emit_index", "live")
@@ -104,7 +105,11 @@ class Run:
         }
 
     def write_manifest(self, path: str, **result) -> dict:
+        """The manifest, also as a file that must not exist, in any store that Spark names by a URL."""
+        store, at = shared.store_of(str(path))
+        if store.get_file_info(at).type != FileType.NotFound:
+            raise FileExistsError(path)
         manifest = self.finish(**result)
-        with open(path, "x") as f:
-            f.write(catalogue.manifest_json(manifest))
+        with store.open_output_stream(at) as f:
+            f.write(catalogue.manifest_json(manifest).encode())
         return manifest

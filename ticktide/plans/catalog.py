@@ -438,6 +438,11 @@ def _stream(spark, sf):
     return order.with_emit_index(every), every.count()
 
 
+def _held(every):
+    """What a ring of CAPACITY holds at the end, and the number of all records."""
+    return order.last_records(every, CAPACITY), every.count()
+
+
 def _gaps(stream, n):
     cursors = stream.select(F.col("emit_index").alias("cursor"), F.lit(n).cast("long").alias("written"))
     held = cursors.withColumn("held", delivery.held_index(F.col("cursor"), F.col("written"), CAPACITY))
@@ -447,7 +452,7 @@ def _gaps(stream, n):
 @query("ring_retained", f"WITH {RECORDS}, {_STREAM} SELECT {K}, emit_index FROM s CROSS JOIN w WHERE emit_index >= n - {CAPACITY}")
 def _(spark, sf):
     """D-04."""
-    stream, n = _stream(spark, sf)
+    stream, n = _held(tables.records(spark, sf))
     return delivery.retained(stream, delivery.Ring(CAPACITY), n).select(*KEY, "emit_index")
 
 
@@ -471,7 +476,7 @@ SELECT n - held AS received, CASE WHEN held > 5 THEN 1 ELSE 0 END::BIGINT AS gap
 def _(spark, sf):
     """A-05: a drop subscriber stalled at index 5; what lies before its start is all that is unaccounted for."""
     stream, n = _stream(spark, sf)
-    got = delivery.deliveries(stream, delivery.Ring(CAPACITY), 5, n)
+    got = delivery.deliveries(_held(tables.records(spark, sf))[0], delivery.Ring(CAPACITY), 5, n)
     left = delivery.unaccounted(stream, got).agg(F.count("*").alias("unaccounted"))
     return delivery.accounting(got).join(F.broadcast(left))  # one row each
 
@@ -481,7 +486,7 @@ UNION ALL SELECT 'exchange_ts', coalesce((SELECT min(emit_index) FROM s CROSS JO
 UNION ALL SELECT 'past_end', n FROM w""")
 def _(spark, sf):
     """D-03, D-05."""
-    stream, n = _stream(spark, sf)
+    stream, n = _held(tables.records(spark, sf))
     starts = {
         "beginning": delivery.beginning(), "emit_index": delivery.emit_index(77), "live": delivery.live(),
         "exchange_ts": delivery.exchange_ts(FROM_TS), "past_end": delivery.exchange_ts(2**62),
@@ -518,9 +523,8 @@ _SNAP_STREAM = f"s AS (SELECT *, row_number() OVER (ORDER BY {K}) - 1 AS emit_in
 
 
 def _delivered(spark, sf):
-    every = tables.with_snapshots(spark, sf)
-    stream = order.with_emit_index(every)
-    return delivery.deliveries(stream, delivery.Ring(CAPACITY), 5, every.count())
+    stream, n = _held(tables.with_snapshots(spark, sf))
+    return delivery.deliveries(stream, delivery.Ring(CAPACITY), 5, n)
 
 
 _HELD = f"w AS (SELECT count(*) AS n FROM snaps), h AS (SELECT n, 5 + {CAPACITY} * ((n - 1 - 5) // {CAPACITY}) AS held FROM w)"

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from . import errors
+from .shared import store_of
 
 #: The total order of records.
 KEY = ("exchange_ts", "venue_id", "sequence_number", "instrument_id")
@@ -66,10 +67,12 @@ def check_source_schema(schema: pa.Schema, strict: bool = False) -> None:
 
 
 def check_source_file(path: str, strict: bool = False) -> int:
-    """Rows of a source file whose schema is right; only the footer is read."""
-    file = pq.ParquetFile(path)
-    check_source_schema(file.schema_arrow, strict)
-    return file.metadata.num_rows
+    """Rows of a source file, in any store that Spark names by a URL, whose schema is right; only the footer is read."""
+    store, at = store_of(path)
+    with store.open_input_file(at) as source:
+        file = pq.ParquetFile(source)
+        check_source_schema(file.schema_arrow, strict)
+        return file.metadata.num_rows
 
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:

@@ -10,20 +10,22 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition
 
-from .. import errors
+from .. import errors, shared
 from ..functions.columns import artifact_name, utc_day
 from ..functions.crc32c import crc32c, crc_rows, fold
 from ..operators.canonical import payload
 from ..schema import KEY, SNAPSHOT
+from ..shared import store_of
 
 # Fixed values of the format.
 MAGIC = b"\x89RPL\r\n\x1a\n"
@@ -82,54 +84,96 @@ def _block_crcs(data: bytes, n: int, block: int) -> list[int]:
     return out
 
 
+class Image:
+    """One file that grows by batches of records in key order; what is kept of a record is its bytes."""
+
+    def __init__(self, venue_id: int, price_scale: int = 100_000_000, block: int = DEFAULT_BLOCK, page: int = 4096):
+        if price_scale <= 0:
+            raise errors.named("PriceScale")(str(price_scale))
+        if not 0 < block <= MAX_BLOCK:
+            raise errors.named("BlockSize")(str(block))
+        self.venue_id, self.price_scale, self.block, self.page = venue_id, price_scale, block, page
+        self.rows: list[np.ndarray] = []
+        self.blobs: list[bytes] = []
+        self.n = self.blob_bytes = 0
+        self.last: np.ndarray | None = None
+
+    def _fault(self, kind: str, bad: np.ndarray) -> None:
+        if bad.any():
+            raise errors.named(kind)(f"record {self.n + int(bad.argmax())}")
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Records with the columns of the record schema."""
+        rows = np.zeros(batch.num_rows, RECORD)
+        wide = {}
+        for c in RECORD.names[:8]:
+            column = batch.column(c)
+            wide[c] = (column.cast(pa.uint64()) if pa.types.is_decimal(column.type) else column).to_numpy(zero_copy_only=False)
+            rows[c] = wide[c]
+        if not len(rows):
+            return
+        self._fault("VenueMismatch", wide["venue_id"] != self.venue_id)
+        self._check_order(rows)
+        self._fault("RecordType", (wide["record_type"] < 0) | (wide["record_type"] > SNAPSHOT))
+        snap = rows["record_type"] == SNAPSHOT
+        self._fault("UnusedFieldSet", snap & ((rows["price"] != 0) | (rows["size"] != 0) | (rows["side_flags"] != 0)))
+        names = batch.schema.names
+        for k in np.flatnonzero(snap).tolist():
+            bids, asks = ((batch.column(c)[k].as_py() or []) if c in names else [] for c in ("bids", "asks"))
+            if len(bids) + len(asks) > 65535:
+                raise errors.named("TooManyLevels")(f"record {self.n + k}")
+            body = payload(bids, asks)
+            self.blobs.append(struct.pack("<I", crc32c(body)) + body)
+            rows["blob_offset"][k], rows["blob_len"][k], rows["level_count"][k] = self.blob_bytes, len(body) + 4, len(bids) + len(asks)
+            self.blob_bytes += len(body) + 4
+        self.rows.append(rows)
+        self.n += len(rows)
+
+    def _check_order(self, rows: np.ndarray) -> None:
+        seen = rows if self.last is None else np.concatenate([self.last, rows])
+        same, less = np.ones(len(seen) - 1, bool), np.zeros(len(seen) - 1, bool)
+        for c in KEY:
+            less |= same & (seen[c][1:] < seen[c][:-1])
+            same &= seen[c][1:] == seen[c][:-1]
+        shift = np.zeros(len(rows) - len(less), bool)
+        bad = np.concatenate([shift, same | less])
+        if bad.any():
+            k = int(bad.argmax())
+            raise errors.named("DuplicateKey" if same[k - len(shift)] else "OutOfOrder")(f"record {self.n + k}")
+        self.last = rows[-1:]
+
+    def finished(self) -> bytes:
+        """The bytes of the finalized file."""
+        rows = np.concatenate(self.rows) if self.rows else np.zeros(0, RECORD)
+        data, blob_bytes = rows.tobytes(), b"".join(self.blobs)
+        n, head = len(rows), header_size_for(self.page)
+        crcs = _block_crcs(data, n, self.block)
+        footer = np.zeros(len(crcs), FOOTER)
+        footer["start"], footer["crc"] = np.arange(len(crcs)) * self.block, crcs
+        stamps = rows["exchange_ts"][:: self.block].astype("<i8").tobytes()
+        snaps = np.flatnonzero(rows["record_type"] == SNAPSHOT).astype("<u8").tobytes()
+        tail = stamps + snaps + footer.tobytes()
+        blob_at = head + n * RECORD_SIZE
+        time_at = blob_at + len(blob_bytes)
+        low, high = (int(rows["exchange_ts"][0]), int(rows["exchange_ts"][-1])) if n else (0, 0)
+        fields = HEADER.pack(
+            MAGIC, VERSION, self.venue_id, 0, self.price_scale, n, low, high, head, self.block, blob_at, len(blob_bytes), time_at,
+            len(stamps) // 8, time_at + len(stamps), len(snaps) // 8, time_at + len(stamps) + len(snaps), crc32c(tail), 0,
+        )
+        top = fields + b"\x01\0\0\0" + struct.pack("<I", crc32c(fields[:CRC_COVERS]))
+        return top.ljust(head, b"\0") + data + blob_bytes + tail
+
+
+_LEVELS = pa.list_(pa.struct([("price", pa.int64()), ("size", pa.int64())]))
+
+
 def encode(records: list[dict], venue_id: int, price_scale: int = 100_000_000, block: int = DEFAULT_BLOCK, page: int = 4096) -> bytes:
     """The bytes of a finalized file. ``records``, in key order, have the columns of the record schema."""
-    if price_scale <= 0:
-        raise errors.named("PriceScale")(str(price_scale))
-    if not 0 < block <= MAX_BLOCK:
-        raise errors.named("BlockSize")(str(block))
-    rows, blobs, at, last = np.zeros(len(records), RECORD), [], 0, None
-    for k, r in enumerate(records):
-        if r["venue_id"] != venue_id:
-            raise errors.named("VenueMismatch")(f"record {k} is of venue {r['venue_id']}")
-        now = tuple(r[c] for c in KEY)
-        if last is not None and now <= last:
-            raise errors.named("DuplicateKey" if now == last else "OutOfOrder")(f"record {k}")
-        last = now
-        scalars = [int(r[c]) for c in RECORD.names[:8]]
-        offset = length = count = 0
-        if r["record_type"] == SNAPSHOT:
-            if r["price"] or r["size"] or r["side_flags"]:
-                raise errors.named("UnusedFieldSet")(f"record {k}")
-            bids, asks = r.get("bids") or [], r.get("asks") or []
-            count = len(bids) + len(asks)
-            if count > 65535:
-                raise errors.named("TooManyLevels")(f"record {k}")
-            body = payload(bids, asks)
-            blob = struct.pack("<I", crc32c(body)) + body
-            offset, length = at, len(blob)
-            blobs.append(blob)
-            at += length
-        elif r["record_type"] > SNAPSHOT:
-            raise errors.named("RecordType")(f"record {k}")
-        rows[k] = (*scalars, offset, length, count, b"")
-    data, blob_bytes = rows.tobytes(), b"".join(blobs)
-    n, head = len(rows), header_size_for(page)
-    crcs = _block_crcs(data, n, block)
-    footer = np.zeros(len(crcs), FOOTER)
-    footer["start"], footer["crc"] = np.arange(len(crcs)) * block, crcs
-    times = rows["exchange_ts"][::block].astype("<i8").tobytes()
-    snaps = np.flatnonzero(rows["record_type"] == SNAPSHOT).astype("<u8").tobytes()
-    tail = times + snaps + footer.tobytes()
-    blob_at = head + n * RECORD_SIZE
-    time_at = blob_at + len(blob_bytes)
-    low, high = (int(rows["exchange_ts"][0]), int(rows["exchange_ts"][-1])) if n else (0, 0)
-    fields = HEADER.pack(
-        MAGIC, VERSION, venue_id, 0, price_scale, n, low, high, head, block, blob_at, len(blob_bytes), time_at,
-        len(times) // 8, time_at + len(times), len(snaps) // 8, time_at + len(times) + len(snaps), crc32c(tail), 0,
-    )
-    top = fields + b"\x01\0\0\0" + struct.pack("<I", crc32c(fields[:CRC_COVERS]))
-    return top.ljust(head, b"\0") + data + blob_bytes + tail
+    image = Image(venue_id, price_scale, block, page)
+    columns = {c: pa.array([int(r[c]) for r in records], pa.uint64() if c == "sequence_number" else pa.int64()) for c in RECORD.names[:8]}
+    columns |= {c: pa.array([[dict(zip(("price", "size"), x)) if isinstance(x, tuple) else x for x in r.get(c) or []] for r in records], _LEVELS) for c in ("bids", "asks")}
+    image.add(pa.RecordBatch.from_pydict(columns))
+    return image.finished()
 
 
 def decode_header(data: bytes) -> Header:
@@ -247,6 +291,11 @@ def parse_payload(body: bytes, level_count: int | None = None) -> tuple[list[dic
     return levels[:n_bids], levels[n_bids:]
 
 
+def _store(path: str):
+    """The store of a file, a folder, or a JSON list of them."""
+    return store_of(json.loads(path)[0] if path.startswith("[") else path)[0]
+
+
 def _files(path: str) -> tuple[object, list]:
     """The store and the artifacts of a file, a folder, or a JSON list of them."""
     from pyarrow import fs
@@ -254,7 +303,7 @@ def _files(path: str) -> tuple[object, list]:
     if path.startswith("["):
         parts = [_files(p) for p in json.loads(path)]
         return parts[0][0], [f for _, files in parts for f in files]
-    store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    store, root = store_of(path)
     info = store.get_file_info(root)
     found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root))
     return store, sorted((f for f in found if f.path.endswith(".bin")), key=lambda f: f.path)
@@ -271,14 +320,8 @@ class BlockRange(InputPartition):
 class HotFileReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.per_task = options.get("paths") or options["path"], int(options.get("blocks", 256))
-        self.from_ts: int | None = None
-
-    def pushFilters(self, filters):
-        """Timestamps from a bound on skip the blocks before it; rows are filtered again by Spark."""
-        for f in filters:
-            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("exchange_ts",):
-                self.from_ts = max(f.value, self.from_ts if self.from_ts is not None else f.value)
-            yield f
+        #: Blocks that end before this time are not read.
+        self.from_ts: int | None = int(options["from_ts"]) if "from_ts" in options else None
 
     def partitions(self):
         store, files = _files(self.path)
@@ -300,7 +343,7 @@ class HotFileReader(DataSourceReader):
     def read(self, partition: BlockRange) -> Iterator[pa.RecordBatch]:
         if partition.first >= partition.end:
             return
-        store, _ = _files(partition.path)
+        store = _store(partition.path)
         with store.open_input_file(partition.file) as f:
             h = decode_header(f.read_at(min(f.size(), MAX_HEADER), 0))
             footer = np.frombuffer(f.read_at(h.n_time * FOOTER.itemsize, h.footer_at), FOOTER)
@@ -313,7 +356,7 @@ class HotFileReader(DataSourceReader):
                 yield self._batch(f, h, np.frombuffer(data, RECORD))
 
     def _batch(self, f, h: Header, rows: np.ndarray) -> pa.RecordBatch:
-        levels = pa.list_(pa.struct([("price", pa.int64()), ("size", pa.int64())]))
+        levels = _LEVELS
         bids: list = [None] * len(rows)
         asks: list = [None] * len(rows)
         for k in np.flatnonzero(rows["record_type"] == SNAPSHOT).tolist():
@@ -333,10 +376,23 @@ class HotFileReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+class PushingReader(HotFileReader):
+    """Spark takes this one only if its setting ``spark.sql.python.filterPushdown.enabled`` is true."""
+
+    def pushFilters(self, filters):
+        """Timestamps from a bound on skip the blocks before it; rows are filtered again by Spark."""
+        for f in filters:
+            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("exchange_ts",):
+                self.from_ts = max(f.value, self.from_ts if self.from_ts is not None else f.value)
+            yield f
+
+
 class HotFileSource(DataSource):
     """``spark.read.format("hotfile").load(folder)``, after ``spark.dataSource.register(HotFileSource)``.
 
-    Option ``paths``: a JSON list of files or folders instead; ``blocks``: blocks per task.
+    Option ``paths``: a JSON list of files or folders instead; ``blocks``: blocks per
+    task; ``from_ts``: leave out blocks before a time; ``pushdown``: take that time
+    from the query's filters (``read`` sets it where the session allows it).
     """
 
     @classmethod
@@ -349,44 +405,91 @@ class HotFileSource(DataSource):
         return RECORD_SCHEMA
 
     def reader(self, schema) -> HotFileReader:
-        return HotFileReader(self.options)
+        return (PushingReader if self.options.get("pushdown") == "true" else HotFileReader)(self.options)
+
+
+def read(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records of a file or folder of artifacts, or a JSON list of them."""
+    spark.dataSource.register(HotFileSource)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+    return spark.read.format("hotfile").options(pushdown=pushes, **options).option("paths", path).load()
 
 
-def export(records: DataFrame, folder: str, price_scale: int = 100_000_000) -> list[tuple[str, str]]:
+def export(records: DataFrame, folder: str, price_scale: int = 100_000_000, block: int = DEFAULT_BLOCK) -> list[tuple[str, str]]:
     """Artifacts of each venue and UTC day in ``folder`` with ``.hash`` sidecars; returns (name, hash).
 
-    A venue's day is one file and is put together by one task. A file appears under
-    its name only when it is whole.
+    A venue's day is one file, as the format asks: its header covers all of it. One
+    task puts it together as bytes, 64 for each record and those of its levels. A file
+    appears under its name only when it is whole.
     """
-    named = records.withColumn("__name", artifact_name(F.col("venue_id"), utc_day(F.col("exchange_ts"))))
+    name_of, = shared.fresh(records, "artifact")
+    named = records.withColumn(name_of, artifact_name(F.col("venue_id"), utc_day(F.col("exchange_ts"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
 
-        def close(name: str, rows: list[dict]) -> tuple[str, str]:
-            data = encode(rows, rows[0]["venue_id"], price_scale)
+        def close(name: str, image: Image) -> tuple[str, str]:
+            data = image.finished()
             sha = hashlib.sha256(data).hexdigest()
             for suffix, body in (("", data), (".hash", (sha + "\n").encode())):
-                part = f"{root}/.{name}{suffix}.part"
+                part = f"{root}/.{name}{suffix}.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
                     out.write(body)
                 store.move(part, f"{root}/{name}{suffix}")
             return name, sha
 
-        name, rows, done = None, [], []
+        name, image, done = None, None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["__name"] != name:
-                    if rows:
-                        done.append(close(name, rows))
-                    name, rows = r["__name"], []
-                rows.append(r)
-        if rows:
-            done.append(close(name, rows))
+            names = batch.column(name_of).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else []
+            for a, b in zip(bounds, bounds[1:]):
+                if names[a] != name:
+                    if image is not None:
+                        done.append(close(name, image))
+                    name = names[a]
+                    image = Image(batch.column("venue_id")[a].as_py(), price_scale, block)
+                image.add(batch.slice(a, b - a))
+        if image is not None:
+            done.append(close(name, image))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*done) if done else [()] * 2)], names=["name", "hash"])
 
-    dealt = named.repartition("__name").sortWithinPartitions("__name", *KEY)
+    dealt = named.repartition(name_of).sortWithinPartitions(name_of, *KEY)
     return sorted(tuple(r) for r in dealt.mapInArrow(run, "name string, hash string").collect())  # a row per file
+
+
+def inspect(spark: SparkSession, folder: str, damage: dict[str, int] | None = None) -> DataFrame:
+    """(artifact, damage, fault, header) of each file of a folder, checked as a whole where it is read.
+
+    ``damage`` names bytes to flip before the check, by their place in the file (from
+    its end if negative); without it, files are checked as they are. ``fault`` is the
+    class of what is wrong, null if nothing is; ``header`` has the header's numbers.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("artifact"), "content")
+    numbers = ("version", "venue_id", "n_records", "min_ts", "max_ts", "header_size", "block_size", "n_time", "n_snap", "blob_len")
+    kinds = f"artifact string, damage string, fault string, file_size long, {', '.join(f'{x} long' for x in numbers)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["artifact"].to_pylist(), batch["content"]):
+                whole = content.as_py()
+                for what, at in (damage or {"": None}).items():
+                    data = whole
+                    if at is not None:
+                        at %= len(whole)
+                        data = whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :]
+                    fault, header = None, [None] * len(numbers)
+                    try:
+                        file = HotFile(data)
+                        header = [getattr(file.header, x) for x in numbers]
+                        file.verify_all()
+                    except errors.TapeError as e:
+                        fault = type(e).__name__
+                    rows.append((name, what, fault, len(data), *header))
+            columns = list(zip(*rows)) if rows else [()] * (4 + len(numbers))
+            types = [pa.string()] * 3 + [pa.int64()] * (1 + len(numbers))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["artifact", "damage", "fault", "file_size", *numbers])
+
+    return files.mapInArrow(run, kinds)

@@ -35,3 +35,19 @@ def build(spark: SparkSession, shape: dict[int, tuple[int, ...]] = STANDARD, see
         F.when(snap, zero).otherwise(100 + drawn(3, 50)).alias("price"), F.when(snap, zero).otherwise(1 + drawn(4, 10)).alias("size"),
         side(120, 119).alias("bids"), side(121).alias("asks"),
     )
+
+
+def stream(spark: SparkSession, n: int, venues: int = 4, seed: int = 0x5EED) -> DataFrame:
+    """``n`` deltas of some venues, one after the other in time; no window, for benchmarks of any size."""
+    number = F.col("id")
+
+    def drawn(what: int, below: int):
+        return F.pmod(F.xxhash64(F.lit(seed), number, F.lit(what)), F.lit(below))
+
+    level = "array<struct<price: bigint, size: bigint>>"
+    return spark.range(n).select(
+        (number * 1_000_000 + drawn(0, 1_000_000)).alias("exchange_ts"), number.cast("decimal(20,0)").alias("sequence_number"),
+        drawn(1, 8).alias("instrument_id"), (drawn(2, venues) + 1).cast("int").alias("venue_id"), F.lit(0).alias("record_type"),
+        drawn(3, 2).cast("int").alias("side_flags"), (100 + drawn(4, 50)).alias("price"), (1 + drawn(5, 10)).alias("size"),
+        F.lit(None).cast(level).alias("bids"), F.lit(None).cast(level).alias("asks"),
+    )

@@ -20,8 +20,11 @@ _SIZE = StructType([StructField("size", LongType())])
 class BookProcessor(StatefulProcessor):
     """Levels in a map of the state store, so a book of any depth stays out of the worker's memory.
 
-    A micro-batch's records are applied in key order. A record at or before the
-    last one applied is late, and an error: nothing is dropped or repaired.
+    A micro-batch's records are folded to the last event of each level since the
+    instrument's last snapshot first, column by column; the store is touched once
+    for each level that changes. A record at or before the last one applied is late,
+    and a removal of a level that is not there diverges: both are errors, nothing is
+    dropped or repaired.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -29,37 +32,77 @@ class BookProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("ts", LongType()), StructField("seq", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        venue, instrument = key
-        batch = pd.concat(list(rows)).sort_values(list(KEY))
+        venue, instrument = (int(x) for x in key)
+        batch = pd.concat(list(rows)).sort_values(list(KEY), ignore_index=True)
+        at = pd.DataFrame({"ts": batch["exchange_ts"].astype("int64"), "seq": batch["sequence_number"].astype("int64")})
+        self._check_order(venue, at)
+        events = self._events(batch)
+        replaced = (batch["record_type"] == SNAPSHOT).any()
         changed: dict[tuple[int, int], int] = {}
-        last = self.last.get() if self.last.exists() else None
-        now = tuple(last) if last is not None else None
-        for r in batch.itertuples():
-            at = (int(r.exchange_ts), int(r.sequence_number))
-            if now is not None and at <= now:
-                raise errors.named("DuplicateKey" if at == now else "OutOfOrder")(f"venue {venue}: {at}")
-            now = at
-            if r.record_type == SNAPSHOT:
-                for side, price in list(self.levels.keys()):
-                    changed[int(side), int(price)] = 0
-                self.levels.clear()
-                for side, levels in enumerate((r.bids, r.asks)):
-                    for x in levels if levels is not None else []:
-                        self.levels.updateValue((side, int(x["price"])), (int(x["size"]),))
-                        changed[(side, int(x["price"]))] = int(x["size"])
-            elif r.record_type == DELTA:
-                level = (int(r.side_flags), int(r.price))
-                if r.size:
-                    self.levels.updateValue(level, (int(r.size),))
-                else:
-                    if not self.levels.containsKey(level):
-                        raise errors.named("LevelNotFound")(f"venue {venue}, instrument {instrument}: {level}")
-                    self.levels.removeKey(level)
-                changed[level] = int(r.size)
-        if now is not None:
+        if replaced:
+            changed = {(int(s), int(p)): 0 for s, p in self.levels.keys()}
+        self._check_removals(venue, instrument, events, changed.keys() if replaced else None)
+        if replaced:
+            self.levels.clear()
+            events = events[events["segment"] == events["segment"].max()]
+        events = events[events["side"] >= 0]
+        for level in events.drop_duplicates(["side", "price"], keep="last").itertuples():
+            place, size = (int(level.side), int(level.price)), int(level.size)
+            if size or level.snap:
+                self.levels.updateValue(place, (size,))
+            elif not replaced:
+                self.levels.removeKey(place)
+            changed[place] = size
+        if len(at):
+            now = (int(at["ts"].iloc[-1]), int(at["seq"].iloc[-1]))
             self.last.update(now)
-        rows_out = [(int(venue), int(instrument), s, p, n, now[0]) for (s, p), n in changed.items()]
-        yield pd.DataFrame(rows_out, columns=["venue_id", "instrument_id", "side", "price", "size", "emit"])
+            out = [(venue, instrument, s, p, n, now[0]) for (s, p), n in changed.items()]
+            yield pd.DataFrame(out, columns=["venue_id", "instrument_id", "side", "price", "size", "emit"])
+
+    def _check_order(self, venue: int, at: pd.DataFrame) -> None:
+        if self.last.exists():
+            first = pd.DataFrame([tuple(self.last.get())], columns=["ts", "seq"])
+            at = pd.concat([first, at], ignore_index=True)
+        before = at.shift()
+        same = at["ts"] == before["ts"]
+        bad = (at["ts"] < before["ts"]) | same & (at["seq"] <= before["seq"])
+        if bad.any():
+            k = int(bad.idxmax())
+            kind = "DuplicateKey" if same[k] and at["seq"][k] == before["seq"][k] else "OutOfOrder"
+            raise errors.named(kind)(f"venue {venue}: {tuple(at.iloc[k])}")
+
+    @staticmethod
+    def _events(batch: pd.DataFrame) -> pd.DataFrame:
+        """(order, segment, side, price, size, snap): set levels; a snapshot begins a segment, and marks it on side -1."""
+        batch = batch.assign(segment=(batch["record_type"] == SNAPSHOT).cumsum(), order=range(len(batch)))
+        deltas = batch[batch["record_type"] == DELTA]
+        parts = [pd.DataFrame({c: deltas[d] for c, d in (("order", "order"), ("segment", "segment"), ("side", "side_flags"), ("price", "price"), ("size", "size"))}).assign(snap=False)]
+        snaps = batch[batch["record_type"] == SNAPSHOT]
+        parts.append(pd.DataFrame({"order": snaps["order"], "segment": snaps["segment"], "side": -1, "price": 0, "size": 0, "snap": True}))
+        for side, column in enumerate(("bids", "asks")):
+            each = snaps[["order", "segment", column]].explode(column).dropna(subset=[column])
+            parts.append(
+                pd.DataFrame(
+                    {"order": each["order"], "segment": each["segment"], "side": side, "price": [int(x["price"]) for x in each[column]], "size": [int(x["size"]) for x in each[column]], "snap": True}
+                )
+            )
+        return pd.concat(parts).sort_values(["order", "side"], kind="stable", ignore_index=True)
+
+    def _check_removals(self, venue: int, instrument: int, events: pd.DataFrame, stored) -> None:
+        own = events[events["side"] >= 0]
+        before = own.groupby(["segment", "side", "price"], sort=False)[["size", "snap"]].shift()
+        first = before["size"].isna()
+        removals = (own["size"] == 0) & ~own["snap"].astype(bool)
+        gone = removals & ~first & (before["size"] == 0) & ~before["snap"].fillna(False).astype(bool)
+        # the first event of a level in a segment: it is there if the state before the first snapshot has it
+        for level in own[removals & first].itertuples():
+            place = (int(level.side), int(level.price))
+            there = level.segment == 0 and (place in stored if stored is not None else self.levels.containsKey(place))
+            if not there:
+                raise errors.named("LevelNotFound")(f"venue {venue}, instrument {instrument}: {place}")
+        if gone.any():
+            level = own[gone].iloc[0]
+            raise errors.named("LevelNotFound")(f"venue {venue}, instrument {instrument}: {(int(level.side), int(level.price))}")
 
     def close(self) -> None:
         pass

@@ -1,93 +1,268 @@
-"""One ordered stream to many subscribers, a micro-batch at a time.
+"""One ordered stream to many subscribers through a ring of retained records.
 
-A micro-batch goes to all block sinks before the next one starts: the writer's
-barrier. Batches must not go back in the total order. Joins and leaves take effect
-between batches; a sink that takes longer than the watchdog allows is evicted.
+``FanOut.on_batch`` is the writer, called by ``foreachBatch``. It splits a micro-batch
+into parts that fit the ring and writes a part once no block subscriber needs what
+the part would push out: that is the barrier, and drop subscribers are no part of
+it. Each subscriber reads for itself, in a thread of its own if it has a sink, or
+when it is asked to: a block subscriber gets every record; a drop subscriber that
+was lapped goes on with the record that its slot holds now and is told what it
+missed. A block subscriber that holds the writer back for longer than the watchdog
+allows, be its sink slow or stuck, is evicted. Joins and leaves take effect between
+parts; a start anywhere in the retained window is accepted.
+
+The ring holds no copies of records but the parts themselves, as frames that are
+persisted while a record of theirs is retained.
+
+Without a ring the fan-out goes in lockstep: nothing is retained, the writer itself
+calls the sinks with each micro-batch, and one that took too long is evicted.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
-from ..operators.delivery import BLOCK, NO_CURSOR, parse_mode
+from ..operators.delivery import BLOCK, NO_CURSOR, Ring, Start, gap, parse_mode
 from ..operators.order import with_emit_index
 from ..schema import KEY
 
+Gap = tuple[int, int, int]
+
 
 class Subscriber:
-    """``deliver`` gets each ordered batch (with emit_index), and returns when it has taken it."""
+    """A reader of the ring.
 
-    def __init__(self, name: str, mode: str | None, deliver: Callable[[DataFrame], None], start: int | None = None):
-        self.name, self.mode, self.deliver, self.start = name, parse_mode(mode), deliver, start
-        self.cursor, self.state = start, "running"
+    ``deliver`` gets each ordered part (with emit_index, and ``gap`` on the first row
+    of a drop subscriber's part) and returns when it has taken it; without it, the
+    owner calls ``FanOut.read``. ``start``: an emit index, a ``Start``, or None for
+    the end of the stream.
+    """
+
+    def __init__(self, name: str, mode: str | None, deliver: Callable[[DataFrame], None] | None = None, start: int | Start | None = None):
+        self.name, self.mode, self.deliver = name, parse_mode(mode), deliver
+        self.start = Start("emit_index", start) if isinstance(start, int) else start or Start("live")
+        self.cursor = 0
+        #: joining, running, lapped, canceled, evicted, failed, closed or ended
+        self.state = "joining"
+        self.received, self.gaps = 0, list[Gap]()
+        self.error: BaseException | None = None
 
     def cancel(self) -> None:
-        self.state = "canceled"
+        if self.state in ("joining", "running"):
+            self.state = "canceled"
 
 
 class FanOut:
-    """Feeds subscribers from ``foreachBatch``; ``clock`` times sinks for the watchdog."""
+    """Feeds subscribers from ``foreachBatch``; ``clock`` times the writer's waits for the watchdog."""
 
-    def __init__(self, clock, watchdog_nanos: int | None = None):
-        self.clock, self.watchdog = clock, watchdog_nanos
+    def __init__(self, clock, watchdog_nanos: int | None = None, ring: Ring | None = None):
+        self.clock, self.watchdog, self.ring = clock, watchdog_nanos, ring
         self.subscribers: list[Subscriber] = []
         self._joining: list[Subscriber] = []
+        self._parts: list[tuple[int, int, DataFrame]] = []  # (first index, end, records) of what is retained
+        self._threads: dict[str, threading.Thread] = {}
+        self._moved = threading.Condition()
         self.written, self.slip, self.ended, self.last = 0, 0, False, None
 
     def subscribe(self, subscriber: Subscriber) -> None:
-        if self.ended:
-            raise errors.named("Closed")(subscriber.name)
-        self._joining.append(subscriber)
+        with self._moved:
+            if self.ended:
+                raise errors.named("Closed")(subscriber.name)
+            self._joining.append(subscriber)
 
     def unsubscribe(self, subscriber: Subscriber) -> None:
-        subscriber.cancel()
+        with self._moved:
+            subscriber.cancel()
+            self._moved.notify_all()
 
     def min_block_cursor(self) -> int:
         own = [s.cursor for s in self.subscribers if s.mode == BLOCK and s.state == "running"]
         return min(own, default=int(NO_CURSOR))
 
+    # the writer
+
+    def oldest(self) -> int:
+        """The first index that is still there for a block subscriber to start at."""
+        return self.written if self.ring is None else self.ring.oldest(self.written)
+
+    def _resolve(self, start: Start) -> int:
+        if start.kind != "exchange_ts":
+            return {"beginning": 0, "emit_index": start.value, "live": self.written}[start.kind]
+        for first, _, part in self._parts:
+            own = part.where((F.col("exchange_ts") >= F.lit(start.value)) & (F.col("emit_index") >= max(first, self.oldest())))
+            if (found := own.agg(F.min("emit_index")).first()[0]) is not None:
+                return found
+        return self.written
+
     def _apply_control(self) -> None:
-        for s in self._joining:
-            if s.cursor is None:
-                s.cursor = self.written
-            if s.mode == BLOCK and s.cursor < self.written:
+        """Joins and leaves."""
+        joining, self._joining = self._joining, []
+        for s in joining:
+            if s.state != "joining":
+                continue
+            s.cursor, s.state = self._resolve(s.start), "running"
+            if s.mode == BLOCK and s.cursor < self.oldest():
                 s.state = "lapped"
+                continue
             self.subscribers.append(s)
-        self._joining = []
+            if s.deliver is not None and self.ring is not None:
+                self._threads[s.name] = threading.Thread(target=self._feed, args=(s,), name=s.name, daemon=True)
+                self._threads[s.name].start()
         self.subscribers = [s for s in self.subscribers if s.state == "running"]
 
+    def _wait_for_room(self, n: int) -> None:
+        """Wait until ``n`` more records push out nothing that a block subscriber needs; evict who takes too long."""
+        began = progress = self.clock.now()
+        least = self.min_block_cursor()
+        while self.written + n - least > self.ring.capacity:
+            until = None if self.watchdog is None else progress + self.watchdog
+            self.clock.wait(self._moved, until)
+            now, was, least = self.clock.now(), least, self.min_block_cursor()
+            if least != was:
+                progress = now
+            elif until is not None and now >= until:
+                slow = min((s for s in self.subscribers if s.mode == BLOCK and s.state == "running"), key=lambda s: s.cursor)
+                slow.state, progress = "evicted", now
+                self._moved.notify_all()
+                least = self.min_block_cursor()
+        self.slip += self.clock.now() - began
+
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        self._apply_control()
-        batch = batch.persist()
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             edge = F.struct(*KEY)
             low, high, n = batch.agg(F.min(edge), F.max(edge), F.count("*")).first()
             if not n:
+                with self._moved:
+                    self._apply_control()
                 return
             if self.last is not None and tuple(low) <= tuple(self.last):
                 kind = "DuplicateKey" if tuple(low) == tuple(self.last) else "OutOfOrder"
                 raise errors.named(kind)(f"batch {batch_id} begins at {tuple(low)}")
             self.last = high
-            indexed = with_emit_index(batch).withColumn("emit_index", F.col("emit_index") + F.lit(self.written))
-            for s in self.subscribers:
-                if s.state != "running":
-                    continue
-                began = self.clock.now()
-                s.deliver(indexed.where(F.col("emit_index") >= F.lit(s.cursor)))
-                took = self.clock.now() - began
-                if s.mode == BLOCK:
-                    self.slip += took
-                    if self.watchdog is not None and took > self.watchdog:
-                        s.state = "evicted"
-                s.cursor = max(s.cursor, self.written + n)
-            self.written += n
+            first = self.written
+            indexed = with_emit_index(batch).withColumn("emit_index", F.col("emit_index") + F.lit(first))
+            if self.ring is None:
+                self._in_lockstep(indexed, n)
+                return
+            for at in range(first, first + n, self.ring.capacity):
+                end = min(at + self.ring.capacity, first + n)
+                part = indexed.where((F.col("emit_index") >= at) & (F.col("emit_index") < end)).persist(StorageLevel.MEMORY_AND_DISK)
+                part.count()  # held before the batch is let go
+                with self._moved:
+                    self._apply_control()
+                    self._wait_for_room(end - at)
+                    self._parts.append((at, end, part))
+                    self.written = end
+                    self._let_go()
+                    self._moved.notify_all()
         finally:
             batch.unpersist()
 
+    def _in_lockstep(self, indexed: DataFrame, n: int) -> None:
+        self._apply_control()
+        for s in self.subscribers:
+            if s.state != "running":
+                continue
+            began = self.clock.now()
+            s.deliver(indexed.where(F.col("emit_index") >= F.lit(s.cursor)))
+            took = self.clock.now() - began
+            if s.mode == BLOCK:
+                self.slip += took
+                if self.watchdog is not None and took > self.watchdog:
+                    s.state = "evicted"
+            s.received += max(0, self.written + n - max(s.cursor, self.written))
+            s.cursor = max(s.cursor, self.written + n)
+        self.written += n
+
+    def _let_go(self) -> None:
+        oldest = self.ring.oldest(self.written)
+        for first, end, part in self._parts:
+            if end <= oldest:
+                part.unpersist()
+        self._parts = [p for p in self._parts if p[1] > oldest]
+
+    # a reader
+
+    def read(self, s: Subscriber) -> tuple[DataFrame, Gap | None] | None:
+        """What ``s`` gets next: (records, what it missed before them); None if there is nothing now.
+
+        The cursor of a drop subscriber moves on here, that of a block subscriber by ``taken``.
+        """
+        with self._moved:
+            if s.state == "joining":
+                return None
+            for state, kind in (("evicted", "Evicted"), ("canceled", "Canceled"), ("lapped", "StartLapped"), ("closed", "Closed")):
+                if s.state == state:
+                    raise errors.named(kind)(s.name)
+            if s.cursor >= self.written:
+                return None
+            end = self.written
+            held = s.cursor if s.mode == BLOCK else self.ring.held(s.cursor, end) if s.cursor < self.ring.oldest(end) else s.cursor
+            missed = (s.cursor, held - 1, held - s.cursor) if held > s.cursor else None
+            own = [part for first, last, part in self._parts if last > held]
+            records = own[0]
+            for part in own[1:]:
+                records = records.unionByName(part)
+            records = records.where((F.col("emit_index") >= held) & (F.col("emit_index") < end))
+            if s.mode != BLOCK:
+                at = F.lit(s.cursor).cast("long")
+                records = records.withColumn("gap", F.when(F.col("emit_index") == held, gap(at, F.lit(held).cast("long"))))
+                if missed:
+                    s.gaps.append(missed)
+                s.cursor = end
+                s.received += end - held
+            return records, missed
+
+    def taken(self, s: Subscriber, end: int) -> None:
+        """A block subscriber has all records before ``end``."""
+        with self._moved:
+            s.received += end - s.cursor
+            s.cursor = end
+            self._moved.notify_all()
+
+    def _feed(self, s: Subscriber) -> None:
+        try:
+            while s.state == "running":
+                with self._moved:
+                    end, got = self.written, self.read(s)
+                    if got is None:
+                        if self.ended:
+                            s.state = "ended"
+                            return
+                        self._moved.wait()
+                        continue
+                s.deliver(got[0])
+                if s.mode == BLOCK and s.state == "running":
+                    self.taken(s, end)
+        except errors.TapeError:
+            pass  # its state tells why
+        except BaseException as e:
+            with self._moved:
+                s.state, s.error = "failed", e
+                self._moved.notify_all()
+
+    def end(self, wait_nanos: int | None = None) -> None:
+        """The stream is over: readers take what is left, joins fail, those that wait and later ones."""
+        with self._moved:
+            self.ended = True
+            for s in self._joining:
+                s.state = "closed"
+            self._joining = []
+            self._moved.notify_all()
+        for name, thread in self._threads.items():
+            limit = wait_nanos if wait_nanos is not None else self.watchdog
+            thread.join(None if limit is None else limit / 1e9)
+            if thread.is_alive():  # stuck in its sink
+                for s in self.subscribers:
+                    if s.name == name and s.state == "running":
+                        s.state = "evicted"
+
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Deliver all that is there, then end; an error in a batch ends the run without an end mark."""
         query = (
@@ -97,7 +272,4 @@ class FanOut:
             .start()
         )
         query.awaitTermination()
-        self.ended = True
-        for s in self._joining:
-            s.state = "closed"
-        self._joining = []
+        self.end()
