@@ -65,6 +65,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, label: str, name: str) -> DataFrame:
+    """``df`` as a written table with a number of its own for each row in ``name``.
+
+    The number is the row's place in the table's files, by their names: task (22
+    bits), file of the task (6) and place in the file (35), so it never changes.
+    """
+    table = written(df, label)
+    file = F.col("_metadata.file_name")
+    task, part = (F.regexp_extract(file, r"^part-(\d+)-.*-c(\d+)\.", k).cast("long") for k in (1, 2))
+    number = F.shiftleft(task, 41) + F.shiftleft(part, 35) + F.col("_metadata.row_index")
+    return table.select("*", number.alias(name))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

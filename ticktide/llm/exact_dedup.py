@@ -155,10 +155,8 @@ def exact_dedup(
     Returns (id, digest, keep_id, group_size, kept), a row per row of ``docs``. Of
     the rows with the kept id and text, where they repeat, one is kept.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.monotonically_increasing_id().alias("at")
-    )
-    rows = common.written(rows, "digests")
+    rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"))
+    rows = common.numbered(rows, "digests", "at")
     # partial aggregates: a digest that a third of all rows has is one row per task before the shuffle
     groups = rows.groupBy("digest").agg(
         F.max("id").alias("keep_id"), F.coalesce(F.max_by("at", "id"), F.min("at")).alias("keep_at"), F.count("*").alias("group_size")
