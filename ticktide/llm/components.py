@@ -13,27 +13,30 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """(node, low) links after a large star or a small star of (a, b) with a <> b, a written table.
+def _star(links: DataFrame, large: bool, n_links: int) -> DataFrame:
+    """(node, low) links after a large star or a small star of (a, b) with a <> b.
 
     The minimum of a node's neighbourhood is a partial aggregate; it comes back to
-    the links by a join that broadcasts the hubs, so that the links of a node in a
-    large component stay where they are.
+    the links by a join that broadcasts the hubs (at most BROADCAST_ROWS of them can
+    exist), so that the links of a node in a large component stay where they are.
     """
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
-    low = common.written(low, "lowest")
-    met = common.with_group(both, low, "a", "n", low.agg(F.sum("n")).first()[0] or 0)
+    floor = max(100, 2 * n_links // common.BROADCAST_ROWS + 1)
+    hubs, others = low.where(F.col("n") > floor).drop("n"), low.where(F.col("n") <= floor).drop("n")
+    met = both.join(F.broadcast(hubs), "a").unionByName(
+        both.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(others.hint("merge"), "a")
+    )
     if large:
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
         out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b"))
         )
-    return common.written(out.where("a <> b").distinct(), "links")
+    return out.where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,7 +49,8 @@ def components(links: DataFrame) -> DataFrame:
 
     before = mark(state)
     while before[0]:
-        state = _star(_star(state, True), False)
+        # a star has no more links than it began with
+        state = common.written(_star(_star(state, True, before[0]), False, before[0]), "links")
         if (now := mark(state)) == before:
             break
         before = now
