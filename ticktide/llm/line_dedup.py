@@ -261,7 +261,8 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     left = common.written(still_there(held, gone), "left")
     if left.isEmpty():
         return gone
-    holders = every.join(left.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "id").distinct()
+    asked = common.written(left.select("h").distinct().join(first.drop("early").hint("merge"), "h"), "asked_runs")
+    holders = common.with_group(every.select("h", "id"), asked, "h", "n_runs", every.count()).select("h", "id").distinct()
     holders = common.written(ranks.ranked_within(holders, "h", "id", "place"), "holders")
     left, low = left.join(holders.hint("merge"), ["h", "id"]), 2
     while not (left := common.written(left.where(f"place > {low}"), "left")).isEmpty():
