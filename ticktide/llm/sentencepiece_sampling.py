@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -97,7 +98,7 @@ class Lattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces, weight = [], []
+        weight: list[float] = []
         self.bytes_of: list[bytes] = []
         self.byte_id = np.zeros(256, np.int64)
         words: list[tuple[str, int]] = []
@@ -116,6 +117,9 @@ class Lattice:
             rank = -score if -1e8 < score <= 0 and not model.is_byte(i) else 1e5
             weight.append(-alpha * np.log(rank + 10))
         self.weight = np.array(weight)
+        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.blob_len = np.fromiter(map(len, self.bytes_of), np.int32, len(self.bytes_of))
+        self.blob_at = np.cumsum(self.blob_len, dtype=np.int32) - self.blob_len
         self._trie(words)
         self._clear()
 
@@ -242,21 +246,35 @@ class Lattice:
         ):
             grown.extend(values)
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of edges; an edge of bytes gives several."""
-        out = self.piece.data[edges].astype(np.int64)
-        odd = np.flatnonzero(out < 0)
+    def piece_ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of edges, and how many each edge gives: one of bytes gives several."""
+        piece = self.piece.data[edges]
+        many = np.ones(len(edges), np.int32)
+        odd = np.flatnonzero(piece < 0)
         if not len(odd):
-            return out.astype("<u4")
-        codes = -1 - out[odd]
-        if (codes < 128).all():
-            out[odd] = self.byte_id[codes]
-            return out.astype("<u4")
-        parts, at = [], 0
-        for k, c in zip(odd.tolist(), codes.tolist()):
-            parts += [out[at:k], self.byte_id[list(chr(c).encode("utf-8", "surrogatepass"))]]
-            at = k + 1
-        return np.concatenate([*parts, out[at:]]).astype("<u4")
+            return piece.astype("<u4"), many
+        codes = -1 - piece[odd].astype(np.int64)
+        many[odd] = _utf8_length(codes)
+        out = np.repeat(piece, many).astype("<u4")
+        first = (np.cumsum(many) - many)[odd]
+        plain = codes < 128
+        out[first[plain]] = self.byte_id[codes[plain]]
+        for at, c in zip(first[~plain].tolist(), codes[~plain].tolist()):
+            raw = list(chr(c).encode("utf-8", "surrogatepass"))
+            out[at : at + len(raw)] = self.byte_id[raw]
+        return out, many
+
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        return self.piece_ids(edges)[0]
+
+    def spelled(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of piece ids put together, and the end of each piece's bytes."""
+        size = self.blob_len[ids]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total, dtype=np.int32)
+        at += np.repeat(self.blob_at[ids] - (ends - size).astype(np.int32), size)
+        return self.blob[at].tobytes(), ends
 
     def walk(self, node: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Drawn edges from each node to its unit's end, and their number per node."""
@@ -336,8 +354,8 @@ class Paths:
         return value, at
 
 
-def draw(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-    """(text, rank, edges, log p, perturbed log p, inclusion) of k segmentations of each text, best first.
+def drawn_paths(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: int) -> tuple[list[tuple], np.ndarray]:
+    """k segmentations of each text, best first, as (paths, their texts, perturbed log p) per rank; and kappa of each text.
 
     ``key``: an unsigned 64-bit number for each text.
     """
@@ -439,12 +457,37 @@ def draw(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: int) ->
         paths.append(path)
         extras.append((bound, np.full(n, len(paths) - 1), where, ruled))
         drawn.append((path, who, value[who]))
+    return drawn, kappa
+
+
+def _inclusion(lp: float, kappa: float) -> float:
+    near = lp - kappa if kappa > -np.inf else np.inf
+    return float(-np.expm1(-np.exp(min(near, 700.0))))
+
+
+def draw(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+    """(text, rank, edges, log p, perturbed log p, inclusion) of k segmentations of each text, best first."""
+    drawn, kappa = drawn_paths(lattice, nodes, key, k)
     for rank, (path, who, value) in enumerate(drawn):
         for i, d in enumerate(who.tolist()):
             lp = float(path.total[i])
-            near = lp - kappa[d] if kappa[d] > -np.inf else np.inf
-            inclusion = float(-np.expm1(-np.exp(min(near, 700.0))))
-            yield d, rank, path.edges[path.begin[i] : path.begin[i] + path.count[i]], lp, float(value[i]), inclusion
+            yield d, rank, path.edges[path.begin[i] : path.begin[i] + path.count[i]], lp, float(value[i]), _inclusion(lp, kappa[d])
+
+
+def draw_encoded(
+    lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: int, decoded: bool
+) -> Iterator[tuple[int, int, bytes, float, float, float, bytes]]:
+    """(text, rank, ids, log p, perturbed log p, inclusion, bytes decoded from the ids), all texts of a rank together."""
+    drawn, kappa = drawn_paths(lattice, nodes, key, k)
+    for rank, (path, who, value) in enumerate(drawn):
+        ids, many = lattice.piece_ids(path.edges)
+        ends = np.append(0, np.cumsum(many, dtype=np.int64))
+        begin, end = ends[path.begin], ends[path.begin + path.count]
+        raw, (text, stops) = ids.tobytes(), lattice.spelled(ids) if decoded else (b"", np.zeros(len(ids), np.int64))
+        stops = np.append(0, stops)
+        columns = zip(who.tolist(), begin.tolist(), end.tolist(), stops[begin].tolist(), stops[end].tolist(), path.total.tolist(), value.tolist())
+        for d, a, b, x, y, lp, v in columns:
+            yield d, rank, raw[4 * a : 4 * b], lp, v, _inclusion(lp, kappa[d]), text[x:y]
 
 
 def normalised(text: str | None) -> str:
@@ -461,22 +504,26 @@ def lattice_of(path: str, alpha: float) -> Lattice:
     return _lattices[path, alpha]
 
 
+def text_of(spelled: bytes) -> str:
+    """The text of pieces' bytes, without the space that encoding added."""
+    return (spelled[1:] if spelled[:1] == b" " else spelled).decode("utf-8", "replace")
+
+
 def decode_ids(lattice: Lattice, ids: np.ndarray) -> str:
     """The text of piece ids, without the space that encoding added."""
-    out = b"".join(map(lattice.bytes_of.__getitem__, ids.tolist()))
-    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+    return text_of(b"".join(map(lattice.bytes_of.__getitem__, ids.tolist())))
 
 
-def samples(lattice: Lattice, texts: list[str | None], keys: np.ndarray, k: int) -> Iterator[tuple]:
-    """``draw`` over chunks of texts."""
+def samples(lattice: Lattice, texts: list[str | None], keys: np.ndarray, k: int, how=draw) -> Iterator[tuple]:
+    """``how`` (draw, or draw_encoded) over chunks of texts."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
             size += len(texts[end] or "")
             end += 1
-        units = [_UNITS.findall(normalised(t)) for t in texts[at:end]]
-        for d, *rest in draw(lattice, lattice.nodes(units), keys[at:end], k):
+        nodes = lattice.nodes([_UNITS.findall(normalised(t)) for t in texts[at:end]])
+        for d, *rest in how(lattice, nodes, keys[at:end], k):
             yield at + d, *rest
         at = end
 
@@ -512,15 +559,14 @@ def encode_samples(
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *own]
 
             def rows():
-                for d, rank, edges, lp, value, inclusion in samples(lattice, batch["text"].to_pylist(), keys, k):
-                    pieces = lattice.ids(edges)
-                    raw = pieces.tobytes()
-                    text = decode_ids(lattice, pieces) if digests or texts else ""
+                how = partial(draw_encoded, decoded=digests or texts)
+                for d, rank, raw, lp, value, inclusion, spelled in samples(lattice, batch["text"].to_pylist(), keys, k, how):
+                    text = text_of(spelled)
                     end = (zlib.crc32(raw), zlib.crc32(text.encode())) if digests else ()
                     end += (raw,) if texts or not digests else ()
                     end += (text,) if texts else ()
                     size = 64 + (len(raw) if texts or not digests else 0) + (4 * len(text) if texts else 0)
-                    yield size, (ids[d], rank, len(pieces), lp, value, inclusion, *end)
+                    yield size, (ids[d], rank, len(raw) // 4, lp, value, inclusion, *end)
 
             yield from tokens.batched(rows(), pa.schema(list(zip(names, kinds))))
 
