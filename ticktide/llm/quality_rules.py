@@ -1,6 +1,6 @@
 """Quality rules: base counts of each text, and lines that too much of a host shares.
 
-Lines are normalised and hashed; for each host (``source``) the distinct documents
+Lines are normalised and hashed once, into a written table; for each host (``source``) the distinct documents
 that hold a line are counted, documents with equal texts as one; lines above the
 limits are removed, except from the first document (smallest id) of the host
 that holds them, so that no text is lost everywhere; a document that lost more
@@ -10,8 +10,8 @@ fail the base rules. All of it is DataFrame code.
 Defined cases: a null or empty text has no words and fails the base rules; a null
 host is a host of its own; documents on one line, however long, are one line;
 a repeated row counts once as a document and gets a result row each; a row without
-an id loses no lines; an empty table gives an empty result; other columns are not
-touched.
+an id loses no lines; an empty table gives an empty result; other columns, whatever
+their names, are not touched.
 """
 
 from __future__ import annotations
@@ -107,39 +107,49 @@ def counted(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(rows: DataFrame, limits: Limits) -> DataFrame:
+def host_lines(docs: DataFrame) -> DataFrame:
+    """(id, host, text_key, at, line, n_line) of the lines with words of (id, host, text), as a written table.
+
+    ``line`` is the hash of the normal line, ``n_line`` its words, ``at`` its place among all lines.
+    """
+    each = docs.select("id", "host", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    line = each.where(has_word(F.col("raw"))).select("id", "host", "text_key", "at", normal_line(F.col("raw")).alias("line"))
+    spaces = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    return common.written(
+        line.select("id", "host", "text_key", "at", F.xxhash64("line").alias("line"), (spaces + 1).alias("n_line")), "host_lines"
+    )
+
+
+def common_lines(docs: DataFrame, lines: DataFrame, limits: Limits) -> DataFrame:
     """(host, line) above the limits, with the first document that holds it.
 
     The first shuffle is by host, line and text, so a line that a third of all
     documents hold is spread; the second gets partial counts.
     """
-    keyed = rows.select(
-        "id", "host", F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct("line_keys")).alias("line")
-    )
-    once = keyed.groupBy("host", "line", "text_key").agg(F.min("id").alias("first"))
+    once = lines.groupBy("host", "line", "text_key").agg(F.min("id").alias("first"))
     counts = once.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    hosts = rows.groupBy("host").agg(F.count_distinct(F.xxhash64("text")).alias("n_docs"))
+    hosts = docs.groupBy("host").agg(F.count_distinct(F.xxhash64("text")).alias("n_docs"))
     hosts = hosts.withColumnRenamed("host", "h")
     above = counts.where(F.col("n") > limits.docs).join(hosts, F.col("host").eqNullSafe(F.col("h")))
     return above.where(F.col("n") > F.col("n_docs") * limits.share).select("host", "line", "first", "n")
 
 
-def line_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(id, text_key, removed_words, removed_lines) of the documents that lose lines. ``docs``: (id, host, text)."""
-    lines = F.filter(F.split("text", "\n"), has_word)
-    keyed = docs.select(
-        "id", "host", "text", F.transform(lines, lambda x: F.xxhash64(normal_line(x))).alias("line_keys")
-    )
-    above = common.written(common_lines(keyed, limits), "common_lines")
-    each = docs.select("id", "host", F.xxhash64("text").alias("text_key"), F.posexplode(lines).alias("at", "line"))
+def removed_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(id, text_key, at, n_line) of the lines that go. ``docs``: (id, host, text)."""
+    lines = host_lines(docs)
+    above = common.written(common_lines(docs, lines, limits), "common_lines")
     found = above.select(F.col("host").alias("h"), F.col("line").alias("k"), "first")
-    if above.count() <= common.BROADCAST_ROWS:  # else a join by a shuffle, whose skewed keys are split
+    if above.count() <= common.BROADCAST_ROWS:  # else a join of two shuffled sides, whose skewed keys are split
         found = F.broadcast(found)
-    key = F.xxhash64(normal_line(F.col("line")))
-    hit = each.join(found, F.col("host").eqNullSafe(F.col("h")) & (key == F.col("k"))).where("id <> first")
+    hit = lines.join(found, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k"))).where("id <> first")
     # a row that repeats counts its lines once
-    hit = hit.select("id", "text_key", "at", F.size(words_of(F.col("line"))).alias("n")).distinct()
-    return hit.groupBy("id", "text_key").agg(F.sum("n").alias("removed_words"), F.count("*").alias("removed_lines"))
+    return hit.select("id", "text_key", "at", "n_line").distinct()
+
+
+def line_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(id, text_key, removed_words, removed_lines) of the documents that lose lines. ``docs``: (id, host, text)."""
+    gone = removed_lines(docs, limits)
+    return gone.groupBy("id", "text_key").agg(F.sum("n_line").alias("removed_words"), F.count("*").alias("removed_lines"))
 
 
 def quality_rules(
@@ -179,23 +189,25 @@ def keep_good(
 def without_common_lines(
     docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
-    """``docs`` with the lines above the limits taken out of their texts."""
-    raw = docs.select(
+    """``docs`` with the lines above the limits taken out of their texts; a text that loses none stays as it is."""
+    rows = docs.select(
         F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    keys = F.transform(F.filter(F.split("text", "\n"), has_word), lambda x: F.xxhash64(normal_line(x)))
-    above = common_lines(raw.select("id", "host", "text", keys.alias("line_keys")), limits)
-    gone = above.groupBy("host").agg(F.collect_list(F.struct("line", "first")).alias("gone"))
-    gone = gone.select(F.col("host").alias("__h"), F.col("gone").alias("__gone"))
-    out = docs.join(gone, F.col(host_col).eqNullSafe(F.col("__h")), "left")
-    kept = F.filter(
-        F.split(F.col(text_col), "\n"),
-        lambda x: ~F.exists(
-            F.col("__gone"), lambda g: (g["line"] == F.xxhash64(normal_line(x))) & (g["first"] != F.col(id_col))
-        ),
+    own, key, places, split = common.fresh_names(docs, "own", "key", "places", "split")
+    gone = removed_lines(rows, limits).groupBy(F.col("id").alias(own), F.col("text_key").alias(key)).agg(
+        F.collect_list("at").alias(places)
     )
-    cleaned = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn(text_col, cleaned).select(*docs.columns)
+    gone = common.written(gone, "gone_lines")
+    n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(places)), F.lit(0))).first()
+    if n_docs <= common.BROADCAST_ROWS and n_lines <= 1 << 20:  # 4 bytes a line
+        gone = F.broadcast(gone)
+    out = docs.join(gone, (docs[id_col] == gone[own]) & (F.xxhash64(docs[text_col]) == gone[key]), "left")
+    lines = F.split(F.col(text_col), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
+    left = F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n")
+    out = out.withColumn(split, F.when(F.col(places).isNotNull(), lines))
+    cleaned = F.when(F.col(places).isNotNull(), left).otherwise(F.col(text_col)).alias(text_col)
+    return out.select(*[cleaned if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
