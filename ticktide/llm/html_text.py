@@ -1,23 +1,33 @@
 """Text of web pages as a reader sees it: a tree builder and a layout-aware renderer.
 
-The builder reads tags, comments and raw-text elements, closes what the HTML
-rules imply (the head, paragraphs, list items, table rows and cells, options) and leaves out
-what is not shown: scripts, styles, templates, the head, elements that are hidden
-by attribute or inline style, closed ``details`` but for their summary. The
-renderer emits all visible text with a blank line around paragraphs, headings,
-lists and tables, a line for each other block, markers and indents for list items,
-padded columns for table cells, and ``pre`` as it stands.
-
-Defined cases: null and empty pages give an empty text; broken or unclosed markup
-is closed at its end; NUL and lone ``<`` are text; depth and length have no limit
-(nothing recurses); rows that repeat are pages of their own; an empty table gives
-an empty result; other columns are not read.
+The builder scans the page once, from left to right, by the states of the HTML
+tokenizer: tags with quoted, unquoted and missing values, comments, raw-text
+elements. It closes what the HTML rules imply (the head, paragraphs, list items,
+table rows and cells, options) and leaves out what is not shown: scripts, styles,
+templates, the head, elements that are hidden by attribute or inline ``display``,
+closed dialogs, closed ``details`` but for their summary. ``visibility`` is
+inherited, and a visible element in a hidden one is shown. The renderer emits all
+visible text with a blank line around paragraphs, headings, lists and tables, a
+line for each other block, markers and indents for list items, padded columns for
+table cells with their row and column spans, and ``pre`` as it stands.
+
+Defined cases: null and empty pages give an empty text; open elements are closed at
+the page's end; a tag, comment or quoted value that is not closed takes the rest of
+the page with it, as in a browser; NUL and lone ``<`` are text; cells outside a
+table are text with spaces around; rows that repeat are pages of their own; an
+empty table gives an empty result; other columns are not read. Depth and length
+have no limit: nothing recurses, and time follows the length of the page and its
+text. So that layout stays in proportion to text, indents stop growing at ``DEEPEST``
+levels, tables in more than ``NESTED`` tables are plain blocks, cells above ``WIDE``
+characters do not widen their column, and a table whose padding would be many times
+its text has its cells parted by tabs instead.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +42,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("script style template head title noscript iframe noembed noframes datalist object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main address fieldset form figcaption details summary li dt dd tr caption center dialog hgroup legend menu search option optgroup select".split())
+#: Elements whose end tag does not close a block that was opened within them.
+FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 CLOSES_P = BLOCKS - frozenset("html body li dt dd tr caption option optgroup select legend".split())
 #: A start tag closes an open one of these, up to the nearest of the borders.
 IMPLIED = {
@@ -50,141 +62,245 @@ IMPLIED = {
 }
 #: Any other start tag ends an open head.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
-#: A quote opens a value only right after ``=``; elsewhere it is part of a name or of an unquoted value.
-_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>|\Z))"""
-_NAME = r"""(?:[^ \t\n\f\r/>=]|=(?![ \t\n\f\r]*+(?:"[^"]*+\Z|'[^']*+\Z)))[^ \t\n\f\r/>=]*+"""
-_EQUALS = r"[ \t\n\f\r]*+=[ \t\n\f\r]*+"
-_TAG = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[ \t\n\f\r/]++|{_NAME}(?:{_EQUALS}{_VALUE})?+)*+)>|<[!?/][^>]*(?:>|\Z)",
-    re.S,
-)
-_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_EQUALS}({_VALUE}))?+")
-_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Levels of indent, of tables with columns, and characters of a cell that widen a column.
+DEEPEST, NESTED, WIDE = 32, 8, 100
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_BETWEEN = re.compile(r"[ \t\n\f\r/]*+")
+_TAG_NAME = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*+")
+_NAME = re.compile(r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+")
+_EQUALS = re.compile(r"[ \t\n\f\r]*+=[ \t\n\f\r]*+")
+_BARE = re.compile(r"[^ \t\n\f\r>]++")
+_COMMENT_END = re.compile(r"--!?>")
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I) for tag in sorted(RAW)}
 
 
 class Node:
-    __slots__ = ("children", "tag", "attrs")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    __slots__ = ("children", "tag", "attrs", "shown")
+
+    def __init__(self, tag: str, attrs: dict[str, str], shown: bool = True):
+        self.tag, self.attrs, self.shown, self.children = tag, attrs, shown, []
+
+
+def unescaped(text: str) -> str:
+    """``text`` with its character references resolved; numbers too large for one give U+FFFD."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _HUGE.sub("&#xfffd", _ZEROS.sub("&#", text))
+    return html.unescape(text)
+
+
+def scan_tag(page: str, at: int) -> tuple[dict[str, str], int, bool] | None:
+    """(attributes, end, ends with a slash) of a tag from behind its name; None if the page ends within it."""
+    attrs: dict[str, str] = {}
+    n = len(page)
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= n:
+            return None
+        if page[at] == ">":
+            return attrs, at + 1, page[at - 1] == "/"
+        name = _NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'"):
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            elif bare := _BARE.match(page, at):
+                value, at = bare[0], bare.end()
+        attrs.setdefault(name[0].lower(), value)
+
+
+class Open:
+    """The open elements, and where those of a kind are: no look-up walks through them all."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost element of a kind, 0 if there is none."""
+        own = self.at.get(tag)
+        return own[-1] if own else 0
+
+    def first_above(self, tag: str, depth: int) -> int:
+        """The depth of the outermost element of a kind that is deeper than ``depth``, 0 if there is none."""
+        own = self.at.get(tag, ())
+        k = bisect_right(own, depth)
+        return own[k] if k < len(own) else 0
+
+    def push(self, node: Node) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCKS:
+            self.blocks.append(depth)
+
+    def pop_to(self, depth: int) -> None:
+        for node in self.nodes[depth:]:
+            self.at[node.tag].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        del self.nodes[depth:]
+
+
+def _look(tag: str, attrs: dict[str, str]) -> tuple[bool, bool | None]:
+    """(whether it and all in it is left out, its own visibility if it states one)."""
+    gone = tag in UNSEEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs
+    if "style" not in attrs:
+        return gone, None
+    stated = {k.lower(): v.lower() for k, v in _STYLE.findall(unescaped(attrs["style"]))}
+    seen = {"hidden": False, "collapse": False, "visible": True}.get(stated.get("visibility", ""))
+    return gone or stated.get("display") == "none", seen
+
+
+class Builder:
+    """The tree of what is shown."""
 
+    def __init__(self):
+        self.root = Node("body", {})
+        self.open = Open(self.root)
+        self.shut = 0  # depth of the open element that is left out with all in it
 
-def _attributes(text: str) -> dict[str, str]:
-    if not text or text.isspace() or text == "/":
-        return {}
-    out: dict[str, str] = {}
-    for name, value in _ATTRIBUTE.findall(text):
-        if value[:1] in ('"', "'"):
-            value = value[1:-1]
-        out.setdefault(name.lower(), value)
-    return out
+    def close_to(self, depth: int) -> None:
+        self.open.pop_to(depth)
+        if self.shut >= len(self.open.nodes):
+            self.shut = 0
 
+    def leave_head(self) -> None:
+        if self.open.nodes[-1].tag == "head":
+            self.close_to(len(self.open.nodes) - 1)
 
-def _unseen(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in UNSEEN or "hidden" in attrs:
-        return True
-    return "style" in attrs and bool(_HIDDEN_STYLE.search(html.unescape(attrs["style"])))
+    def add(self, child: Node | str) -> None:
+        if not self.shut:
+            self.open.nodes[-1].children.append(child)
 
+    def text(self, text: str) -> None:
+        if not text:
+            return
+        top = self.open.nodes[-1]
+        if top.tag == "head" and unescaped(text).strip(" \t\n\f\r"):
+            self.leave_head()
+            top = self.open.nodes[-1]
+        if top.shown:
+            self.add(unescaped(text))
+
+    def end(self, tag: str) -> None:
+        if tag == "p" and not self.open.last("p"):
+            self.add(Node("p", {}))
+            return
+        if tag == "br":
+            self.leave_head()
+            self.add(Node("br", {}))
+            return
+        depth = self.open.last(tag)
+        if not depth:
+            return
+        # the end tag of something outside the innermost table is not for this one, but for its own parts
+        if tag not in IMPLIED and tag not in ("table", "html") and self.open.last("table") > depth:
+            return
+        if tag in FORMATS and not self.shut and self.open.blocks and self.open.blocks[-1] > depth:
+            return
+        self.close_to(depth)
 
-def build(page: str) -> Node:
-    """The tree of what is shown."""
-    root = Node("body", {})
-    stack, shut, at, n = [root], 0, 0, len(page)  # shut: depth of the open element that is not shown
-    open_p = 0
-
-    def pop_to(depth: int) -> None:
-        nonlocal shut, open_p
-        for node in stack[depth:]:
-            open_p -= node.tag == "p"
-        del stack[depth:]
-        if shut and len(stack) <= shut:
-            shut = 0
-
-    def leave_head() -> None:
-        if stack[-1].tag == "head":
-            pop_to(len(stack) - 1)
-
-    def add_text(text: str) -> None:
-        if text and stack[-1].tag == "head" and html.unescape(text).strip(" \t\n\f\r"):
-            leave_head()
-        if text and not shut:
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
-
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            # an unclosed tag at the end is dropped, as a browser does
-            cut = re.search(r"<[a-zA-Z/!?]", page[at:])
-            add_text(page[at : at + cut.start()] if cut else page[at:])
-            break
-        add_text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:  # an end tag
-            if tag == "p" and not open_p and not shut:
-                stack[-1].children.append(Node("p", {}))
-                continue
-            if tag == "br":
-                leave_head()
-                add_text("")
-                if not shut:
-                    stack[-1].children.append(Node("br", {}))
-                continue
-            border = "table" if tag not in ("table", "body", "html") else None
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth].tag == border and tag not in IMPLIED:
-                    break
-            continue
+    def imply(self, tag: str) -> None:
+        """Close what a start tag closes."""
         if tag not in IN_HEAD:
-            leave_head()
-        if tag in CLOSES_P and open_p:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth].tag in ("table", "td", "th", "button", "caption"):
-                    break
+            self.leave_head()
+        if tag in CLOSES_P and (depth := self.open.last("p")):
+            if all(self.open.last(x) < depth for x in ("table", "td", "th", "button", "caption")):
+                self.close_to(depth)
         if tag in IMPLIED:
             closes, borders = IMPLIED[tag]
-            top = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in closes:
-                    top = depth
-                elif stack[depth].tag in borders:
-                    break
-            if top:
-                pop_to(top)
-        attrs = _attributes(m[3])
-        node = Node(tag, attrs)
-        if not shut:
-            if tag == "html" or tag == "body":
-                if _unseen(tag, attrs):
-                    root.attrs["hidden"] = ""
-                continue
-            if not _unseen(tag, attrs):
-                stack[-1].children.append(node)
-        if tag in VOID or (m[3].endswith("/") and tag in ("svg", "math", "path")):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            body = page[at : end.start() if end else n]
-            at = end.end() if end else n
-            if tag == "textarea" and not shut:
-                node.children.append(html.unescape(body))
-            elif tag == "xmp" and not shut:
-                node.children.append(body)
+            border = max((self.open.last(x) for x in borders), default=0)
+            if top := min((d for x in closes if (d := self.open.first_above(x, border))), default=0):
+                self.close_to(top)
+
+    def start(self, tag: str, attrs: dict[str, str], slash: bool) -> Node:
+        """The new element; it is open unless it can have no content."""
+        self.imply(tag)
+        gone, seen = _look(tag, attrs)
+        if tag in ("html", "body") and not self.shut:
+            if gone:
+                self.root.attrs["hidden"] = ""
+            if seen is not None:
+                self.root.shown = seen
+            return self.root
+        node = Node(tag, attrs, self.open.nodes[-1].shown if seen is None else seen)
+        if not gone:
+            self.add(node)
+        if tag in VOID or slash and tag in ("svg", "math", "path") or tag in RAW:
+            return node
+        self.open.push(node)
+        if gone and not self.shut:
+            self.shut = len(self.open.nodes) - 1
+        return node
+
+
+def build(page: str) -> Node:
+    out, at, n = Builder(), 0, len(page)
+    began = 0  # of the text that is not added yet
+    while (at := page.find("<", at)) >= 0:
+        c = page[at + 1 : at + 2]
+        if c.isascii() and c.isalpha():
+            name = _TAG_NAME.match(page, at + 1)
+            out.text(page[began:at])
+            tag, scanned = name[0].lower(), scan_tag(page, name.end())
+            if scanned is None:
+                return out.root
+            attrs, at, slash = scanned
+            node = out.start(tag, attrs, slash)
+            if tag in RAW:
+                end = _RAW_END[tag].search(page, at)
+                if tag in ("textarea", "xmp") and node.shown:
+                    body = page[at : end.start() if end else n]
+                    node.children.append(unescaped(body) if tag == "textarea" else body)
+                if end is None or (scanned := scan_tag(page, end.end())) is None:
+                    return out.root
+                at = scanned[1]
+        elif c == "/":
+            name = _TAG_NAME.match(page, at + 2)
+            if name is None and at + 2 >= n:
+                break
+            out.text(page[began:at])
+            if name is None:  # </> is nothing, </ and something else a comment
+                at = page.find(">", at + 2) + 1
+                if not at:
+                    return out.root
+            else:
+                scanned = scan_tag(page, name.end())
+                if scanned is None:
+                    return out.root
+                at = scanned[1]
+                out.end(name[0].lower())
+        elif c == "!" or c == "?":
+            out.text(page[began:at])
+            if page.startswith("<!--", at):
+                at += 4
+                if page.startswith((">", "->"), at):
+                    at = page.find(">", at) + 1
+                else:
+                    end = _COMMENT_END.search(page, at)
+                    if end is None:
+                        return out.root
+                    at = end.end()
+            else:
+                at = page.find(">", at) + 1
+                if not at:
+                    return out.root
+        else:
+            at += 1
             continue
-        stack.append(node)
-        open_p += tag == "p"
-        if not shut and _unseen(tag, attrs):
-            shut = len(stack) - 1
-    return root
+        began = at
+    out.text(page[began:])
+    return out.root
 
 
 class Flow:
@@ -212,7 +328,7 @@ class Flow:
 
     def _lead(self) -> None:
         if not self.now:
-            lead = "".join(self.indents)
+            lead = "".join(self.indents[:DEEPEST])
             if self.marker:
                 lead = lead[: len(lead) - len(self.marker)] + self.marker
                 self.marker = ""
@@ -241,8 +357,10 @@ class Flow:
                 self._end()
             if line:
                 self._start()
+                spaced = self.space and bool(self.now)
                 self._lead()
-                self.now.append(line)
+                self.now.append(f" {line}" if spaced else line)
+                self.space = False
 
     def broken(self, lines: int) -> None:
         self.gap = max(self.gap, lines)
@@ -261,18 +379,92 @@ class Flow:
         return "\n".join(self.lines).lstrip("\n")
 
 
-def _table(rows: list[list[str]]) -> str:
-    """Rows of cells with padded columns; a cell's lines stay in its column."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    width: list[int] = []
-    for row in cells:
-        width += [0] * (len(row) - len(width))
-        for k, lines in enumerate(row):
-            width[k] = max(width[k], *map(len, lines))
+def _span(node: Node, name: str, most: int) -> int:
+    text = node.attrs.get(name, "").strip()
+    return max(1, min(int(text), most)) if text.isascii() and text.isdigit() and len(text) < 8 else 1
+
+
+class Cell:
+    __slots__ = ("lines", "at", "end", "rows")
+
+    def __init__(self, text: str, columns: int, rows: int):
+        self.lines, self.at, self.end, self.rows = text.split("\n"), 0, columns, rows
+
+    def width(self) -> int:
+        return min(WIDE, max(map(len, self.lines)))
+
+
+def _placed(rows: list[list[Cell]]) -> bool:
+    """Give each cell its first and end column, beside cells of earlier rows that reach down.
+
+    False if that takes many times as many steps as there are cells.
+    """
+    above: list[tuple[int, int, int]] = []  # (first column, end, row that it no longer covers)
+    steps = (1 << 16) + 64 * sum(map(len, rows))
+    for r, row in enumerate(rows):
+        if not row:
+            continue
+        at, k, new = 0, 0, []
+        above = [x for x in above if x[2] > r]
+        steps -= len(above)
+        if steps < 0:
+            return False
+        for cell in row:
+            while k < len(above) and above[k][0] <= at:
+                at = max(at, above[k][1])
+                k += 1
+            cell.at, cell.end = at, at + cell.end
+            if cell.rows > 1:
+                new.append((cell.at, cell.end, r + cell.rows))
+            at = cell.end
+        if new:
+            above = sorted(above + new)
+    return True
+
+
+def _unaligned(rows: list[list[Cell]]) -> str:
+    return "\n".join("\t".join(" ".join(c.lines) for c in row) for row in rows if row)
+
+
+def _table(rows: list[list[Cell]]) -> str:
+    """Rows of cells with padded columns; a cell's lines stay in its columns."""
+    if not _placed(rows):
+        return _unaligned(rows)
+    # only columns at which a cell begins or ends count, however far it spans
+    edges = sorted({x for row in rows for c in row for x in (c.at, c.end)})
+    number = {x: k for k, x in enumerate(edges)}
+    width = [0] * len(edges)
+    spanning: list[Cell] = []
+    for row in rows:
+        for c in row:
+            c.at, c.end = number[c.at], number[c.end]
+            if c.end == c.at + 1:
+                width[c.at] = max(width[c.at], c.width())
+            else:
+                spanning.append(c)
+    begin = [0]
+    for w in width:
+        begin.append(begin[-1] + w + 2)
+    if spanning:
+        wider = [0] * len(edges)  # what the last column of a spanning cell lacks
+        for c in spanning:
+            wider[c.end - 1] = max(wider[c.end - 1], c.width() - (begin[c.end] - begin[c.at] - 2))
+        begin = [0]
+        for w, more in zip(width, wider, strict=True):
+            begin.append(begin[-1] + w + more + 2)
+    padded = sum(begin[max(c.at for c in row)] * max(len(c.lines) for c in row) for row in rows if row)
+    if padded > 4096 + 16 * sum(len(x) - x.count(" ") for row in rows for c in row for x in c.lines):
+        return _unaligned(rows)
     out = []
-    for row in cells:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, width)).rstrip())
+    for row in rows:
+        i, live = 0, row
+        while live := [c for c in live if len(c.lines) > i]:
+            line = ""
+            for c in live:
+                if c.lines[i]:
+                    line = line.ljust(begin[c.at] if not line or len(line) < begin[c.at] - 1 else len(line) + 2) + c.lines[i]
+            out.append(line.rstrip())
+            i += 1
     return "\n".join(out)
 
 
@@ -280,7 +472,7 @@ def render(root: Node) -> str:
     if "hidden" in root.attrs:
         return ""
     flows = [Flow()]
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[Cell]] | None] = []  # None: a table that is a plain block
     numbers: list[int | None] = []
     pre = 0
     todo: list[tuple[Node | str, bool]] = [(root, False)]
@@ -291,6 +483,7 @@ def render(root: Node) -> str:
             flow.literal(node) if pre else flow.text(node)
             continue
         tag = node.tag
+        inside = tables[-1] if tables else None
         if not leaving:
             children = node.children
             if tag == "br":
@@ -302,28 +495,31 @@ def render(root: Node) -> str:
             if tag == "img":
                 continue  # its alternative text is shown only if the image is not
             if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
-                    flow.text(f" {html.unescape(node.attrs['value'])} ")
+                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value") and node.shown:
+                    flow.text(f" {unescaped(node.attrs['value'])} ")
                 continue
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             if tag == "table":
                 flow.broken(2)
-                tables.append([])
-            elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
-                flows.append(Flow())
-            elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables.append([] if len(tables) < NESTED else None)
+            elif tag in ("td", "th"):
+                if inside is None:
+                    flow.space = True
+                else:
+                    if not inside:
+                        inside.append([])
+                    flows.append(Flow())
+            elif tag == "tr" and inside is not None:
+                inside.append([])
             elif tag in BLOCKS:
                 inner = tag in ("ul", "ol") and numbers
                 flow.broken(2 if tag in SPACED and not inner else 1)
-            elif tag in ("select", "button"):
+            elif tag in ("select", "button", "textarea"):
                 flow.space = True
             if tag in ("ul", "ol", "menu"):
                 start = node.attrs.get("start", "1")
-                numbers.append((int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1) if tag == "ol" else None)
+                numbers.append((int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if tag == "ol" else None)
             elif tag == "li":
                 mark = "- "
                 if numbers and numbers[-1] is not None:
@@ -333,25 +529,28 @@ def render(root: Node) -> str:
                 flow.marker = mark
             elif tag in ("dd", "blockquote"):
                 flow.indents.append("  ")
-            elif tag == "pre":
+            elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
-                if children and isinstance(children[0], str) and children[0].startswith("\n"):
+                if tag != "xmp" and children and isinstance(children[0], str) and children[0].startswith("\n"):
                     children = [children[0][1:], *children[1:]]
             todo.append((node, True))
             todo += [(c, False) for c in reversed(children)]
             continue
         if tag == "table":
-            grid = [r for r in tables.pop() if any(r)]
-            if grid:
+            grid = tables.pop()
+            if grid and any(grid):
+                while grid and not grid[-1]:
+                    grid.pop()
                 flow.literal(_table(grid))
             flow.broken(2)
-        elif tag in ("td", "th") and tables:
-            flows.pop()
-            cell = flow.done()
-            tables[-1][-1].append(cell)
-            span = node.attrs.get("colspan", "1")
-            tables[-1][-1] += [""] * (min(int(span), 1000) - 1 if span.isdigit() and len(span) < 5 else 0)
-        elif tag in BLOCKS and not (tag == "tr" and tables):
+        elif tag in ("td", "th"):
+            if inside is None:
+                flow.space = True
+            else:
+                cell = flows.pop().done()
+                to_end = node.attrs.get("rowspan", "").strip() == "0"
+                inside[-1].append(Cell(cell, _span(node, "colspan", 1000), 65534 if to_end else _span(node, "rowspan", 65534)))
+        elif tag in BLOCKS and not (tag == "tr" and inside is not None):
             inner = tag in ("ul", "ol") and len(numbers) > 1
             flow.broken(2 if tag in SPACED and not inner else 1)
         if tag in ("ul", "ol", "menu"):
@@ -362,8 +561,9 @@ def render(root: Node) -> str:
             flow.indents.pop()
         elif tag in ("dd", "blockquote"):
             flow.indents.pop()
-        elif tag == "pre":
+        elif tag in ("pre", "textarea", "xmp"):
             pre -= 1
+            flow.space = tag == "textarea"
     return flows[0].done()
 
 
