@@ -11,15 +11,18 @@ outliers. A file (little-endian):
     i64 document ids | u8 "has an id" | u64 number of ids of each document
     footer: u64 index start, u64 documents, u64 ids, u32 crc32 of all before, magic
 
-Tasks write files under names of their own; a manifest (Parquet, beside them) lists
-the files of tasks that ended, in order, so that lost or repeated tasks leave
-nothing that is read. Files are read by Spark's ``binaryFile`` source and roll at
-``ROLL`` ids.
+Texts are encoded where they are read; their ids, not the texts, are dealt by ranges
+of the document ids into tasks of about ``TASK`` ids. Tasks write files under names
+of their own; the list of files (Parquet, beside them) is committed by Spark, so that
+lost or repeated tasks leave nothing that is read, and the manifest adds the ids
+before each file. Files are read by Spark's ``binaryFile`` source and roll at
+``ROLL`` ids. Executors write through pyarrow's file systems; ``store_of`` maps the
+URLs that Spark uses to them.
 
 Defined cases: a null text is empty; an empty document is the end id alone; a null
-document id comes first and stays null; repeated rows are documents of their own;
-an empty table has an empty manifest and gives an empty result; other columns are
-not read.
+document id comes first and stays null; repeated rows are documents of their own,
+however many; an empty table has an empty manifest and gives an empty result; other
+columns are not read. Document ids are integers; any other type is an error.
 """
 
 from __future__ import annotations
@@ -28,19 +31,47 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import store_of
 from . import common, tokens
 
 MAGIC, BLOCK, PERCENTILE, ROLL = b"TKPF1", 512, 0.95, 1 << 24
 FOOTER = struct.Struct("<QQQI")
 #: Blocks that are packed or unpacked at once.
 AT_ONCE = 1024
+#: Ids that a task writes, unless that makes more than MOST_TASKS.
+TASK, MOST_TASKS = 1 << 21, 100_000
+
+
+def _spread(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit word, shift) of each packed value of a block."""
+    at = np.arange(BLOCK) * width
+    return at // 32, (at % 32).astype(np.uint64)
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value (uint32), back to back, in words of 32 bits."""
+    word, shift = _spread(width)
+    wide = (values.astype(np.uint64) & np.uint64((1 << width) - 1)) << shift
+    first = np.searchsorted(word, np.arange(BLOCK * width // 32))  # a value begins in every word
+    sums = np.add.reduceat(wide, first, axis=1)
+    out = (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out[:, 1:] |= (sums[:, :-1] >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
+def _unpacked(words: np.ndarray, width: int) -> np.ndarray:
+    word, shift = _spread(width)
+    pairs = words.astype(np.uint64)
+    pairs[:, :-1] |= pairs[:, 1:] << np.uint64(32)
+    return ((pairs[:, word] >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def packed_blocks(ids: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
@@ -58,9 +89,7 @@ def packed_blocks(ids: np.ndarray) -> Iterator[tuple[bytes, int, int, int]]:
         for w in np.unique(width).tolist():
             rows = np.flatnonzero(width == w)
             if w:
-                bits = np.unpackbits(part[rows].view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
-                lines = np.packbits(bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-                for r, line in zip(rows.tolist(), lines):
+                for r, line in zip(rows.tolist(), _packed(part[rows], w).astype("<u4")):
                     payload[r] = line.tobytes()
         n_odd = odd.sum(axis=1)
         for r in np.flatnonzero(n_odd).tolist():
@@ -80,9 +109,7 @@ def unpacked(data: bytes, start: np.ndarray, low: np.ndarray, width: np.ndarray,
             values = np.zeros((len(rows), BLOCK), np.uint32)
             if w:
                 lines = raw[start[rows][:, None] + np.arange(BLOCK * w // 8)]
-                bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
-                bits[:, :, :w] = np.unpackbits(lines, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-                values = np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+                values = _unpacked(lines.view("<u4"), w)
             out[rows] = values
     for r in np.flatnonzero(n_odd).tolist():
         n, at = int(n_odd[r]), int(start[r]) + BLOCK * int(width[r]) // 8
@@ -154,77 +181,119 @@ def parse(data: bytes) -> Iterator[tuple[int | None, int, int, bytes]]:
         begin += n
 
 
-MANIFEST = "part int, roll int, file string, n_docs long, n_ids long, base long"
+LISTED = "part int, roll int, file string, n_docs long, n_ids long"
+MANIFEST = f"{LISTED}, base long"
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, at, n, ids) of each row; ids are unsigned 32-bit, little-endian, the end id last.
+
+    ``at`` numbers the rows by the tasks that read them; write the result before reading it twice.
+    """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} is no integer column")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    end = struct.pack("<I", end_id)
+    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, at = tokens.encoder(path, True).encode, count(TaskContext.get().partitionId() << 36)
+
+        def each(batch):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = encode(text.as_py() or "") + end
+                yield len(ids), (doc_id, next(at), len(ids) // 4, ids)
+
+        for batch in batches:
+            yield from tokens.batched(each(batch), kinds)
+        tokens.trim()
+
+    return rows.mapInArrow(run, "doc_id long, at long, n long, ids binary")
 
 
 def write_tokens(
     docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Token files of ``docs`` in ``folder``, a URL in a store that executors and driver share."""
-    spark = docs.sparkSession
-    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id", "text")
-    end = struct.pack("<I", end_id)
+    # a row's number is fixed by writing it: rows with the same id can be dealt to several tasks
+    rows = common.written(encoded(docs, path, end_id, id_col, text_col), "encoded")
+    n_ids = rows.agg(F.sum("n")).first()[0] or 0
+    n_tasks = min(max(1, -(-n_ids // TASK)), MOST_TASKS)
+    dealt = rows.repartitionByRange(n_tasks, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
-        encode, part = tokens.encoder(path, True).encode, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         done, writer, name = [], None, ""
 
         def close() -> None:
             writer.close()
             writer.stream.close()
-            done.append((part, len(done), name, len(writer.docs), writer.n_ids, None))
+            done.append((part, len(done), name, len(writer.docs), writer.n_ids))
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"]):
                 if writer is None:
                     name = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.tkpf"
                     writer = FileWriter(store.open_output_stream(f"{root}/{name}"))
-                writer.add(doc_id.as_py(), encode(text.as_py() or "") + end)
+                writer.add(doc_id, ids.as_py())
                 if writer.n_ids >= ROLL:
                     close()
                     writer = None
         if writer is not None:
             close()
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        columns = zip(*done) if done else [()] * 6
+        tokens.trim()
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        columns = zip(*done) if done else [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "roll", "file", "n_docs", "n_ids", "base"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "roll", "file", "n_docs", "n_ids"]
         )
 
-    # a row per file goes to the driver
-    files = sorted(map(tuple, rows.mapInArrow(run, MANIFEST).collect()))
-    base, listed = 0, []
-    for part, roll, name, n_docs, n_ids, _ in files:
-        listed.append((part, roll, name, n_docs, n_ids, base))
-        base += n_ids
-    spark.createDataFrame(listed, MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+    files = dealt.mapInArrow(run, LISTED)
+    files.write.parquet(f"{folder}/files")
+    _with_base(docs.sparkSession.read.schema(LISTED).parquet(f"{folder}/files")).write.parquet(f"{folder}/manifest")
+
+
+def _with_base(files: DataFrame) -> DataFrame:
+    """``files`` with the ids before each: by hundreds of tasks first, then within them."""
+    group = F.expr("part div 256")
+    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = files.groupBy(group.alias("g")).agg(F.sum("n_ids").alias("n"))  # at most MOST_TASKS / 256 rows
+    first = sums.select("g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = Window.partitionBy("g").orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
+    base = (F.col("first") + F.coalesce(F.sum("n_ids").over(own), F.lit(0))).cast("long")
+    return files.withColumn("g", group).join(F.broadcast(first), "g").select(*files.columns, base.alias("base"))
+
 
+def read_tokens(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the documents of a folder; ids are unsigned 32-bit, little-endian.
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the documents of a folder; ids are unsigned 32-bit, little-endian."""
+    With ``digests`` their CRC-32 as ``ids_crc32`` instead of the ids.
+    """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     n_files = manifest.count()
-    schema = "doc_id long, start long, n_tokens long, ids binary"
+    last = ("ids_crc32", "long", pa.int64()) if digests else ("ids", "binary", pa.binary())
+    schema = f"doc_id long, start long, n_tokens long, {last[0]} {last[1]}"
     if not n_files:
         return spark.createDataFrame([], schema)
     name = F.element_at(F.split("path", "/"), -1).alias("file")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tkpf").load(folder).select(name, "content")
     manifest = manifest.select("file", "base")
     files = files.join(F.broadcast(manifest) if n_files <= common.BROADCAST_ROWS else manifest, "file")
-    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), (last[0], last[2])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, content in zip(batch["base"], batch["content"]):
+                first = base.as_py()
                 docs = parse(content.as_py())
-                rows = ((len(ids), (doc_id, base.as_py() + start, n, ids)) for doc_id, start, n, ids in docs)
+                if digests:
+                    rows = ((8, (doc_id, first + start, n, zlib.crc32(ids))) for doc_id, start, n, ids in docs)
+                else:
+                    rows = ((len(ids), (doc_id, first + start, n, ids)) for doc_id, start, n, ids in docs)
                 yield from tokens.batched(rows, kinds)
+        tokens.trim()
 
     return files.select("base", "content").mapInArrow(run, schema)
 
@@ -234,4 +303,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = common.new_path(spark, "token_files")
     write_tokens(docs, folder, tokens.public_path("word_bpe_49k.json"), end_id=2)
-    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, folder, digests=True)
