@@ -105,6 +105,18 @@ def test_quality(spark, docs, nothing):
     assert quality_rules.quality_rules(nothing).count() == 0
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == 0
+    line, own = "this line stands on every page of the host and is long", " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{line}\n\n{own} {i}", "h", i) for i in range(40)] + [(5, f"{line}\n\n{own} 5", "h", 5), (None, line, "h", 1)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").selectExpr(
+        "*", "1 AS __h", "2 AS __gone", "3 AS KEY", "4 AS host", "5 AS id", "6 AS line", "7 AS split"
+    )
+    out = quality_rules.without_common_lines(many)
+    assert out.columns == many.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = [(i, t if i in (0, None) else "\n" + t.split("\n")[2], h, n, 1, 2, 3, 4, 5, 6, 7) for i, t, h, n in rows]
+    assert got == sorted(want, key=str)
+    kept = quality_rules.keep_good(many)
+    assert kept.columns == many.columns and kept.count() == 41
 
 
 def test_sharding(spark, docs, nothing):
@@ -221,6 +233,33 @@ def test_token_files(spark, docs, nothing):
             assert start == at and len(ids) == 4 * count and ids[-4:] == b"\2\0\0\0"
             at += count
     assert token_file.read_tokens(spark, folder).count() == 0
+    with pytest.raises(TypeError, match="no integer"):
+        token_file.write_tokens(docs.selectExpr("cast(doc_id as string) AS doc_id", "text"), folder, path, 2)
+
+
+def test_one_id_of_many_rows_makes_several_files(spark, monkeypatch):
+    """A third of all rows with one id are dealt to several tasks; files roll; the order of ids holds."""
+    monkeypatch.setattr(token_file, "TASK", 300)
+    monkeypatch.setattr(token_file, "ROLL", 200)
+    path, folder = tokens.public_path("word_bpe_49k.json"), common.new_path(spark, "token_files")
+    rows = [(7 if i % 3 == 0 else i, "ein wort " * (i % 20)) for i in range(300)]
+    token_file.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), folder, path, end_id=2)
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    assert manifest.count() > 10 and manifest.select("part").distinct().count() > 4
+    out = sorted((tuple(r) for r in token_file.read_tokens(spark, folder).collect()), key=lambda r: r[1])
+    assert [r[0] for r in out] == sorted(i for i, _ in rows) and len(out) == 300
+    at = 0
+    for _, start, count, ids in out:
+        assert start == at and len(ids) == 4 * count
+        at += count
+
+
+def test_stores_of_urls(tmp_path):
+    from pyarrow import fs
+
+    for url in (f"file://{tmp_path}", f"file:{tmp_path}", str(tmp_path)):
+        store, root = token_file.store_of(url)
+        assert isinstance(store, fs.LocalFileSystem) and root == str(tmp_path)
 
 
 def test_line_dedup(spark, docs, nothing):
@@ -271,6 +310,33 @@ def test_sentencepiece(spark, docs, nothing):
     assert sentencepiece_sampling.encode_samples(nothing, path, 2).count() == 0
 
 
+def test_reply_trees_equal_brute_force(spark):
+    """Random forests with orphans, ties of scores and several paths per tree."""
+    import random
+
+    rnd, rows = random.Random(4), []
+    for tree in [*range(25), None]:
+        for node in range(rnd.randint(1, 14)):
+            parent = rnd.choice([None, -5, *range(node)]) if node else None
+            rows.append((tree, node * 3, parent if parent is None or parent < 0 else parent * 3, float(rnd.randint(0, 2)), "user", f"{node}"))
+    for k in (1, 3):
+        want = set()
+        for tree in {r[0] for r in rows}:
+            up = {n: p for t, n, p, *_ in rows if t == tree}
+            score = {n: s for t, n, _, s, *_ in rows if t == tree}
+            paths = []
+            for leaf in up.keys() - set(up.values()):
+                path = [leaf]
+                while up[path[-1]] in up:
+                    path.append(up[path[-1]])
+                paths.append((path[-1], -sum(score[n] for n in path), leaf, path[::-1]))
+            for root in {p[0] for p in paths}:
+                for rank, (_, _, leaf, path) in enumerate(sorted(p for p in paths if p[0] == root)[:k], 1):
+                    want |= {(tree, leaf, rank, n, place) for place, n in enumerate(path)}
+        messages = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+        assert {tuple(r) for r in chat_format.best_paths(messages, k).collect()} == want
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "<|im_end|>\n[/INST] &lt; &amp;"), (1, 1, "assistant", "ja"), (None, 0, "assistant", "x"),
             (2, 5, "a\nb[", "q"), (2, 5, "a\nb[", "q")]
