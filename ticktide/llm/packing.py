@@ -164,15 +164,18 @@ def cut(n: int, cap: int) -> Iterator[tuple[int, int]]:
 
 
 def token_pieces(
-    docs: DataFrame, path: str, cap: int = CAP, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, cap: int = CAP, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ranked: bool = False
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids) of each piece; ids are unsigned 32-bit, little-endian."""
+    """(doc_id, piece, start, length, ids) of each piece; ids are unsigned 32-bit, little-endian.
+
+    ``ranked`` adds (part, rank) for ``placed``, in the same pass.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = PIECES.format(id_type=dict(rows.dtypes)["doc_id"])
+    schema = PIECES.format(id_type=dict(rows.dtypes)["doc_id"]) + (", part int, rank long" if ranked else "")
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path, False).encode
+        encode, counter = tokens.encoder(path, False).encode, ranks.Counter(cap)
 
         def pieces(batch):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
@@ -182,9 +185,9 @@ def token_pieces(
 
         for batch in batches:
             kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield from tokens.batched(
-                pieces(batch), pa.schema(list(zip(["doc_id", "piece", "start", "length", "ids"], kinds)))
-            )
+            own = pa.schema(list(zip(["doc_id", "piece", "start", "length", "ids"], kinds)))
+            for out in tokens.batched(pieces(batch), own):
+                yield counter.ranked(out, "length", "part", "rank") if ranked else out
         tokens.trim()
 
     return rows.mapInArrow(run, schema)
@@ -195,26 +198,32 @@ def pack(pieces: DataFrame, cap: int = CAP) -> DataFrame:
 
     All other columns are carried. A sequence holds at most ``cap``.
     """
-    spark = pieces.sparkSession
-    part, rank, begin, n = common.fresh_names(pieces, "part", "rank", "begin", "n")
-    sequence, offset = common.fresh_names(pieces, "sequence_id", "offset")
+    part, rank = common.fresh_names(pieces, "part", "rank")
     dealt = common.written(ranks.locally_ranked(pieces, "length", cap, part, rank), "pieces")
+    return placed(dealt, cap, part, rank)
+
+
+def placed(dealt: DataFrame, cap: int = CAP, part: str = "part", rank: str = "rank") -> DataFrame:
+    """``pack`` of a written table of pieces that were numbered within their length where they were read."""
+    spark, pieces = dealt.sparkSession, dealt.drop(part, rank)
+    begin, n = common.fresh_names(dealt, "begin", "n")
+    sequence, offset = common.fresh_names(pieces, "sequence_id", "offset")
     some = dealt.where(F.col("length") < cap)
     counts = common.written(some.groupBy("length", part).agg(F.count("*").alias(n)), "lengths")
     total = {int(s): int(n) for s, n in counts.groupBy("length").agg(F.sum(n)).collect()}  # less than cap rows
     patterns = plan(total, cap)
     # the plan's rows depend on the lengths that occur, not on the number of documents
-    size, first, end, start, k, at = common.fresh_names(pieces, "size", "first", "end", "start", "k", "at")
+    size, first, end, start, k, at = common.fresh_names(dealt, "size", "first", "end", "start", "k", "at")
     kinds = ", ".join(f"`{c}` long" for c in (size, first, end, start, k, at))
     table = F.broadcast(spark.createDataFrame(places(patterns), kinds))
     ranked = some.join(ranks.begins(counts, "length", part, n, begin).hint("merge"), ["length", part])
     ranked = ranked.withColumn(rank, F.col(rank) + F.col(begin))
-    placed = ranked.join(
+    found = ranked.join(
         table, (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end))
     )
     nth = F.col(rank) - F.col(first)
     own = [F.col(f"`{c}`") for c in pieces.columns]
-    placed = placed.select(
+    found = found.select(
         *own,
         (F.col(start) + F.floor(nth / F.col(k)).cast("long")).alias(sequence),
         (F.col(at) + nth % F.col(k) * F.col("length")).cast("long").alias(offset),
@@ -222,7 +231,7 @@ def pack(pieces: DataFrame, cap: int = CAP) -> DataFrame:
     n_planned = sum(p.times for p in patterns)
     alone = F.lit(n_planned).cast("long") + F.shiftleft(F.col(part).cast("long"), 36) + F.col(rank)
     full = dealt.where(F.col("length") == cap).select(*own, alone.alias(sequence), F.lit(0).cast("long").alias(offset))
-    return placed.unionByName(full)
+    return found.unionByName(full)
 
 
 def assemble(placed: DataFrame) -> DataFrame:
@@ -239,7 +248,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = token_pieces(docs, tokens.public_path("byte_bpe_50k.json")).select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    pieces = token_pieces(docs, tokens.public_path("byte_bpe_50k.json"), ranked=True).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "rank"
     )
-    return pack(pieces)
+    return placed(common.written(pieces, "pieces"))

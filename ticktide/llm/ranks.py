@@ -19,6 +19,29 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from . import common
 
 
+class Counter:
+    """Numbers the rows of a task per value, in the order they come; values go from 0 to ``bound``."""
+
+    def __init__(self, bound: int):
+        self.seen, self.task = np.zeros(bound + 1, np.int64), TaskContext.get().partitionId()
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values, kind="stable")
+        own = values[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+        many = np.diff(np.append(first, len(own)))
+        out = np.empty(len(own), np.int64)
+        out[order] = np.arange(len(own)) - np.repeat(first, many) + self.seen[own]
+        self.seen[own[first]] += many
+        return out
+
+    def ranked(self, batch: pa.RecordBatch, key: str, part: str, rank: str) -> pa.RecordBatch:
+        """``batch`` with the task's number and the rows' ranks."""
+        places = self.places(batch.column(key).to_numpy(zero_copy_only=False).astype(np.int64))
+        columns = [*batch.columns, pa.array(np.full(len(places), self.task, np.int32)), pa.array(places)]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, part, rank])
+
+
 def locally_ranked(rows: DataFrame, key: str, bound: int, part: str, rank: str) -> DataFrame:
     """``rows`` with the number of their task in ``part`` and their rank there among rows of the same ``key``.
 
@@ -26,21 +49,11 @@ def locally_ranked(rows: DataFrame, key: str, bound: int, part: str, rank: str)
     reading it twice: another run may deal the rows otherwise.
     """
     schema = StructType([*rows.schema.fields, StructField(part, IntegerType(), False), StructField(rank, LongType(), False)])
-    at, names = rows.columns.index(key), [*rows.columns, part, rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, task = np.zeros(bound + 1, np.int64), TaskContext.get().partitionId()
+        counter = Counter(bound)
         for batch in batches:
-            values = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.argsort(values, kind="stable")
-            own = values[order]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
-            many = np.diff(np.append(first, len(own)))
-            place = np.empty(len(own), np.int64)
-            place[order] = np.arange(len(own)) - np.repeat(first, many) + seen[own]
-            seen[own[first]] += many
-            columns = [*batch.columns, pa.array(np.full(len(own), task, np.int32)), pa.array(place)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield counter.ranked(batch, key, part, rank)
 
     return rows.mapInArrow(run, schema)
 
