@@ -14,7 +14,7 @@ from . import common
 
 
 def _star(links: DataFrame, large: bool, n_links: int) -> DataFrame:
-    """(node, low) links after a large star or a small star of (a, b) with a <> b.
+    """(node, low) links, written, after a large star or a small star of (a, b) with a <> b, a written table.
 
     The minimum of a node's neighbourhood is a partial aggregate; it comes back to
     the links by a join that broadcasts the hubs (at most BROADCAST_ROWS of them can
@@ -36,7 +36,7 @@ def _star(links: DataFrame, large: bool, n_links: int) -> DataFrame:
         out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b"))
         )
-    return out.where("a <> b").distinct()
+    return common.written(out.where("a <> b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(state)
     while before[0]:
         # a star has no more links than it began with
-        state = common.written(_star(_star(state, True, before[0]), False, before[0]), "links")
+        state = _star(_star(state, True, before[0]), False, before[0])
         if (now := mark(state)) == before:
             break
         before = now
