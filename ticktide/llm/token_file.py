@@ -186,7 +186,7 @@ MANIFEST = f"{LISTED}, base long"
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, n, ids) of each row; ids are unsigned 32-bit, little-endian, the end id last.
+    """(doc_id, at, n, ids) of each row: n ids, the end id last, in 16 bits each if all of them fit, else in 32.
 
     ``at`` numbers the rows by the tasks that read them; write the result before reading it twice.
     """
@@ -201,8 +201,9 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
 
         def each(batch):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = encode(text.as_py() or "") + end
-                yield len(ids), (doc_id, next(at), len(ids) // 4, ids)
+                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
+                raw = (ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes()
+                yield len(raw), (doc_id, next(at), len(ids), raw)
 
         for batch in batches:
             yield from tokens.batched(each(batch), kinds)
@@ -219,7 +220,7 @@ def write_tokens(
     rows = common.written(encoded(docs, path, end_id, id_col, text_col), "encoded")
     n_ids = rows.agg(F.sum("n")).first()[0] or 0
     n_tasks = min(max(1, -(-n_ids // TASK)), MOST_TASKS)
-    dealt = rows.repartitionByRange(n_tasks, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "ids")
+    dealt = rows.repartitionByRange(n_tasks, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = store_of(folder)
@@ -233,11 +234,12 @@ def write_tokens(
             done.append((part, len(done), name, len(writer.docs), writer.n_ids))
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"]):
+            for doc_id, n, ids in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"]):
                 if writer is None:
                     name = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.tkpf"
                     writer = FileWriter(store.open_output_stream(f"{root}/{name}"))
-                writer.add(doc_id, ids.as_py())
+                raw = ids.as_py()
+                writer.add(doc_id, raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
                 if writer.n_ids >= ROLL:
                     close()
                     writer = None
