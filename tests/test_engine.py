@@ -140,6 +140,7 @@ def test_slices_carry_what_came_before(spark, step, monkeypatch):
             else:
                 run = None
             want.add((v, p, last))
+    monkeypatch.setattr(order, "SLOT", 1 << 6)
     in_place = order.with_position(placed.drop("at").withColumn("slice", F.lit(1)))
     assert sorted(r.position for r in in_place.where("venue_id = 3").collect()) == list(range(len(streams[3])))
     assert {tuple(r) for r in order.snapshot_before(in_place).select("venue_id", "position", "snapshot_before").collect()} == want

@@ -73,6 +73,14 @@ def test_sources_are_deterministic():
                 assert not (name in BANNED and owner in ("F", "time", "")), f"{path}: {name}"
 
 
+def test_no_row_functions():
+    """No function is called for each row, no RDD: batches and expressions only."""
+    for path in pathlib.Path(ROOT, "ticktide").rglob("*.py"):
+        for node in ast.walk(ast.parse(path.read_text())):
+            name = node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
+            assert name not in ("udf", "pandas_udf", "rdd", "mapPartitions", "foreachPartition", "applyInPandas"), f"{path}: {name}"
+
+
 def test_nothing_imports_llm():
     for path in pathlib.Path(ROOT, "ticktide").rglob("*.py"):
         if "llm" not in path.parts:

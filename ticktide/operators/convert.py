@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import errors, schema
+from .. import errors, schema, shared
 from ..functions.columns import artifact_name, utc_day
 from . import book, epoch, order, validate
 
@@ -52,18 +52,6 @@ def converted(source: DataFrame, epoch_every: int = DEFAULT_EPOCH) -> DataFrame:
     return with_partition(epoch.with_epochs(records, epoch_every) if epoch_every else records)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(old).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(new)) or not fs.rename(path(old), path(new)):
-        raise FileExistsError(new)
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
-
-
 def write(records: DataFrame, folder: str, price_scale: int = DEFAULT_SCALE) -> None:
     """Records as Parquet by venue and day, sorted within files; the folder must not exist.
 
@@ -77,9 +65,9 @@ def write(records: DataFrame, folder: str, price_scale: int = DEFAULT_SCALE) ->
     dealt = scaled.repartitionByRange("venue_id", "day", "exchange_ts").sortWithinPartitions("venue_id", "day", *schema.KEY)
     try:
         dealt.write.partitionBy("venue_id", "day").parquet(staging)
-        rename(spark, staging, folder)
+        shared.rename(spark, staging, folder)
     except BaseException:
-        delete(spark, staging)
+        shared.delete(spark, staging)
         raise
 
 

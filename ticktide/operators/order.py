@@ -19,10 +19,10 @@ from .. import errors, shared
 from ..functions.columns import key
 from ..schema import KEY, SNAPSHOT
 
-#: Nanoseconds of a slot of time, and into how many shares records are cut.
-SLOT, SLICES = 1 << 42, 2048
+#: Nanoseconds of a slot of time, and into how many shares very many records are cut.
+SLOT, SLICES = 1 << 39, 2048
 #: Records of a slice of a stream, on average.
-STEP = 1 << 18
+STEP = 1 << 19
 
 
 def merge(venues: list[DataFrame]) -> DataFrame:
@@ -66,18 +66,21 @@ def _prefix(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, before) for (s, _), before in zip(rows, sums)]
 
 
-def _by_time(records: DataFrame, slices: int, name: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+def _by_time(records: DataFrame, slices: int | None, name: str) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Records with their slice of time in ``name``, and the sorted (slice, records).
 
-    Slices follow the order of time. Slots that hold more than twice a fair share, as
-    in trading hours, are cut into parts of equal length and counted again, so that
-    no task sorts much more than others; only records of one instant cannot be parted.
+    Slices follow the order of time. Slots that hold more than twice a fair share (STEP
+    records at least, unless the number of ``slices`` is given), as in trading hours,
+    are cut into parts of equal length and counted again, so that no task sorts much
+    more than others; only records of one instant cannot be parted.
     """
     counts = sorted(map(tuple, records.groupBy(_slot()).agg(F.count("*")).collect()))
     total = sum(n for _, n in counts)
-    if total <= STEP:  # one slice
+    if slices is None and total <= STEP:  # one slice
         return records.withColumn(name, F.lit(0).cast("long")), [(0, total)] if total else []
-    share = total // slices + 1
+    if not counts:
+        return records, []
+    share = total // slices + 1 if slices else max(STEP, total // SLICES + 1)
     dealt = records.withColumn(name, _slot())
     if max(n for _, n in counts) > 2 * share:
         low_of, step_of, first_of = shared.fresh(dealt, "low", "step", "first")
@@ -97,10 +100,10 @@ def _by_time(records: DataFrame, slices: int, name: str) -> tuple[DataFrame, lis
     return dealt, counts
 
 
-def with_emit_index(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def with_emit_index(records: DataFrame, slices: int | None = None) -> DataFrame:
     """Records with their place in the total order, from 0 without gaps, as a long.
 
-    One pass counts records per slot of time (73 minutes); the counts, whose number
+    One pass counts records per slot of time (9 minutes); the counts, whose number
     follows the span of time and not the data, are summed up on the driver and
     broadcast, and a record's index is its rank in its slice and the count before it.
     """
@@ -194,7 +197,7 @@ def seek_index(records: DataFrame, ts: int, by: str = "venue_id") -> DataFrame:
 def with_position(records: DataFrame) -> DataFrame:
     """Records with their place in their venue's stream, from 0."""
     name, begin = shared.fresh(records, "slice", "begin")
-    dealt, counts = _by_time(records, SLICES, name)
+    dealt, counts = _by_time(records, None, name)
     rank = F.row_number().over(Window.partitionBy("venue_id", name).orderBy(*KEY)).cast("long") - 1
     if len(counts) > 1:
         dealt = carried(dealt, ["venue_id"], name, F.count("*"), F.sum, begin)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions.columns import artifact_name, floor_div, utc_day
 from ..operators import book, canonical, catalogue, convert, delivery, epoch, order, pacing, validate
 from ..schema import KEY, SNAPSHOT
@@ -98,11 +99,11 @@ def _(spark, sf):
 @query("merge_venues", f"WITH {RECORDS} SELECT *, emit_index - row_number() OVER (PARTITION BY venue_id ORDER BY emit_index) + 1 AS before_of_others FROM ({_EMIT.format(K=K)})")
 def _(spark, sf):
     """M-04, V-08, M-14: the union of venue streams, one of them empty; what comes before from others."""
-    every = tables.records(spark, sf)
-    streams = [every.where(F.col("venue_id") == v) for v in (1, 2, 3, 4, 9)]
-    out = order.with_emit_index(order.merge(streams)).select(*KEY, "emit_index")
-    own = F.row_number().over(Window.partitionBy("venue_id").orderBy("emit_index"))
-    return out.withColumn("before_of_others", F.col("emit_index") - own + 1)
+    every, path = tables.records(spark, sf), shared.new_path(spark, "venues")
+    every.withColumn("v", F.col("venue_id")).write.partitionBy("v").parquet(path)  # a table for each venue
+    streams = [spark.read.schema(every.schema).parquet(f"{path}/v={v}") for v in (1, 2, 3, 4)]
+    out = order.with_emit_index(order.merge([*streams, every.limit(0)])).select(*KEY, "emit_index")
+    return order.with_position(out).select(*KEY, "emit_index", (F.col("emit_index") - F.col("position")).alias("before_of_others"))
 
 
 @query("seek_suffix_check", f"""WITH {RECORDS}, f AS ({_EMIT.format(K=K)}), s AS ({_EMIT.format(K=K)} WHERE exchange_ts >= {FROM_TS}),
@@ -122,15 +123,9 @@ def _(spark, sf):
     )
 
 
-@query("venue_subsequence", f"WITH {RECORDS} SELECT {K}, row_number() OVER (ORDER BY {K}) - 1 AS position FROM records WHERE venue_id = 2")
-def _(spark, sf):
-    """M-11: one venue's stream."""
-    return order.with_position(tables.records(spark, sf).where("venue_id = 2")).select(*KEY, "position")
-
-
 @query("venue_subsequences", f"WITH {RECORDS} SELECT {K}, row_number() OVER (PARTITION BY venue_id ORDER BY {K}) - 1 AS position FROM records")
 def _(spark, sf):
-    """M-11: every venue's stream; venue_subsequence takes one of them."""
+    """M-11: every venue's stream."""
     return order.with_position(tables.records(spark, sf)).select(*KEY, "position")
 
 
@@ -456,18 +451,10 @@ def _(spark, sf):
     return delivery.retained(stream, delivery.Ring(CAPACITY), n).select(*KEY, "emit_index")
 
 
-@query("drop_gap_closed_form", f"""WITH {RECORDS}, {_STREAM}, c AS (SELECT emit_index AS cursor, n AS written, emit_index + {CAPACITY} * ((n - 1 - emit_index) // {CAPACITY}) AS held FROM s CROSS JOIN w WHERE emit_index % 37 = 0)
-SELECT cursor, written, held, CASE WHEN held > cursor THEN cursor END AS first_missed, CASE WHEN held > cursor THEN held - 1 END AS last_missed, CASE WHEN held > cursor THEN held - cursor END AS missed_count FROM c""")
-def _(spark, sf):
-    """D-07."""
-    stream, n = _stream(spark, sf)
-    return _gaps(stream.where("emit_index % 37 = 0"), n)
-
-
 @query("drop_gap_all_cursors", f"""WITH {RECORDS}, {_STREAM}, c AS (SELECT emit_index AS cursor, n AS written, emit_index + {CAPACITY} * ((n - 1 - emit_index) // {CAPACITY}) AS held FROM s CROSS JOIN w)
 SELECT cursor, written, held, CASE WHEN held > cursor THEN cursor END AS first_missed, CASE WHEN held > cursor THEN held - 1 END AS last_missed, CASE WHEN held > cursor THEN held - cursor END AS missed_count FROM c""")
 def _(spark, sf):
-    """D-07: every cursor; drop_gap_closed_form takes one in 37."""
+    """D-07: the closed form at every cursor."""
     return _gaps(*_stream(spark, sf))
 
 
@@ -565,13 +552,6 @@ def _(spark, sf):
     return files.select("run", catalogue.dataset_hash(F.col("files")).alias("dataset_hash"))
 
 
-@query("artifact_sha256", "SELECT page_id, sha256(html) AS hash, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages")
-def _(spark, sf):
-    """W-06: pages stand for files."""
-    p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", F.sha2("html", 256).alias("hash"), F.octet_length("html").cast("long").alias("n_bytes"))
-
-
 _BENCH = """raw AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 5 = 0 THEN 'ok  package ' || p_size
   WHEN p_partkey % 7 = 0 THEN 'Benchmark' || replace(p_brand, '#', '') || '-8 ' || p_size || ' ' || p_retailprice || ' ns/op 16 B/op'
   ELSE 'Benchmark' || replace(p_brand, '#', '') || '-16   ' || (p_size + 1) || '  ' || CAST(p_size * 1.5 AS DOUBLE) || ' ns/op   ' || p_size || ' B/op  ' || (p_size % 3) || ' allocs/op' END AS value FROM part)"""

@@ -37,6 +37,42 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the session's JVM, or None where the session has none, as under Spark Connect."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a folder its name, which must be free."""
+    if own := _hadoop(spark, new):
+        store, at = own
+        if store.exists(at) or not store.rename(_hadoop(spark, old)[1], at):
+            raise FileExistsError(new)
+        return
+    from pyarrow.fs import FileType
+
+    store, at = store_of(new)
+    if store.get_file_info(at).type != FileType.NotFound:
+        raise FileExistsError(new)
+    store.move(store_of(old)[1], at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    if own := _hadoop(spark, path):
+        own[0].delete(own[1], True)
+        return
+    from pyarrow.fs import FileType
+
+    store, at = store_of(path)
+    if store.get_file_info(at).type != FileType.NotFound:
+        store.delete_dir(at)
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that ``df`` does not have, whatever the case of its letters."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -271,5 +271,13 @@ class FanOut:
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
+        try:
+            query.awaitTermination()
+        except BaseException as e:
+            with self._moved:
+                for s in (*self.subscribers, *self._joining):
+                    if s.state in ("joining", "running"):
+                        s.state, s.error = "failed", e
+                self._moved.notify_all()
+            raise
         self.end()
