@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
+from ..shared import delete, new_path, written  # noqa: F401  (for the operators)
+
 #: A broadcast relation made here never holds more rows than this.
 BROADCAST_ROWS = 50_000
 #: ASCII white space: the characters that separate words in every contract.
@@ -15,37 +15,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that ``spark.checkpoint.dir`` names. Where that is unset and the
-    session runs on this machine alone, a temporary folder is made and set for the
-    session; on a cluster its absence is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="ticktide-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def work_dir(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables."""
-    return f"{shared_dir(spark)}/ticktide/{spark.conf.get('spark.app.id', 'session')}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder in a store that Spark knows. Where the session gives no access to it, it stays."""
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is not None:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return shared.new_path(spark, "x").rsplit("/", 1)[0]
 
 
 def clean(spark: SparkSession) -> None:
@@ -53,18 +25,6 @@ def clean(spark: SparkSession) -> None:
     delete(spark, work_dir(spark))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there.
-
-    The table survives the loss of any executor, is read by column, and its row
-    count comes from the files' footers.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, label: str, name: str) -> DataFrame:
     """``df`` as a written table with a number of its own for each row in ``name``.
 
