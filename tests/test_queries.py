@@ -7,7 +7,7 @@ import pytest
 
 from compare import difference, views
 from tests.conftest import ROOT, SF
-from ticktide.plans import catalog
+from ticktide.plans import artifacts, catalog  # noqa: F401  (artifacts adds queries to those of catalog)
 
 
 @pytest.fixture(scope="module")
