@@ -12,8 +12,8 @@ outliers. A file (little-endian):
     footer: u64 index start, u64 documents, u64 ids, u32 crc32 of all before, magic
 
 Texts are encoded where they are read; their ids, not the texts, are dealt by ranges
-of the document ids into tasks of about ``TASK`` ids. Tasks write files under names
-of their own; the list of files (Parquet, beside them) is committed by Spark, so that
+of the document ids, of about ``TASK`` bytes of text each, by quantiles of the document
+ids alone. Tasks write a file or more for each range, under names of their own; the list of files (Parquet, beside them) is committed by Spark, so that
 lost or repeated tasks leave nothing that is read, and the manifest adds the ids
 before each file. Files are read by Spark's ``binaryFile`` source and roll at
 ``ROLL`` ids. Executors write through pyarrow's file systems; ``store_of`` maps the
@@ -46,8 +46,8 @@ MAGIC, BLOCK, PERCENTILE, ROLL = b"TKPF1", 512, 0.95, 1 << 24
 FOOTER = struct.Struct("<QQQI")
 #: Blocks that are packed or unpacked at once.
 AT_ONCE = 1024
-#: Ids that a task writes, unless that makes more than MOST_TASKS.
-TASK, MOST_TASKS = 1 << 21, 100_000
+#: Bytes of text whose ids make a range, unless that makes more ranges than MOST_TASKS.
+TASK, MOST_TASKS = 5 << 20, 100_000
 
 
 def _spread(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,71 +185,85 @@ LISTED = "part int, roll int, file string, n_docs long, n_ids long"
 MANIFEST = f"{LISTED}, base long"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, n, ids) of each row: n ids, the end id last, in 16 bits each if all of them fit, else in 32.
+def ranges(rows: DataFrame) -> np.ndarray:
+    """Bounds of the ranges of doc_id: a range has the ids above the bound before it, up to its own."""
+    n_bytes = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 4)).first()[0] or 0
+    n = min(max(1, -(-n_bytes // TASK)), MOST_TASKS)
+    if n == 1:
+        return np.empty(0, np.int64)
+    shares = [k / n for k in range(1, n)]
+    found = rows.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * n))).first()[0]
+    return np.sort(np.array(found or [], np.int64))
 
-    ``at`` numbers the rows by the tasks that read them; write the result before reading it twice.
+
+def encoded(rows: DataFrame, path: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """(part, doc_id, at, n, ids) of (doc_id, text): n ids, the end id last, in 16 bits each if all of them fit, else in 32.
+
+    ``part`` is the range of the id. An id that is a bound of several ranges, as one that
+    very many rows have, is dealt to all of them in turn. ``at`` numbers a task's rows.
     """
-    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        raise TypeError(f"{id_col} is no integer column")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     end = struct.pack("<I", end_id)
-    kinds = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    kinds = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at = tokens.encoder(path, True).encode, count(TaskContext.get().partitionId() << 36)
 
         def each(batch):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
+            doc_ids = batch["doc_id"].to_pylist()
+            known = np.array([x or 0 for x in doc_ids], np.int64)
+            low, high = (np.searchsorted(bounds, known, side).tolist() for side in ("left", "right"))
+            for doc_id, a, b, text in zip(doc_ids, low, high, batch["text"]):
+                ids, k = np.frombuffer(encode(text.as_py() or "") + end, "<u4"), next(at)
                 raw = (ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes()
-                yield len(raw), (doc_id, next(at), len(ids), raw)
+                yield len(raw), (0 if doc_id is None else a + k % (b - a + 1), doc_id, k, len(ids), raw)
 
         for batch in batches:
             yield from tokens.batched(each(batch), kinds)
         tokens.trim()
 
-    return rows.mapInArrow(run, "doc_id long, at long, n long, ids binary")
+    return rows.mapInArrow(run, "part int, doc_id long, at long, n long, ids binary")
 
 
 def write_tokens(
     docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
     """Token files of ``docs`` in ``folder``, a URL in a store that executors and driver share."""
-    # a row's number is fixed by writing it: rows with the same id can be dealt to several tasks
-    rows = common.written(encoded(docs, path, end_id, id_col, text_col), "encoded")
-    n_ids = rows.agg(F.sum("n")).first()[0] or 0
-    n_tasks = min(max(1, -(-n_ids // TASK)), MOST_TASKS)
-    dealt = rows.repartitionByRange(n_tasks, "doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "n", "ids")
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} is no integer column")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bounds = ranges(rows)
+    dealt = encoded(rows, path, end_id, bounds).repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "at")
+    dealt = dealt.select("part", "doc_id", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = store_of(folder)
         store.create_dir(root, recursive=True)
-        part = TaskContext.get().partitionId()
-        done, writer, name = [], None, ""
+        done: list[tuple] = []
+        writer, name, now, roll = None, "", -1, 0
 
         def close() -> None:
             writer.close()
             writer.stream.close()
-            done.append((part, len(done), name, len(writer.docs), writer.n_ids))
+            done.append((now, roll, name, len(writer.docs), writer.n_ids))
 
         for batch in batches:
-            for doc_id, n, ids in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"]):
+            columns = (batch[c].to_pylist() for c in ("part", "doc_id", "n"))
+            for part, doc_id, n, ids in zip(*columns, batch["ids"]):
+                if writer is not None and (part != now or writer.n_ids >= ROLL):
+                    close()
+                    writer = None
                 if writer is None:
-                    name = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.tkpf"
+                    now, roll = part, roll + 1 if part == now else 0
+                    name = f"{part:06d}-{roll:04d}-{uuid.uuid4().hex}.tkpf"
                     writer = FileWriter(store.open_output_stream(f"{root}/{name}"))
                 raw = ids.as_py()
                 writer.add(doc_id, raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
-                if writer.n_ids >= ROLL:
-                    close()
-                    writer = None
         if writer is not None:
             close()
         tokens.trim()
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        columns = zip(*done) if done else [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "roll", "file", "n_docs", "n_ids"]
+            [pa.array(c, k) for c, k in zip(zip(*done) if done else [()] * 5, kinds)], names=["part", "roll", "file", "n_docs", "n_ids"]
         )
 
     files = dealt.mapInArrow(run, LISTED)
