@@ -126,6 +126,45 @@ def test_block_barrier_and_watchdog(spark):
         fan.read(hung)
 
 
+def jobs_of(spark, call):
+    """How many jobs ``call`` runs in this thread."""
+    group = f"jobs of {id(call)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        call()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_parts_take_no_jobs(spark):
+    """The jobs of a batch do not grow with the parts that it fills the ring with, nor do the frames that stay."""
+    stored = spark.sparkContext._jsc.sc().getPersistentRDDs
+    counts, held_by, before = [], {}, stored().size()
+    for n in (6, 600):  # 3 and 300 parts
+        fan = fanout.FanOut(clock.SimClock(), watchdog_nanos=10, ring=delivery.Ring(2))
+        stuck, lossy = fanout.Subscriber("stuck", "block", None, 0), fanout.Subscriber("lossy", "drop", None, 0)
+        late = fanout.Subscriber("late", "block", None, delivery.exchange_ts(BASE + n - 1))
+        fan.subscribe(stuck)
+        fan.subscribe(lossy)
+        records = numbered(spark, 0, n)
+        counts.append(jobs_of(spark, lambda: fan.on_batch(records, 0)))  # noqa: B023
+        assert stuck.state == "evicted" and fan.slip == 10 and fan.written == n
+        fan.subscribe(late)
+        fan.on_batch(numbered(spark, n, n + 1), 1)
+        assert late.cursor == n - 1 and [r.emit_index for r in fan.read(late)[0].orderBy("emit_index").collect()] == [n - 1, n]
+        rows, missed = fan.read(lossy)
+        held = delivery.Ring(2).held(0, n + 1)
+        assert missed == (0, held - 1, held) and [r.emit_index for r in rows.orderBy("emit_index").collect()] == list(range(held, n + 1))
+        held_by[n] = fan
+    assert counts[1] <= counts[0] + 2
+    for n, fan in held_by.items():
+        assert [(a, b) for a, b, _ in fan._held] == [(n - 2, n), (n, n + 1)] and not fan._leaving
+        for *_, records in fan._held:
+            records.unpersist(True)
+    assert stored().size() <= before
+
+
 def test_starts_in_the_retained_window(spark):
     fan = fanout.FanOut(clock.SimClock(), ring=delivery.Ring(8))
     fan.on_batch(numbered(spark, 0, 20), 0)

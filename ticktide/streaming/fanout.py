@@ -10,8 +10,10 @@ missed. A block subscriber that holds the writer back for longer than the watchd
 allows, be its sink slow or stuck, is evicted. Joins and leaves take effect between
 parts; a start anywhere in the retained window is accepted.
 
-The ring holds no copies of records but the parts themselves, as frames that are
-persisted while a record of theirs is retained.
+A micro-batch is indexed and persisted once. Its parts are ranges of the index, so to
+write one moves numbers on the driver and runs no job. Once a batch is written, the
+ring persists what it retains of it, the last records, and lets go of the rest when
+no block subscriber reads it any more.
 
 Without a ring the fan-out goes in lockstep: nothing is retained, the writer itself
 calls the sinks with each micro-batch, and one that took too long is evicted.
@@ -64,7 +66,8 @@ class FanOut:
         self.clock, self.watchdog, self.ring = clock, watchdog_nanos, ring
         self.subscribers: list[Subscriber] = []
         self._joining: list[Subscriber] = []
-        self._parts: list[tuple[int, int, DataFrame]] = []  # (first index, end, records) of what is retained
+        self._held: list[tuple[int, int, DataFrame]] = []  # (first index, end, records) of what is retained and of the batch in hand
+        self._leaving: list[tuple[int, DataFrame]] = []  # (end, records) of batches that block subscribers may still read
         self._threads: dict[str, threading.Thread] = {}
         self._moved = threading.Condition()
         self.written, self.slip, self.ended, self.last = 0, 0, False, None
@@ -93,8 +96,8 @@ class FanOut:
     def _resolve(self, start: Start) -> int:
         if start.kind != "exchange_ts":
             return {"beginning": 0, "emit_index": start.value, "live": self.written}[start.kind]
-        for first, _, part in self._parts:
-            own = part.where((F.col("exchange_ts") >= F.lit(start.value)) & (F.col("emit_index") >= max(first, self.oldest())))
+        for _, _, records in self._held:
+            own = records.where((F.col("exchange_ts") >= F.lit(start.value)) & (F.col("emit_index") >= self.oldest()) & (F.col("emit_index") < self.written))
             if (found := own.agg(F.min("emit_index")).first()[0]) is not None:
                 return found
         return self.written
@@ -150,19 +153,31 @@ class FanOut:
             if self.ring is None:
                 self._in_lockstep(indexed, n)
                 return
-            for at in range(first, first + n, self.ring.capacity):
-                end = min(at + self.ring.capacity, first + n)
-                part = indexed.where((F.col("emit_index") >= at) & (F.col("emit_index") < end)).persist(StorageLevel.MEMORY_AND_DISK)
-                part.count()  # held before the batch is let go
-                with self._moved:
-                    self._apply_control()
-                    self._wait_for_room(end - at)
-                    self._parts.append((at, end, part))
-                    self.written = end
-                    self._let_go()
-                    self._moved.notify_all()
+            indexed = indexed.persist(StorageLevel.MEMORY_AND_DISK)
+            indexed.count()  # held before the batch is let go
         finally:
             batch.unpersist()
+        self._through_ring(indexed, first, first + n)
+
+    def _through_ring(self, indexed: DataFrame, first: int, last: int) -> None:
+        with self._moved:
+            self._held.append((first, last, indexed))
+        for at in range(first, last, self.ring.capacity):
+            end = min(at + self.ring.capacity, last)
+            with self._moved:
+                self._apply_control()
+                self._wait_for_room(end - at)
+                self.written = end
+                self._let_go()
+                self._moved.notify_all()
+        if last - first > self.ring.capacity:
+            oldest = self.oldest()
+            kept = indexed.where(F.col("emit_index") >= oldest).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.count()
+            with self._moved:
+                self._held = [(oldest, last, kept)]
+                self._leaving.append((last, indexed))
+                self._let_go()
 
     def _in_lockstep(self, indexed: DataFrame, n: int) -> None:
         self._apply_control()
@@ -181,11 +196,11 @@ class FanOut:
         self.written += n
 
     def _let_go(self) -> None:
-        oldest = self.ring.oldest(self.written)
-        for first, end, part in self._parts:
-            if end <= oldest:
-                part.unpersist()
-        self._parts = [p for p in self._parts if p[1] > oldest]
+        oldest, least = self.oldest(), self.min_block_cursor()
+        for gone in [records for _, end, records in self._held if end <= oldest] + [records for end, records in self._leaving if end <= least]:
+            gone.unpersist()
+        self._held = [h for h in self._held if h[1] > oldest]
+        self._leaving = [h for h in self._leaving if h[0] > least]
 
     # a reader
 
@@ -205,10 +220,10 @@ class FanOut:
             end = self.written
             held = s.cursor if s.mode == BLOCK else self.ring.held(s.cursor, end) if s.cursor < self.ring.oldest(end) else s.cursor
             missed = (s.cursor, held - 1, held - s.cursor) if held > s.cursor else None
-            own = [part for first, last, part in self._parts if last > held]
+            own = [records for first, last, records in self._held if last > held and first < end]
             records = own[0]
-            for part in own[1:]:
-                records = records.unionByName(part)
+            for more in own[1:]:
+                records = records.unionByName(more)
             records = records.where((F.col("emit_index") >= held) & (F.col("emit_index") < end))
             if s.mode != BLOCK:
                 at = F.lit(s.cursor).cast("long")
@@ -224,6 +239,8 @@ class FanOut:
         with self._moved:
             s.received += end - s.cursor
             s.cursor = end
+            if self._leaving:
+                self._let_go()
             self._moved.notify_all()
 
     def _feed(self, s: Subscriber) -> None:
@@ -262,6 +279,9 @@ class FanOut:
                 for s in self.subscribers:
                     if s.name == name and s.state == "running":
                         s.state = "evicted"
+        with self._moved:
+            if self._leaving:
+                self._let_go()
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Deliver all that is there, then end; an error in a batch ends the run without an end mark."""
