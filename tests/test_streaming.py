@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 
 from tests.helpers import BASE, WARM, frame, rec
@@ -128,12 +130,13 @@ def test_block_barrier_and_watchdog(spark):
 
 def jobs_of(spark, call):
     """How many jobs ``call`` runs in this thread."""
-    group = f"jobs of {id(call)}"
+    group = f"jobs of {uuid.uuid4()}"
     spark.sparkContext.setJobGroup(group, group)
     try:
         call()
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
 
@@ -165,6 +168,56 @@ def test_parts_take_no_jobs(spark):
     assert stored().size() <= before
 
 
+def test_sinks_take_long_frames(spark):
+    """Block sinks get all records in a few frames, and the writer still pushes out nothing that one of them needs."""
+    ring, n, frames, taken = delivery.Ring(2), 600, {}, {}
+
+    def sink(name):
+        def deliver(df):
+            got = [r.emit_index for r in df.orderBy("emit_index").collect()]
+            frames.setdefault(name, []).append((got, fan.written, fan.ring.oldest(fan.written)))
+
+        return deliver
+
+    fan = fanout.FanOut(clock.RealClock(), ring=ring)
+    for name, start in (("a", 0), ("b", 0), ("later", 45)):
+        fan.subscribe(s := fanout.Subscriber(name, "block", sink(name), start))
+        taken[name] = s
+    fan.subscribe(lossy := fanout.Subscriber("lossy", "drop", sink("lossy"), 0))
+    fan.on_batch(numbered(spark, 0, 90), 0)
+    fan.subscribe(s := fanout.Subscriber("joins", "block", sink("joins"), 89))
+    taken["joins"] = s
+    fan.on_batch(numbered(spark, 90, n), 1)
+    fan.end()
+    for name, start in (("a", 0), ("b", 0), ("later", 45), ("joins", 89)):
+        assert [i for got, *_ in frames[name] for i in got] == list(range(start, n))
+        assert taken[name].state == "ended" and taken[name].received == n - start
+        assert len(frames[name]) <= 40 and all(oldest <= got[0] for got, _, oldest in frames[name])
+    got = [i for own, *_ in frames["lossy"] for i in own]
+    missed = [i for a, b, k in lossy.gaps for i in range(a, b + 1)]
+    assert got == sorted(got) and sorted(got + missed) == list(range(n)) and lossy.received == len(got) and lossy.state == "ended"
+    assert not fan._leaving
+
+
+def test_slow_sinks_keep_short_frames(spark):
+    """A sink that needs much of the watchdog's time for a ring of records gets no more at once, and is not evicted."""
+    import time
+
+    frames = []
+
+    def deliver(df):
+        frames.append(sorted(r.emit_index for r in df.collect()))
+        time.sleep(0.5 * len(frames[-1]) / 2)
+
+    fan = fanout.FanOut(clock.RealClock(), watchdog_nanos=4_000_000_000, ring=delivery.Ring(2))
+    slow = fanout.Subscriber("slow", "block", deliver, 0)
+    fan.subscribe(slow)
+    fan.on_batch(numbered(spark, 0, 9), 0)
+    fan.end()
+    assert sum(frames, []) == list(range(9)) and max(map(len, frames)) == 2
+    assert slow.state == "ended" and slow.received == 9
+
+
 def test_starts_in_the_retained_window(spark):
     fan = fanout.FanOut(clock.SimClock(), ring=delivery.Ring(8))
     fan.on_batch(numbered(spark, 0, 20), 0)

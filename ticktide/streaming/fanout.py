@@ -10,10 +10,15 @@ missed. A block subscriber that holds the writer back for longer than the watchd
 allows, be its sink slow or stuck, is evicted. Joins and leaves take effect between
 parts; a start anywhere in the retained window is accepted.
 
+A sink may be ahead of the writer in the batch in hand, so that it gets a few long
+frames and not a job for each part. The barrier holds as it is: what a part pushes out,
+every block subscriber has taken. Frames begin with the ring's capacity and double, with
+a watchdog only while a sink is far from its limit.
+
 A micro-batch is indexed and persisted once. Its parts are ranges of the index, so to
 write one moves numbers on the driver and runs no job. Once a batch is written, the
 ring persists what it retains of it, the last records, and lets go of the rest when
-no block subscriber reads it any more.
+no sink reads it any more.
 
 Without a ring the fan-out goes in lockstep: nothing is retained, the writer itself
 calls the sinks with each micro-batch, and one that took too long is evicted.
@@ -52,6 +57,7 @@ class Subscriber:
         #: joining, running, lapped, canceled, evicted, failed, closed or ended
         self.state = "joining"
         self.received, self.gaps = 0, list[Gap]()
+        self.frame: tuple[int, int] | None = None  # what its sink has now
         self.error: BaseException | None = None
 
     def cancel(self) -> None:
@@ -67,7 +73,7 @@ class FanOut:
         self.subscribers: list[Subscriber] = []
         self._joining: list[Subscriber] = []
         self._held: list[tuple[int, int, DataFrame]] = []  # (first index, end, records) of what is retained and of the batch in hand
-        self._leaving: list[tuple[int, DataFrame]] = []  # (end, records) of batches that block subscribers may still read
+        self._leaving: list[tuple[int, int, DataFrame]] = []  # the same of what only sinks that have it now still read
         self._threads: dict[str, threading.Thread] = {}
         self._moved = threading.Condition()
         self.written, self.slip, self.ended, self.last = 0, 0, False, None
@@ -162,6 +168,7 @@ class FanOut:
     def _through_ring(self, indexed: DataFrame, first: int, last: int) -> None:
         with self._moved:
             self._held.append((first, last, indexed))
+            self._moved.notify_all()
         for at in range(first, last, self.ring.capacity):
             end = min(at + self.ring.capacity, last)
             with self._moved:
@@ -176,7 +183,7 @@ class FanOut:
             kept.count()
             with self._moved:
                 self._held = [(oldest, last, kept)]
-                self._leaving.append((last, indexed))
+                self._leaving.append((first, last, indexed))
                 self._let_go()
 
     def _in_lockstep(self, indexed: DataFrame, n: int) -> None:
@@ -196,11 +203,15 @@ class FanOut:
         self.written += n
 
     def _let_go(self) -> None:
-        oldest, least = self.oldest(), self.min_block_cursor()
-        for gone in [records for _, end, records in self._held if end <= oldest] + [records for end, records in self._leaving if end <= least]:
-            gone.unpersist()
+        oldest = self.oldest()
+        leaving, self._leaving = self._leaving + [h for h in self._held if h[1] <= oldest], []
         self._held = [h for h in self._held if h[1] > oldest]
-        self._leaving = [h for h in self._leaving if h[0] > least]
+        frames = [s.frame for s in self.subscribers if s.state == "running" and s.frame is not None]
+        for first, end, records in leaving:
+            if any(a < end and first < b for a, b in frames):
+                self._leaving.append((first, end, records))
+            else:
+                records.unpersist()
 
     # a reader
 
@@ -209,16 +220,21 @@ class FanOut:
 
         The cursor of a drop subscriber moves on here, that of a block subscriber by ``taken``.
         """
+        got = self._next(s, 0)
+        return got and got[:2]
+
+    def _next(self, s: Subscriber, length: int) -> tuple[DataFrame, Gap | None, int, int] | None:
+        """As ``read``, with the first index and the end: all that is written, or ``length`` records if so many are in hand."""
         with self._moved:
             if s.state == "joining":
                 return None
             for state, kind in (("evicted", "Evicted"), ("canceled", "Canceled"), ("lapped", "StartLapped"), ("closed", "Closed")):
                 if s.state == state:
                     raise errors.named(kind)(s.name)
-            if s.cursor >= self.written:
+            held = s.cursor if s.mode == BLOCK or s.cursor >= self.oldest() else self.ring.held(s.cursor, self.written)
+            end = max(self.written, min(held + length, self._held[-1][1] if self._held else 0))
+            if s.cursor >= end:
                 return None
-            end = self.written
-            held = s.cursor if s.mode == BLOCK else self.ring.held(s.cursor, end) if s.cursor < self.ring.oldest(end) else s.cursor
             missed = (s.cursor, held - 1, held - s.cursor) if held > s.cursor else None
             own = [records for first, last, records in self._held if last > held and first < end]
             records = own[0]
@@ -232,31 +248,39 @@ class FanOut:
                     s.gaps.append(missed)
                 s.cursor = end
                 s.received += end - held
-            return records, missed
+            return records, missed, held, end
 
     def taken(self, s: Subscriber, end: int) -> None:
         """A block subscriber has all records before ``end``."""
         with self._moved:
             s.received += end - s.cursor
             s.cursor = end
-            if self._leaving:
-                self._let_go()
             self._moved.notify_all()
 
     def _feed(self, s: Subscriber) -> None:
+        length = self.ring.capacity
         try:
             while s.state == "running":
                 with self._moved:
-                    end, got = self.written, self.read(s)
+                    got = self._next(s, length)
                     if got is None:
                         if self.ended:
                             s.state = "ended"
                             return
                         self._moved.wait()
                         continue
-                s.deliver(got[0])
-                if s.mode == BLOCK and s.state == "running":
-                    self.taken(s, end)
+                    records, _, first, end = got
+                    s.frame = first, end
+                began = self.clock.now()
+                s.deliver(records)
+                quick = self.watchdog is None or 8 * (self.clock.now() - began) <= self.watchdog
+                length = max(self.ring.capacity, 2 * (end - first) if quick else (end - first) // 2)
+                with self._moved:
+                    s.frame = None
+                    if s.mode == BLOCK and s.state == "running":
+                        self.taken(s, end)
+                    if self._leaving:
+                        self._let_go()
         except errors.TapeError:
             pass  # its state tells why
         except BaseException as e:
