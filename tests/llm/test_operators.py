@@ -514,6 +514,32 @@ def test_draws_do_not_depend_on_batches(texts):
     assert sorted(whole) == sorted(alone)
 
 
+def test_repeated_words_are_parted_once(monkeypatch):
+    scanned = []
+
+    class Counting:
+        def findall(self, text):
+            scanned.append(len(text))
+            return units.findall(text)
+
+    units = sps._UNITS
+    monkeypatch.setattr(sps, "_UNITS", Counting())
+    some = [f"the lattice of {n % 7} words, parted once." for n in range(500)]
+    rows = list(sps.samples(sps.Lattice(tokens.public_path("piece_bpe_32k.model")), some, np.arange(500, dtype=np.uint64), 2))
+    assert {d for d, *_ in rows} == set(range(500)) and sum(scanned) < 100
+
+
+def test_units_of_words_are_those_of_whole_texts():
+    odd = ["a b", "a  b", " a", "a ", " ", "", None, "a▁ b", "a ▁b", "▁", "x.\n y!!\n\n z", "a \nb", "\n", "don't_x² a²", "\ud800 a", "the the, the"]
+    lattice = sps.Lattice(tokens.public_path("piece_bpe_32k.model"))
+    for some in (odd, odd[::-1], [t for t in odd if t != "\ud800 a"], ["a b c"], [], [None]):
+        found = lattice.nodes(some)
+        assert len(found) == len(some)
+        for text, nodes in zip(some, found):
+            want = [lattice.begin.data[lattice.units[u]] for u in sps._UNITS.findall(sps.normalised(text))]
+            assert nodes.tolist() == want
+
+
 def test_sampling_query_returns_ids_and_texts(spark, texts):
     rows = sps.query(spark, SF).collect()
     lattice, text = sps.lattice_of(tokens.public_path("piece_bpe_32k.model"), 1.0), dict(texts)

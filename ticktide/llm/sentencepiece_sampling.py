@@ -13,9 +13,10 @@ each its inclusion score 1 - exp(-exp(log p - kappa)).
 
 No piece of the model crosses certain places (before white space, around a line
 end, between letters and a mark); the lattice falls into units there, and a unit's
-nodes are worked out once while it is in the worker's table. All documents of a
-chunk are drawn together. Draws are hashes of the row's key, a seed, and the place
-in the text, so they do not depend on batches, partitions or retries.
+nodes are worked out once while it is in the worker's table. A chunk's distinct
+words are parted into units once, and many of its documents are drawn together.
+Draws are hashes of the row's key, a seed, and the place in the text, so they do
+not depend on batches, partitions or retries.
 
 Defined cases: null and empty texts have one segmentation, without pieces; a text
 with fewer than k segmentations gives all it has, with inclusion 1; characters that
@@ -30,37 +31,60 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
 
 SPACE = "▁"
-#: Units whose nodes a worker keeps, and characters of text that are drawn together.
+#: Units whose nodes a worker keeps, and characters of text whose units are looked up together.
 MOST_UNITS, CHUNK = 200_000, 1 << 20
+#: Units whose nodes are worked out together, and characters of text that are drawn together.
+ADDED, DRAWN = 1 << 13, 1 << 17
+#: In the place of a running sum, above all draws: the only edge of its node.
+ALONE = 3.0
 #: Stands after a unit's last character; no code point.
 STOP = 0x10FFFF + 1
 #: Places that no piece crosses; checked against the model when it is read.
 _UNITS = re.compile(r"▁*[^\W_²]+(?=[.,;:!?▁\n]|\Z)|[.,;:!?]+(?=[▁\n]|\Z)|▁*[^▁\n]+|▁+|\n")
 _CROSSING = re.compile(r"[^▁]▁|\n.|.\n|[^\W_²][.,;:!?]", re.S)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def salted(key: np.ndarray, salt: int) -> np.ndarray:
+    return _mixed(key + np.uint64(salt * 0xD1342543DE82EF95 % 2**64))
+
+
+def spread(place: np.ndarray) -> np.ndarray:
+    return place.astype(np.uint64) * _GOLDEN
+
+
+def unit_interval(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) for sums of salted keys and spread places."""
+    out = (_mixed(x) >> np.uint64(12)).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
 def uniforms(key: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in (0, 1) for (key, place, salt)."""
-    x = _mixed(key + np.uint64(salt * 0xD1342543DE82EF95 % 2**64))
-    x = _mixed(x + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return unit_interval(salted(key, salt) + spread(place))
 
 
 class Grown:
@@ -117,9 +141,7 @@ class Lattice:
             rank = -score if -1e8 < score <= 0 and not model.is_byte(i) else 1e5
             weight.append(-alpha * np.log(rank + 10))
         self.weight = np.array(weight)
-        self.blob = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.blob_len = np.fromiter(map(len, self.bytes_of), np.int32, len(self.bytes_of))
-        self.blob_at = np.cumsum(self.blob_len, dtype=np.int32) - self.blob_len
+        self.spellings = pa.array(self.bytes_of, pa.large_binary())
         self._trie(words)
         self._clear()
 
@@ -136,34 +158,91 @@ class Lattice:
                 node = nxt
             own[node] = i
         keys = np.array([(a << 21) | c for a, c in step], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.fromiter(step.values(), np.int64, len(step))[order]
+        to = np.fromiter(step.values(), np.int64, len(step))
+        # open addressing: a key stands in the first free slot from its hash on, -1 in a free one
+        bits = (8 * len(keys)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            own_slot = self.keys[slot] == keys
+            self.to[slot[own_slot]] = to[own_slot]
+            keys, to, slot = keys[~own_slot], to[~own_slot], (slot[~own_slot] + 1) & self.mask
         self.own = np.array(own, np.int64)
         self.root = np.full(0x110000, -1, np.int32)
         for (a, c), b in step.items():
             if a == 0:
                 self.root[c] = b
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _GOLDEN) >> self.shift).view(np.int64)
+
+    def _steps(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the keys that the trie has, and the nodes they lead to."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        more = np.flatnonzero((found != keys) & (found >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) & self.mask
+            found[more] = self.keys[slot[more]]
+            more = more[(found[more] != keys[more]) & (found[more] >= 0)]
+        good = np.flatnonzero(found == keys)
+        return good, self.to[slot[good]]
+
     def _clear(self) -> None:
         self.units = Numbers()
         if not hasattr(self, "begin"):
-            self.begin, self.first, self.degree = Grown(np.int64), Grown(np.int64), Grown(np.int32)
-            self.piece, self.next, self.start = Grown(np.int32), Grown(np.int32), Grown(np.int32)
-            self.lp, self.rest, self.cum, self.p = (Grown(np.float64) for _ in range(4))
+            self.begin, self.spaced = Grown(np.int64), Grown(bool)
+            self.first, self.degree = Grown(np.int64), Grown(np.int32)
+            self.piece, self.next = Grown(np.int32), Grown(np.int32)
+            self.lp, self.cum = Grown(np.float64), Grown(np.float64)
         for grown in vars(self).values():
             if isinstance(grown, Grown):
                 grown.n = 0
 
-    def nodes(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The first nodes of the units of each text."""
+    def nodes(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The first nodes of the units of each text.
+
+        A run of spaces begins a unit, so in a text whose spaces stand alone between
+        words each word has its own units: those of the distinct words are looked up.
+        """
         if len(self.units) > MOST_UNITS:
             self._clear()
-        number = self.units.__getitem__
-        found = [np.fromiter(map(number, t), np.int64, len(t)) for t in texts]
-        if self.units.new:
-            self._add(self.units.new)
-            self.units.new = []
-        return [self.begin.data[x] for x in found]
+        plain = np.fromiter(map(_parted, texts), bool, len(texts))
+        whole = [_UNITS.findall(normalised(t)) for t, p in zip(texts, plain) if not p]
+        try:
+            words = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
+        except UnicodeEncodeError:  # lone surrogates
+            plain[:] = False
+            whole = [_UNITS.findall(normalised(t)) for t in texts]
+            words = pa.array([], pa.list_(pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        of_words = _UNITS.findall(normalised(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py()))
+        rest = sum(map(len, whole))
+        found = np.fromiter(map(self.units.__getitem__, chain(of_words, chain.from_iterable(whole))), np.int64, len(of_words) + rest)
+        for at in range(0, len(self.units.new), ADDED):
+            self._add(self.units.new[at : at + ADDED])
+        self.units.new = []
+        begin = self.begin.data[found]
+        at = np.flatnonzero(self.spaced.data[found[: len(of_words)]])
+        many = np.diff(np.append(at, len(of_words)))
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        flat = begin[_ragged(at[word], many[word])]
+        cuts = np.append(0, np.cumsum(many[word]))[words.offsets.to_numpy()].tolist()
+        of_plain, of_whole, k = pairwise(cuts), iter(whole), len(of_words)
+        out = []
+        for p in plain.tolist():
+            if p:
+                a, b = next(of_plain)
+                out.append(flat[a:b])
+            else:
+                size = len(next(of_whole))
+                out.append(begin[k : k + size])
+                k += size
+        return out
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """(start, end, piece, degree, first): all pieces in the text, a node's together, longest first.
@@ -185,11 +264,8 @@ class Lattice:
                 single[begin] = True
             found.append((begin, length, own[hit], degree[begin]))
             degree[begin] += 1
-            key = (state << 21) | codes[where + length]
-            k = np.searchsorted(self.keys, key)
-            k[k == len(self.keys)] = 0
-            good = self.keys[k] == key
-            where, state, length = where[good], self.to[k[good]], length + 1
+            good, state = self._steps((state << 21) | codes[where + length])
+            where, length = where[good], length + 1
         bare = at[~single[at]]
         found.append((bare, 1, -1 - codes[bare], degree[bare]))
         degree[bare] += 1
@@ -217,15 +293,19 @@ class Lattice:
         order = np.argsort(distance.astype(np.uint16) if distance.max() < 1 << 16 else distance, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(distance))])
         total = np.zeros(len(codes))
+        ordered = degree[order]
+        upto = np.append(0, np.cumsum(ordered))
+        edges = _ragged(first[order], ordered)
+        far, step = end[edges], lp[edges]
         for a, b in pairwise(cuts[1:].tolist()):
             if a < b:
-                nodes = order[a:b]
-                many = degree[nodes]
-                edges = _ragged(first[nodes], many)
-                value = lp[edges] + total[end[edges]]
-                begin = np.cumsum(many) - many
+                x, y = upto[a], upto[b]
+                begin = upto[a:b] - x
+                value = total[far[x:y]]
+                value += step[x:y]
                 high = np.maximum.reduceat(value, begin)
-                total[nodes] = high + np.log(np.add.reduceat(np.exp(value - np.repeat(high, many)), begin))
+                value -= np.repeat(high, ordered[a:b])
+                total[order[a:b]] = high + np.log(np.add.reduceat(np.exp(value, out=value), begin))
         lp = np.minimum(lp + total[end] - total[start], 0.0)
         alone = degree[start] == 1
         lp[alone] = 0.0
@@ -234,15 +314,14 @@ class Lattice:
         own = np.flatnonzero(degree)
         cum = run - np.repeat((run - p)[first[own]], degree[own])
         cum[first[own] + degree[own] - 1] = 2.0
-        rest = np.log(np.maximum(1.0 - p, 1e-300))
-        rest[alone] = -np.inf
+        cum[alone] = ALONE
         base_node, base_edge = self.first.n, self.piece.n
         self.begin.extend(stops - size + base_node)
+        self.spaced.extend(codes[stops - size] == ord(SPACE))
         self.first.extend(first + base_edge)
         self.degree.extend(degree)
         for grown, values in (
-            (self.piece, piece), (self.next, end + base_node), (self.start, start + base_node), (self.lp, lp),
-            (self.rest, rest), (self.cum, cum), (self.p, p),
+            (self.piece, piece), (self.next, end + base_node), (self.lp, lp), (self.cum, cum),
         ):
             grown.extend(values)
 
@@ -269,36 +348,44 @@ class Lattice:
 
     def spelled(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of piece ids put together, and the end of each piece's bytes."""
-        size = self.blob_len[ids]
-        ends = np.cumsum(size, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total, dtype=np.int32)
-        at += np.repeat(self.blob_at[ids] - (ends - size).astype(np.int32), size)
-        return self.blob[at].tobytes(), ends
-
-    def walk(self, node: np.ndarray, key: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-        """Drawn edges from each node to its unit's end, and their number per node."""
+        if not len(ids):
+            return b"", np.empty(0, np.int64)
+        _, offsets, data = self.spellings.take(pa.array(ids, pa.uint32())).buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1)
+        return data.slice(0, int(ends[-1])).to_pybytes() if ends[-1] else b"", ends[1:]
+
+    def walk(self, node: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Drawn edges from each node to its unit's end, and their number per node.
+
+        ``key`` of each text, and ``doc``, the text of each node.
+        """
         first, degree, cum, nxt = self.first.data, self.degree.data, self.cum.data, self.next.data
-        who = np.flatnonzero(degree[node])
-        now, steps = node[who], []
+        count = np.zeros(len(node), np.int64)
+        many = degree[node]
+        who = np.flatnonzero(many)
+        now, many, steps = node[who], many[who], []
+        far = spread(place * 256)
         while len(who):
+            t = len(steps)
+            if t % 256 == 0:
+                mark = salted(key, salt + t // 256)[doc] + far
             edge = first[now]
-            many = np.flatnonzero(degree[now] > 1)
-            if len(many):
-                u = uniforms(key[who[many]], place[who[many]] * 256 + len(steps) % 256, salt + len(steps) // 256)
-                e = edge[many]
+            several = np.flatnonzero(many > 1)
+            if len(several):
+                u = unit_interval(mark[who[several]] + spread(np.array([t % 256])))
+                e = edge[several]
                 more = np.flatnonzero(u >= cum[e])
+                e[more] += 1
                 while len(more):
-                    e[more] += 1
                     more = more[u[more] >= cum[e[more]]]
-                edge[many] = e
+                    e[more] += 1
+                edge[several] = e
             steps.append((who, edge))
+            count[who] = t + 1
             now = nxt[edge]
-            live = degree[now] > 0
-            who, now = who[live], now[live]
-        count = np.zeros(len(node), np.int64)
-        for w, _ in steps:
-            count[w] += 1
+            many = degree[now]
+            live = np.flatnonzero(many)
+            who, now, many = who[live], now[live], many[live]
         begin = np.cumsum(count) - count
         out = np.empty(int(count.sum()), np.int64)
         for t, (w, e) in enumerate(steps):
@@ -327,29 +414,33 @@ class Paths:
         self.before = run - lp - np.repeat((run - lp)[np.minimum(self.begin, max(len(lp) - 1, 0))], count) if len(lp) else lp
         total = np.add.reduceat(np.append(lp, 0.0), self.begin) if len(count) else np.empty(0)
         self.total = np.where(count > 0, total, 0.0)
-        self.bound = np.empty(0)
+        self.value, self.top = np.empty(0), np.empty(0)
 
     def split(self, lattice: Lattice, key: np.ndarray, top: np.ndarray, kept: np.ndarray, salt: int) -> None:
-        """Perturbed masses, below ``top``, of what leaves the path at or after piece ``kept`` of each document."""
-        mass = self.before + lattice.rest.data[self.edges]
+        """Perturbed masses, before they are held below ``top``, of what leaves the path at or after piece ``kept`` of each document."""
+        self.top = top
         place = _ragged(np.zeros(len(self.count), np.int64), self.count)
-        mass[place < np.repeat(kept, self.count)] = -np.inf
-        self.bound = np.full(len(mass), -np.inf)
-        live = np.flatnonzero(mass > -np.inf)
+        leaves = lattice.cum.data[self.edges] != ALONE
+        if kept.any():
+            leaves &= place >= np.repeat(kept, self.count)
+        live = np.flatnonzero(leaves)
         row = np.repeat(np.arange(len(self.count)), self.count)[live]
-        g = mass[live] - np.log(-np.log(uniforms(key[self.docs[row]], place[live], salt)))
-        self.bound[live] = -np.logaddexp(-top[row], -g)
+        u = unit_interval(salted(key, salt)[self.docs][row] + spread(place[live]))
+        rest = np.log(np.maximum(1.0 - np.exp(lattice.lp.data[self.edges[live]]), 1e-300))
+        self.value = np.full(len(self.edges), -np.inf)
+        self.value[live] = self.before[live] + rest - np.log(-np.log(u))
 
     def best(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """The largest bound of each document, and where it is."""
+        """The largest bound of each document, and where it is. Bounds rise with the masses."""
         value, at = np.full(n_docs, -np.inf), np.zeros(n_docs, np.int64)
         some = self.count > 0
         if not some.any():
             return value, at
-        high = np.maximum.reduceat(self.bound, self.begin[some])
-        where = np.flatnonzero(self.bound == np.repeat(high, self.count[some]))
-        rows = np.repeat(np.arange(int(some.sum())), self.count[some])[where]
-        k = np.unique(rows, return_index=True)[1]
+        high = np.maximum.reduceat(self.value, self.begin[some])
+        where = np.flatnonzero(self.value == np.repeat(high, self.count[some]))
+        k = np.searchsorted(where, self.begin[some])
+        left = high > -np.inf
+        high[left] = -np.logaddexp(-self.top[some][left], -high[left])
         value[self.docs[some]], at[self.docs[some]] = high, where[k]
         return value, at
 
@@ -366,7 +457,7 @@ def drawn_paths(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: i
     doc_of = np.repeat(np.arange(n), size)
     place = np.arange(len(flat)) - base[doc_of]
     top = -np.log(-np.log(uniforms(key, np.zeros(n, np.int64), 1)))
-    edges, count = lattice.walk(flat, key[doc_of], place, 1000)
+    edges, count = lattice.walk(flat, key, doc_of, place, 1000)
     per_doc = np.bincount(doc_of, weights=count, minlength=n).astype(np.int64)
     path = Paths(lattice, np.arange(n), edges, np.repeat(np.arange(len(flat)), count), per_doc)
     path.split(lattice, key, top, np.zeros(n, np.int64), 2)
@@ -396,7 +487,7 @@ def drawn_paths(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: i
             if j < len(paths):
                 origin[d], spot[d] = j, at[d]
                 ruled[d] = [int(paths[j].edges[at[d]])]
-                paths[j].bound[at[d]] = -np.inf
+                paths[j].value[at[d]] = -np.inf
             else:
                 x = extras[j - len(paths)]
                 origin[d], spot[d], ruled[d] = x[1][d], x[2][d], x[3][d]
@@ -409,14 +500,16 @@ def drawn_paths(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: i
             p = paths[origin[d]]
             row = int(np.searchsorted(p.docs, d))
             edge = int(p.edges[spot[d]])
-            a = int(lattice.first.data[lattice.start.data[edge]])
-            b = a + int(lattice.degree.data[lattice.start.data[edge]])
-            may = [e for e in range(a, b) if e not in ruled[d]]
-            weights = np.cumsum(lattice.p.data[may])
-            chosen[i] = may[min(int(np.searchsorted(weights, u[i] * weights[-1], "right")), len(may) - 1)]
+            node = int(np.searchsorted(lattice.first.data[: lattice.first.n], edge, "right")) - 1
+            a = int(lattice.first.data[node])
+            may = [e for e in range(a, a + int(lattice.degree.data[node])) if e not in ruled[d]]
+            p_may = np.exp(lattice.lp.data[may])
+            weights = np.cumsum(p_may)
+            pick = min(int(np.searchsorted(weights, u[i] * weights[-1], "right")), len(may) - 1)
+            chosen[i] = may[pick]
             heads.append(p.edges[p.begin[row] : spot[d]])
             units[i] = p.units[spot[d]]
-            spare = weights[-1] - lattice.p.data[chosen[i]]
+            spare = weights[-1] - p_may[pick]
             left[i] = p.before[spot[d]] + (np.log(spare) if spare > 1e-300 and len(may) > 1 else -np.inf)
         # then the rest of its unit, and the units after it
         ends = base[who] + size[who]
@@ -430,7 +523,7 @@ def drawn_paths(lattice: Lattice, nodes: list[np.ndarray], key: np.ndarray, k: i
         starts[is_head], own[is_head] = lattice.next.data[chosen], units
         starts[~is_head], own[~is_head] = flat[after], after
         text = np.repeat(who, n_after + 1)
-        tail, count = lattice.walk(starts, key[text], own - base[text], 1000 * (rank + 1))
+        tail, count = lattice.walk(starts, key, text, own - base[text], 1000 * (rank + 1))
         row = np.repeat(np.arange(len(who)), n_after + 1)
         n_tail = np.bincount(row, weights=count, minlength=len(who)).astype(np.int64)
         n_head = np.array([len(h) for h in heads], np.int64)
@@ -495,6 +588,11 @@ def normalised(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def _parted(text: str | None) -> bool:
+    """Whether the text's spaces stand alone between its words."""
+    return bool(text) and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text
+
+
 _lattices: dict[tuple[str, float], Lattice] = {}
 
 
@@ -514,20 +612,27 @@ def decode_ids(lattice: Lattice, ids: np.ndarray) -> str:
     return text_of(b"".join(map(lattice.bytes_of.__getitem__, ids.tolist())))
 
 
-def samples(lattice: Lattice, texts: list[str | None], keys: np.ndarray, k: int, how=draw) -> Iterator[tuple]:
-    """``how`` (draw, or draw_encoded) over chunks of texts."""
+def _runs(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of together at most ``most`` characters, or of one text."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= most):
             size += len(texts[end] or "")
             end += 1
-        nodes = lattice.nodes([_UNITS.findall(normalised(t)) for t in texts[at:end]])
-        for d, *rest in how(lattice, nodes, keys[at:end], k):
-            yield at + d, *rest
+        yield at, end
         at = end
 
 
+def samples(lattice: Lattice, texts: list[str | None], keys: np.ndarray, k: int, how=draw) -> Iterator[tuple]:
+    """``how`` (draw, or draw_encoded) over runs of the texts of each chunk."""
+    for a, b in _runs(texts, CHUNK):
+        nodes = lattice.nodes(texts[a:b])
+        for x, y in _runs(texts[a:b], DRAWN):
+            for d, *rest in how(lattice, nodes[x:y], keys[a + x : a + y], k):
+                yield a + x + d, *rest
+
+
 SAMPLE = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double"
 
 
