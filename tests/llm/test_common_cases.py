@@ -282,6 +282,44 @@ def test_line_dedup(spark, docs, nothing):
         line_dedup.dedup_lines(docs.selectExpr("cast(doc_id as string) AS doc_id", "text"))
 
 
+def test_line_dedup_starts_no_process(tmp_path):
+    """A chmod for each file is for moments a twin of the executor, which sums of memory count twice."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/log\nexec /bin/chmod "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+from ticktide.llm import common, line_dedup
+conf = {{"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}}
+spark = SparkSession.builder.config(map=conf | {{"spark.checkpoint.dir": "file://{tmp_path}/shared"}}).getOrCreate()
+rows = [(k, f"own {{k}}\\n" + "passage " * 30) for k in range(9)]
+out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+assert sorted(tuple(r.removed_lines) for r in out) == [(), *[(1,)] * 8]
+common.written(spark.range(1), "probe")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env=os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}"})
+    started = [x for x in (tmp_path / "log").read_text().splitlines() if f"{tmp_path}/shared/ticktide" in x]
+    assert any("probe-" in x for x in started) and not [x for x in started if "probe-" not in x]
+
+
+def test_stored_tables(spark):
+    schema = "id long, at array<int>, n int, flag boolean, s string"
+    rows = [(k, None if k % 3 == 0 else [k, None], k, k % 2 == 0, None if k % 5 == 0 else f"é{k}") for k in range(25_000)]
+    frame = spark.createDataFrame(rows, schema)
+    table = common.stored(frame.repartition(3), "stored")
+    assert table.dtypes == frame.dtypes and sorted(map(tuple, table.collect())) == rows and len(table.inputFiles()) == 3
+    assert common.stored(frame.where("id < 0"), "stored").collect() == []
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    with open(f"{folder}/_part-of-a-failed-attempt.parquet", "wb") as f:
+        f.write(b"PAR1")
+    assert spark.read.schema(table.schema).parquet(f"file://{folder}").count() == len(rows)
+
+
 def test_repeated_lines_align_fast():
     import time
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shared
-from ..shared import delete, new_path, written  # noqa: F401  (for the operators)
+from ..shared import delete, new_path, stored, written  # noqa: F401  (for the operators)
 
 #: A broadcast relation made here never holds more rows than this.
 BROADCAST_ROWS = 50_000

@@ -208,13 +208,13 @@ def aligned(pairs: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
     late = pairs.join(shared.withColumnRenamed("id", "late").hint("merge"), "late").select(
         "late", "early", "h1", "h2", "rank", "at", "words"
     )
-    late = common.written(late, "late_lines")
+    late = common.stored(late, "late_lines")
     keys = ["early", "h1", "h2"]
-    asked = common.written(late.select("late", *keys).distinct(), "asked")
+    asked = common.stored(late.select("late", *keys).distinct(), "asked")
     places = shared.select(F.col("id").alias("early"), "h1", "h2", "rank").groupBy(*keys).agg(F.collect_list("rank").alias("e_ranks"))
     groups = asked.groupBy(*keys).agg(F.count("*").alias("n_late")).join(places.hint("merge"), keys)
-    met = common.with_group(asked, common.written(groups, "asked_lines"), keys, "n_late", asked.count())
-    met = common.written(met.select("late", *keys, "e_ranks"), "met")
+    met = common.with_group(asked, common.stored(groups, "asked_lines"), keys, "n_late", asked.count())
+    met = common.stored(met.select("late", *keys, "e_ranks"), "met")
     both = late.join(met.select("late", *keys).hint("merge"), ["late", *keys], "left_semi").select(
         "late", *keys, F.lit(True).alias("side"), "rank", "at", "words"
     ).unionByName(
@@ -241,38 +241,38 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS
     lines = lines_of(docs)
     if not docs.groupBy("id").count().where("count > 1").isEmpty():
         lines = lines.distinct()  # rows that repeat are one document
-    lines = common.written(lines, "lines")
+    lines = common.stored(lines, "lines")
     stats = (
         lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("own")).groupBy("h1", "h2")
         .agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("own").alias("n_lines")).where("n > 1")
     )
-    stats = common.written(stats, "line_counts")
-    shared = common.written(common.with_group(lines, stats, ["h1", "h2"], "n_lines", lines.count()).drop("n_lines"), "shared")
-    every = common.written(runs(shared, min_words), "runs")
-    first = common.written(every.groupBy("h").agg(F.min("id").alias("early"), F.count("*").alias("n_runs")), "first_holders")
+    stats = common.stored(stats, "line_counts")
+    shared = common.stored(common.with_group(lines, stats, ["h1", "h2"], "n_lines", lines.count()).drop("n_lines"), "shared")
+    every = common.stored(runs(shared, min_words), "runs")
+    first = common.stored(every.groupBy("h").agg(F.min("id").alias("early"), F.count("*").alias("n_runs")), "first_holders")
     held = common.with_group(every, first.where("n_runs > 1"), "h", "n_runs", every.count())
-    held = common.written(held.where("id <> early").drop("n_runs"), "held")
+    held = common.stored(held.where("id <> early").drop("n_runs"), "held")
     pairs = shared.where(f"id <> first AND (n <= {rare} OR words >= {min_words})")
     pairs = pairs.select(F.col("id").alias("late"), F.col("first").alias("early"))
-    pairs = common.written(pairs.unionByName(held.select(F.col("id").alias("late"), "early")).distinct(), "pairs")
-    gone = common.written(aligned(pairs, shared, min_words), "gone_lines")
+    pairs = common.stored(pairs.unionByName(held.select(F.col("id").alias("late"), "early")).distinct(), "pairs")
+    gone = common.stored(aligned(pairs, shared, min_words), "gone_lines")
 
     # runs that their first holder did not take are tried with the next ones, twice as many each time
-    left = common.written(still_there(held, gone), "left")
+    left = common.stored(still_there(held, gone), "left")
     if left.isEmpty():
         return gone
-    asked = common.written(left.select("h").distinct().join(first.drop("early").hint("merge"), "h"), "asked_runs")
+    asked = common.stored(left.select("h").distinct().join(first.drop("early").hint("merge"), "h"), "asked_runs")
     holders = common.with_group(every.select("h", "id"), asked, "h", "n_runs", every.count()).select("h", "id").distinct()
-    holders = common.written(ranks.ranked_within(holders, "h", "id", "place"), "holders")
+    holders = common.stored(ranks.ranked_within(holders, "h", "id", "place"), "holders")
     left, low = left.join(holders.hint("merge"), ["h", "id"]), 2
-    while not (left := common.written(left.where(f"place > {low}"), "left")).isEmpty():
+    while not (left := common.stored(left.where(f"place > {low}"), "left")).isEmpty():
         some = holders.where(f"place >= {low} AND place < {2 * low}").select("h", F.col("id").alias("early"))
         met = left.select("h", F.col("id").alias("late")).join(some.hint("merge"), "h").where("early < late")
         more = met.select("late", "early").distinct().join(pairs.hint("merge"), ["late", "early"], "left_anti")
-        more = common.written(more, "pairs")
+        more = common.stored(more, "pairs")
         if not more.isEmpty():
             pairs = pairs.unionByName(more)
-            gone = common.written(gone.unionByName(aligned(more, shared, min_words)).distinct(), "gone_lines")
+            gone = common.stored(gone.unionByName(aligned(more, shared, min_words)).distinct(), "gone_lines")
             left = still_there(left, gone)
         low *= 2
     return gone
@@ -289,7 +289,7 @@ def dedup_lines(
         F.sort_array(F.collect_list("at")).alias("at"), F.sum("words").alias("n")
     )
     a, b, key, split = common.fresh_names(docs, "removed_lines", "removed_words", "key", "split")
-    gone = common.written(gone.select(F.col("id").alias(key), F.col("at").alias(a), F.col("n").alias(b)), "gone")
+    gone = common.stored(gone.select(F.col("id").alias(key), F.col("at").alias(a), F.col("n").alias(b)), "gone")
     n_docs, n_lines = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(a)), F.lit(0))).first()
     if n_docs <= common.BROADCAST_ROWS and n_lines <= MOST_LINES:
         gone = F.broadcast(gone)

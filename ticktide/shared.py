@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Schemes of Spark's connectors, and those of pyarrow's file systems.
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasbs": "abfss", "wasb": "abfs"}
+#: Bytes of rows that a task of ``stored`` gathers for a row group.
+GROUP_BYTES = 8 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,6 +42,50 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """As ``written``, without a process for each file.
+
+    Without its native library, Hadoop's local file system starts a ``chmod`` for every
+    file and folder; until that runs, it is a twin of the executor, and what sums up the
+    memory of processes counts the executor twice. So Python workers write tables of a
+    local folder, a file per task; files get their names when all tasks are done, so
+    that those of failed attempts are not read.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    if not path.startswith("file:"):
+        return written(df, label)
+    store, root = store_of(path)
+    store.create_dir(root)
+    for name, in df.mapInArrow(_storing(path), "name string").collect():
+        store.move(f"{root}/_{name}", f"{root}/{name}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _storing(path: str):
+    """mapInArrow that writes the rows of a task to a hidden file of the folder and returns its later name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        store, root = store_of(path)
+        name, writer, rows = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet", None, []
+        for batch in batches:
+            if batch.num_rows:
+                rows.append(batch)
+            if sum(b.nbytes for b in rows) >= GROUP_BYTES:
+                writer = writer or pq.ParquetWriter(f"{root}/_{name}", batch.schema, filesystem=store)
+                writer.write_table(pa.Table.from_batches(rows))
+                rows = []
+        if rows:
+            writer = writer or pq.ParquetWriter(f"{root}/_{name}", rows[0].schema, filesystem=store)
+            writer.write_table(pa.Table.from_batches(rows))
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return run
+
+
 def _hadoop(spark: SparkSession, path: str):
     """(file system, path) of the session's JVM, or None where the session has none, as under Spark Connect."""
     jvm = getattr(spark, "_jvm", None)
