@@ -2,6 +2,7 @@
 
 import pytest
 
+from ticktide import shared
 from ticktide.llm import (
     chat_format,
     common,
@@ -307,13 +308,18 @@ spark.stop()
     assert any("probe-" in x for x in started) and not [x for x in started if "probe-" not in x]
 
 
-def test_stored_tables(spark):
+def test_stored_tables(spark, tmp_path, monkeypatch):
     schema = "id long, at array<int>, n int, flag boolean, s string"
     rows = [(k, None if k % 3 == 0 else [k, None], k, k % 2 == 0, None if k % 5 == 0 else f"é{k}") for k in range(25_000)]
     frame = spark.createDataFrame(rows, schema)
     table = common.stored(frame.repartition(3), "stored")
     assert table.dtypes == frame.dtypes and sorted(map(tuple, table.collect())) == rows and len(table.inputFiles()) == 3
     assert common.stored(frame.where("id < 0"), "stored").collect() == []
+    home = tmp_path / "a b%20c"
+    for url in (f"file://{home}", f"file:{home}"):
+        monkeypatch.setattr(shared, "folder", lambda session, url=url: url)
+        assert common.stored(frame.limit(9), "stored").union(common.written(frame.limit(9), "written")).count() == 18
+    assert sorted(p.name.split("-")[0] for p in home.glob("ticktide/*/*")) == ["stored"] * 2 + ["written"] * 2
     folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
     with open(f"{folder}/_part-of-a-failed-attempt.parquet", "wb") as f:
         f.write(b"PAR1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,32 +54,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     that those of failed attempts are not read.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    if not path.startswith("file:"):
+    local = re.fullmatch("file:(?://)?(/[^/].*)", path)
+    if not local:
         return written(df, label)
-    store, root = store_of(path)
-    store.create_dir(root)
-    for name, in df.mapInArrow(_storing(path), "name string").collect():
-        store.move(f"{root}/_{name}", f"{root}/{name}")
+    root = local[1]
+    os.makedirs(root)
+    for (name,) in df.mapInArrow(_storing(root), "name string").collect():
+        os.rename(f"{root}/_{name}", f"{root}/{name}")
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _storing(path: str):
+def _storing(root: str):
     """mapInArrow that writes the rows of a task to a hidden file of the folder and returns its later name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        store, root = store_of(path)
         name, writer, rows = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet", None, []
         for batch in batches:
             if batch.num_rows:
                 rows.append(batch)
             if sum(b.nbytes for b in rows) >= GROUP_BYTES:
-                writer = writer or pq.ParquetWriter(f"{root}/_{name}", batch.schema, filesystem=store)
+                writer = writer or pq.ParquetWriter(f"{root}/_{name}", batch.schema)
                 writer.write_table(pa.Table.from_batches(rows))
                 rows = []
         if rows:
-            writer = writer or pq.ParquetWriter(f"{root}/_{name}", rows[0].schema, filesystem=store)
+            writer = writer or pq.ParquetWriter(f"{root}/_{name}", rows[0].schema)
             writer.write_table(pa.Table.from_batches(rows))
         if writer:
             writer.close()
