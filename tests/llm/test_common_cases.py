@@ -308,6 +308,34 @@ spark.stop()
     assert any("probe-" in x for x in started) and not [x for x in started if "probe-" not in x]
 
 
+def test_simhash_starts_no_process(tmp_path):
+    """As for op5: fingerprints, postings of all three levels and the rounds of components."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/log\nexec /bin/chmod "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+from ticktide.llm import common, simhash
+conf = {{"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}}
+spark = SparkSession.builder.config(map=conf | {{"spark.checkpoint.dir": "file://{tmp_path}/shared"}}).getOrCreate()
+rows = [(k, " ".join(f"word{{j}}" for j in range(400)) + f" own{{k}}") for k in range(9)] + [(9, None), (10, "")]
+assert sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [rows[0], rows[9]]
+simhash.links.__defaults__ = (2, 2)
+fps = spark.createDataFrame([(k, 1 << k) for k in range(9)], "doc_id long, fp long")
+assert {{r.component_id for r in simhash.near_groups(fps).collect()}} == {{0}}
+common.written(spark.range(1), "probe")
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env=os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}"})
+    assert [x for x in os.listdir(next((tmp_path / "shared/ticktide").iterdir())) if x.startswith("midpoints-")]
+    started = [x for x in (tmp_path / "log").read_text().splitlines() if f"{tmp_path}/shared/ticktide" in x]
+    assert any("probe-" in x for x in started) and not [x for x in started if "probe-" not in x]
+
+
 def test_stored_tables(spark, tmp_path, monkeypatch):
     schema = "id long, at array<int>, n int, flag boolean, s string"
     rows = [(k, None if k % 3 == 0 else [k, None], k, k % 2 == 0, None if k % 5 == 0 else f"é{k}") for k in range(25_000)]

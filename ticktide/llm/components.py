@@ -36,12 +36,12 @@ def _star(links: DataFrame, large: bool, n_links: int) -> DataFrame:
         out = met.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
             low.select("a", F.col("low").alias("b"))
         )
-    return common.written(out.where("a <> b").distinct(), "links")
+    return common.stored(out.where("a <> b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a, b); component: its smallest node."""
-    state = common.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    state = common.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
 
     def mark(df: DataFrame) -> tuple:
         n, total = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

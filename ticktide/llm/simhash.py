@@ -247,7 +247,7 @@ def links(nodes: DataFrame, block: int = BLOCK, large: int = LARGE) -> DataFrame
 
     def searched(posted: DataFrame, most: int, label: str) -> tuple[DataFrame, DataFrame]:
         dealt = posted.repartition("key").sortWithinPartitions("key", "fp")
-        found = common.written(dealt.mapInArrow(_search(most), FOUND), label)
+        found = common.stored(dealt.mapInArrow(_search(most), FOUND), label)
         return found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select("key", "fp", F.col("a").alias("node"))
 
     out, late = searched(postings(nodes), block, "found")
@@ -263,7 +263,7 @@ def links(nodes: DataFrame, block: int = BLOCK, large: int = LARGE) -> DataFrame
     out = out.unionByName(more)
     if late.isEmpty():
         return out
-    points = common.written(late.select("fp", "node").distinct().mapInArrow(_midpoints, "point long, node long"), "midpoints")
+    points = common.stored(late.select("fp", "node").distinct().mapInArrow(_midpoints, "point long, node long"), "midpoints")
     lowest = points.groupBy("point").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
     near = points.join(lowest.hint("merge"), "point").where("node <> b")  # at most 2081 rows for a point
     return out.unionByName(near.select(F.col("node").alias("a"), "b").distinct())
@@ -275,21 +275,21 @@ def near_groups(marked: DataFrame) -> DataFrame:
     Components are found between distinct fingerprints, each named by its smallest
     doc_id, and brought back to all rows that have the fingerprint.
     """
-    nodes = common.written(
+    nodes = common.stored(
         marked.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_docs")), "nodes"
     )
     found = components(links(nodes.where("node IS NOT NULL").select("fp", "node")))
     named = nodes.join(found, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"), "n_docs"
     )
-    out = common.with_group(marked, common.written(named, "named"), "fp", "n_docs", marked.count())
+    out = common.with_group(marked, common.stored(named, "named"), "fp", "n_docs", marked.count())
     return out.select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: fingerprints and components of all ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = near_groups(common.written(fingerprints(docs), "fingerprints"))
+    out = near_groups(common.stored(fingerprints(docs), "fingerprints"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -298,7 +298,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     An id goes if none of its rows stays; rows without an id cannot be named, and stay.
     """
-    marked = common.written(fingerprints(docs, id_col, text_col), "fingerprints")
+    marked = common.stored(fingerprints(docs, id_col, text_col), "fingerprints")
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = near_groups(marked).groupBy(F.col("doc_id").alias(id_col)).agg(stays.alias("stays")).where("NOT stays")
-    return common.without(docs, common.written(gone.select(id_col).dropna(), "near_copies"), [id_col])
+    return common.without(docs, common.stored(gone.select(id_col).dropna(), "near_copies"), [id_col])
