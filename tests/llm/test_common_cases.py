@@ -336,6 +336,41 @@ spark.stop()
     assert any("probe-" in x for x in started) and not [x for x in started if "probe-" not in x]
 
 
+def test_quality_starts_few_processes(tmp_path):
+    """As for op5, but Spark writes here: one file for the lines that go, whatever the number of tasks, and no table of all lines."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/log\nexec /bin/chmod "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+from ticktide.llm import common, quality_rules
+conf = {{"spark.master": "local[2]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "16"}}
+conf |= {{"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+line = lambda j: f"line {{j}} " + "word " * 9
+rows = [(k, f"own {{k}}\\n" + "\\n".join(map(line, range(40))), "a" if k % 2 else None) for k in range(60)]
+docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(12)
+got = lambda: sorted(map(tuple, quality_rules.quality_rules(docs).collect()))
+out = got()
+assert [r[8] for r in out] == [0, 0] + [40] * 58 and [r[7] for r in out] == [0, 0] + [440] * 58
+common.written(spark.range(1), "probe")
+common.BROADCAST_ROWS = 7
+assert got() == out
+common.BROADCAST_ROWS = 79
+assert got() == out
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, env=os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}"})
+    started = [x for x in (tmp_path / "log").read_text().splitlines() if f"{tmp_path}/shared/ticktide" in x]
+    at = next(k for k, x in enumerate(started) if "probe-" in x)
+    files = [x for x in started[:at] if "/part-" in x]
+    assert len(files) == 1 and "common_lines-" in files[0] and at < 16
+
+
 def test_stored_tables(spark, tmp_path, monkeypatch):
     schema = "id long, at array<int>, n int, flag boolean, s string"
     rows = [(k, None if k % 3 == 0 else [k, None], k, k % 2 == 0, None if k % 5 == 0 else f"é{k}") for k in range(25_000)]

@@ -1,11 +1,13 @@
 """Quality rules: base counts of each text, and lines that too much of a host shares.
 
-Lines are normalised and hashed once, into a written table; for each host (``source``) the distinct documents
+Lines are normalised and hashed; for each host (``source``) the distinct documents
 that hold a line are counted, documents with equal texts as one; lines above the
 limits are removed, except from the first document (smallest id) of the host
 that holds them, so that no text is lost everywhere; a document that lost more
 than ``max_removed`` of its words is depleted and rejected, as are those that
-fail the base rules. All of it is DataFrame code.
+fail the base rules. All of it is DataFrame code. No table of all lines is written:
+they are read once for the counts and once for the hits, as each file that Spark
+writes to a local folder starts a process (see ``shared.stored``).
 
 Defined cases: a null or empty text has no words and fails the base rules; a null
 host is a host of its own; documents on one line, however long, are one line;
@@ -108,16 +110,14 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
-    """(id, host, text_key, at, line, n_line) of the lines with words of (id, host, text), as a written table.
+    """(id, host, text_key, at, line, n_line) of the lines with words of (id, host, text).
 
     ``line`` is the hash of the normal line, ``n_line`` its words, ``at`` its place among all lines.
     """
     each = docs.select("id", "host", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     line = each.where(has_word(F.col("raw"))).select("id", "host", "text_key", "at", normal_line(F.col("raw")).alias("line"))
     spaces = F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    return common.written(
-        line.select("id", "host", "text_key", "at", F.xxhash64("line").alias("line"), (spaces + 1).alias("n_line")), "host_lines"
-    )
+    return line.select("id", "host", "text_key", "at", F.xxhash64("line").alias("line"), (spaces + 1).alias("n_line"))
 
 
 def common_lines(docs: DataFrame, lines: DataFrame, limits: Limits) -> DataFrame:
@@ -137,10 +137,13 @@ def common_lines(docs: DataFrame, lines: DataFrame, limits: Limits) -> DataFrame
 def removed_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(id, text_key, at, n_line) of the lines that go. ``docs``: (id, host, text)."""
     lines = host_lines(docs)
-    above = common.written(common_lines(docs, lines, limits), "common_lines")
-    found = above.select(F.col("host").alias("h"), F.col("line").alias("k"), "first")
-    if above.count() <= common.BROADCAST_ROWS:  # else a join of two shuffled sides, whose skewed keys are split
+    above = common_lines(docs, lines, limits).select(F.col("host").alias("h"), F.col("line").alias("k"), "first")
+    # one file, which holds them all unless it is full; it is not used then (Spark drops a limit above the rows it counted)
+    found = common.written(above.limit(common.BROADCAST_ROWS + 1).repartition(1), "common_lines")
+    if found.count() <= common.BROADCAST_ROWS:
         found = F.broadcast(found)
+    else:  # a join of two shuffled sides, whose skewed keys are split
+        found = common.written(above, "common_lines")
     hit = lines.join(found, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k"))).where("id <> first")
     # a row that repeats counts its lines once
     return hit.select("id", "text_key", "at", "n_line").distinct()
